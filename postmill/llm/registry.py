@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .decontaminate import contamination
+from .importance import importance_resample
 from .language_id import language_id
 from .near_dedup import near_duplicates
+from .token_counts import redactions, token_counts
 from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +46,21 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents."""
     return language_id(read_table(spark, sf_dir, "documents"))
+
+
+@query("op1_importance_resampling")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents, and the 80 % that are drawn."""
+    return importance_resample(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op5_benchmark_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold copies of benchmark items."""
+    return contamination(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after two edits each."""
+    return token_counts(redactions(read_table(spark, sf_dir, "documents")))
