@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat_format, mixing, sharding, topk_search
 from .common import read_table
 from .decontaminate import contamination
 from .importance import importance_resample
@@ -64,3 +66,30 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents before and after two edits each."""
     return token_counts(redactions(read_table(spark, sf_dir, "documents")))
+
+
+@query("op7_sharding", sharding.ORACLE)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document after an append of all and a compaction."""
+    docs = sharding.shard_documents(spark, read_table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "shard_id")
+
+
+@query("op8_chat_format", chat_format.ORACLE)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all formatted conversations."""
+    return chat_format.chat_digests(spark, read_table(spark, sf_dir, "conversations"))
+
+
+@query("op9_mixing", mixing.ORACLE)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents drawn to weights under which none is repeated more than twice."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"))
+    mixed = mixing.mix(spark, docs)
+    return mixed.select("doc_id", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_offset").alias("offset_tokens"))
+
+
+@query("op10_topk_search", topk_search.ORACLE)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of every hundredth vector by whole-number inner product."""
+    return topk_search.top_k(spark, read_table(spark, sf_dir, "embeddings"))
