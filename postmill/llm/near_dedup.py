@@ -15,6 +15,8 @@ from .components import connected_components
 
 #: Slots of a signature, rows of a band, and bits of each slot kept for estimates.
 SLOTS, ROWS, PLANES = 128, 4, 4
+#: Bits of a set's parity sketch: equal parities of its elements' places.
+PARITY = 1024
 #: A link at the threshold is missed by banding with at most this probability.
 MISS = 1e-5
 
@@ -93,7 +95,7 @@ def _longs(rows: np.ndarray) -> pa.ListArray:
 
 
 def _sign(size: int, bands: int):
-    """A mapInArrow function: (id, text) to set size, fingerprint of the set, band keys and bit planes of the signature."""
+    """A mapInArrow function: (id, text) to set size, fingerprint of the set, band keys, bit planes of the signature, parity sketch."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, size) for t in text_bytes(batch.column(1))]
@@ -101,6 +103,7 @@ def _sign(size: int, bands: int):
         full = np.flatnonzero(n)
         fp = np.zeros((len(sets), 2), np.uint64)
         keys, planes = np.zeros((len(sets), bands), np.uint64), np.zeros((len(sets), PLANES * SLOTS // 64), np.uint64)
+        parity = np.zeros((len(sets), PARITY // 64), np.uint64)
         if len(full):
             x = np.concatenate([sets[i] for i in full])
             starts = np.cumsum(n[full]) - n[full]
@@ -114,9 +117,12 @@ def _sign(size: int, bands: int):
                 keys[full, b] = key
             bits = [np.packbits((code >> np.uint64(7 + p)).astype(np.uint8) & 1, axis=1, bitorder="little").view(np.uint64) for p in range(PLANES)]
             planes[full] = np.concatenate(bits, axis=1)
+            place = np.repeat(np.arange(len(full)), n[full]) * PARITY + (mix64(x ^ golden(9)) % np.uint64(PARITY)).astype(np.int64)
+            odd = (np.bincount(place, minlength=len(full) * PARITY) & 1).astype(np.uint8).reshape(len(full), PARITY)
+            parity[full] = np.packbits(odd, axis=1, bitorder="little").view(np.uint64)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64)), _longs(keys), _longs(planes)],
-            ["doc_id", "n_shingles", "fp_a", "fp_b", "bands", "planes"],
+            [batch.column(0), pa.array(n), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64)), _longs(keys), _longs(planes), _longs(parity)],
+            ["doc_id", "n_shingles", "fp_a", "fp_b", "bands", "planes", "parity"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +165,19 @@ def _estimate(a: str, b: str):
     return (1 - differ / F.lit(float(SLOTS)) - chance) / (1 - chance)
 
 
+def _differences(a: str, b: str):
+    """A lower bound of how many elements stand in one of two sets only: the bits in which their parity sketches differ.
+
+    Elements of both sets cancel out, so the bound is close while the sets' difference is small
+    against PARITY, however large the sets are; it is never too high.
+    """
+    out = None
+    for w in range(PARITY // 64):
+        n = F.bit_count(F.col(a)[w].bitwiseXOR(F.col(b)[w]))
+        out = n if out is None else out + n
+    return out
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -171,9 +190,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle_words: int
     2. In every bucket each node meets one pivot, the node with most copies. Of a node's pivots
        the one estimated closest is verified on full sets: linear in the rows of a bucket.
     3. Links so far are contracted. Only buckets that still hold two components are joined with
-       themselves, on nodes of different components, whose sizes and estimates allow a link;
-       those pairs are verified as well. So no link between buckets' members is taken for granted
-       or left out, while a group of copies is never expanded into its pairs.
+       themselves, on nodes of different components, whose sizes, parity sketches and estimates
+       allow a link; those pairs are verified as well. The parity sketch bounds the sets' difference
+       from below without error, and closely where it matters, so few pairs pass that are no links.
     4. Components come from alternating star contractions over the verified links.
 
     A pair just at the threshold shares no bucket with probability below 1e-5, and an estimate
@@ -187,20 +206,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle_words: int
     scratch = Scratch(spark, "near-dedup")
     percent, bands = round(similarity * 100), bands_for(similarity)
     docs = docs.select("doc_id", "text")
-    schema = "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<long>, planes array<long>"
+    schema = "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<long>, planes array<long>, parity array<long>"
     signed = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign(shingle_words, bands), schema), "signatures")
 
     named = signed.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.keep(named.groupBy("fp_a", "fp_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     nodes = scratch.keep(
-        named.join(classes, ["fp_a", "fp_b", "n_shingles"]).where("doc_id = rep").select("rep", "copies", "n_shingles", "bands", "planes"), "nodes"
+        named.join(classes, ["fp_a", "fp_b", "n_shingles"]).where("doc_id = rep").select("rep", "copies", "n_shingles", "bands", "planes", "parity"), "nodes"
     )
 
     # 2. each bucket's pivot; buckets of one node are left out
     entries = nodes.select("rep", "copies", F.explode("bands").alias("key"))
     pivots = entries.groupBy("key").agg(F.max(F.struct("copies", "rep")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.rep").alias("p"))
     members = scratch.keep(entries.select("rep", "key").join(pivots, "key"), "members")
-    sketch = nodes.select("rep", "n_shingles", "planes")
+    sketch = nodes.select("rep", "n_shingles", "planes", "parity")
     met = members.where("rep <> p").select(F.col("rep").alias("x"), "p").distinct()
     met = met.join(sketch.select(F.col("rep").alias("x"), F.col("n_shingles").alias("n_x"), F.col("planes").alias("s_x")), "x")
     met = met.join(sketch.select(F.col("rep").alias("p"), F.col("n_shingles").alias("n_p"), F.col("planes").alias("s_p")), "p")
@@ -228,7 +247,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle_words: int
     where = members.join(stars, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = where.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("key")
     rows = scratch.keep(where.join(mixed, "key").join(sketch, "rep"), "mixed")
-    left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "c", "n_shingles", "planes"))) for s in "xp")
+    left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "c", "n_shingles", "planes", "parity"))) for s in "xp")
     cross = (
         left.join(
             right,
@@ -236,6 +255,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle_words: int
             & (F.col("rep_x") < F.col("rep_p"))
             & (F.col("c_x") != F.col("c_p"))
             & (F.least("n_shingles_x", "n_shingles_p") * 100 >= F.greatest("n_shingles_x", "n_shingles_p") * percent)
+            & (_differences("parity_x", "parity_p") * (100 + percent) <= (F.col("n_shingles_x") + F.col("n_shingles_p")) * (100 - percent))
             & (_estimate("planes_x", "planes_p") >= similarity - margin),
         )
         .select(F.col("rep_x").alias("x"), F.col("rep_p").alias("p"))
