@@ -227,10 +227,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle_words: int
     sizes_allow = F.least("n_x", "n_p") * 100 >= F.greatest("n_x", "n_p") * percent
     near = scratch.keep(met.withColumn("est", _estimate("s_x", "s_p")).where(F.col("est") >= 0.5).select("x", "p", "est", sizes_allow.alias("fits")), "near")
 
-    involved = near.select(F.col("x").alias("rep")).union(near.select("p")).distinct()
-    texts = scratch.keep(
-        docs.where("doc_id is not null").join(involved, F.col("doc_id") == F.col("rep")).groupBy("rep").agg(F.first("text").alias("text")), "texts"
-    )
+    def texts_of(ids: DataFrame, name: str) -> DataFrame:
+        """(rep, text); hashed by id at any size, so that the plan does not change as ``ids`` grows."""
+        return scratch.keep(docs.where("doc_id is not null").join(ids.hint("merge"), F.col("doc_id") == F.col("rep")).groupBy("rep").agg(F.first("text").alias("text")), name)
+
+    texts = texts_of(near.select(F.col("x").alias("rep")).union(near.select("p")).distinct(), "texts")
 
     def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
@@ -264,8 +265,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle_words: int
     cross = scratch.keep(cross, "cross")
     missing = cross.select(F.col("x").alias("rep")).union(cross.select("p")).distinct().join(texts, "rep", "left_anti")
     if not missing.isEmpty():
-        more = docs.where("doc_id is not null").join(missing, F.col("doc_id") == F.col("rep")).groupBy("rep").agg(F.first("text").alias("text"))
-        texts = texts.unionByName(scratch.keep(more, "more-texts"))
+        texts = texts.unionByName(texts_of(missing, "more-texts"))
     late = verified(cross, texts)
     label = lambda c: F.coalesce(F.col(f"c_{c}.component"), F.col(c))
     over = late.join(stars.alias("c_x"), F.col("x") == F.col("c_x.node"), "left").join(stars.alias("c_p"), F.col("p") == F.col("c_p.node"), "left")
