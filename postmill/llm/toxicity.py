@@ -121,8 +121,8 @@ def kernel(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     place = np.full(_TABLE, -1, np.int32)
     place[used] = np.arange(len(used))
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    for i in range(0, len(words), 2000):
-        r, c, v = features(words[i : i + 2000])
+    for i in range(0, len(words), 500):
+        r, c, v = features(words[i : i + 500])
         hit = place[c] >= 0
         np.add.at(out, r[hit] + i, dense[place[c[hit]]] * v[hit, None].astype(np.float32))
     return out
@@ -176,15 +176,15 @@ def _noised(word: bytes, rng: random.Random) -> bytes:
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 800, c: float = 2000.0) -> np.ndarray:
     """A linear machine with squared hinge loss by accelerated gradient steps; the last column of x is the constant."""
     total = weight.sum()
-    v = np.linalg.eigvalsh((x * (weight / total)[:, None]).T @ x)[-1]
-    step = 1 / (2 * c * v + 1)
-    w = z = np.zeros(x.shape[1])
+    v = float(np.linalg.eigvalsh((x * (weight / total)[:, None]).T @ x)[-1])
+    step = np.float32(1 / (2 * c * v + 1))
+    w = z = np.zeros(x.shape[1], np.float32)
     for t in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ z))
-        grad = -2 * c * x.T @ (weight / total * y * slack)
+        grad = (weight / total * y * slack) @ x * np.float32(-2 * c)
         grad[:-1] += z[:-1]
         after = z - step * grad
-        z = after + t / (t + 3) * (after - w)
+        z = after + np.float32(t / (t + 3)) * (after - w)
         w = after
     return w
 
@@ -209,19 +209,15 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 7) -> Model | None:
     too counts as clean. None if one of the labels, or any suspect, is absent.
     """
     rng = random.Random(seed)
-    words = {s: [x for w in words_of(s) for x in split_long(w)] for _, _, s in sentences}
-    docs: dict[int, tuple[int, set[bytes]]] = {}
-    for d, y, s in sentences:
-        docs.setdefault(d, (y, set()))[1].update(words[s])
-    if len({y for y, _ in docs.values()}) < 2:
-        return None
     # how often a word stands in distinct sentences of toxic and of clean documents; copies of a document add nothing
     text: dict[str, int] = {}
     for _, y, s in sentences:
         text[s] = min(y, text.get(s, y))
     seen, total = {0: Counter(), 1: Counter()}, Counter(text.values())
     for s, y in text.items():
-        seen[y].update(set(words[s]))
+        seen[y].update({x for w in words_of(s) for x in split_long(w)})
+    if not total[0] or not total[1]:
+        return None
     share = total[1] / max(1, total[0] + total[1])
     gain = {}
     for w, c in seen[1].items():
@@ -253,20 +249,19 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 7) -> Model | None:
         gram = kernel(landmarks, landmarks).astype(np.float64)
         val, vec = np.linalg.eigh(gram + 1e-6 * np.eye(len(landmarks)))
         root = vec / np.sqrt(np.maximum(val, 1e-6)) @ vec.T
-        mapped = lambda ws: np.hstack([kernel(ws, landmarks).astype(np.float64) @ root, np.ones((len(ws), 1))])  # noqa: B023, E731
-        x0 = mapped(clean)
+        mapped = lambda ws: np.hstack([kernel(ws, landmarks) @ root.astype(np.float32), np.ones((len(ws), 1), np.float32)])  # noqa: B023, E731
         extra = [_noised(x, rng) for x in keep for _ in range(4)]
-        x = np.vstack([mapped(keep), mapped(extra), x0])
-        y = np.concatenate([np.ones(len(keep) * 5), -np.ones(len(x0))])
+        x = mapped([*keep, *extra, *clean])
+        y = np.concatenate([np.ones(len(keep) * 5, np.float32), -np.ones(len(clean), np.float32)])
         each = np.sqrt([gain[k] for k in keep])
         half = np.repeat(each, 4)
         often = np.sqrt([seen[0][k] for k in clean])
-        mass = np.concatenate([each / each.sum(), half / half.sum() / 2, 2 * often / often.sum() + 2 / len(x0)])
+        mass = np.concatenate([each / each.sum(), half / half.sum() / 2, 2 * often / often.sum() + 2 / len(clean)]).astype(np.float32)
         w = _svm(x, y, mass)
         if not last:
             keep = [k for k, d in zip(keep, x[: len(keep)] @ w, strict=True) if d > 0] or keep
             # clean words that the machine finds hardest become landmarks as well, unless they resemble each other
-            hard = [clean[i] for i in np.argsort(-(x0 @ w), kind="stable")[:200]]
+            hard = [clean[i] for i in np.argsort(-(x[-len(clean) :] @ w), kind="stable")[:200]]
             alike, taken = kernel(hard, hard), []
             for i in range(len(hard)):
                 if len(taken) < HARD and not any(alike[i, j] > 0.9 for j in taken):
@@ -274,7 +269,7 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 7) -> Model | None:
             landmarks += [hard[i] for i in taken]
 
     # collapse landmarks into weights of subsequences
-    alpha = root @ w[:-1]
+    alpha = root @ w[:-1].astype(np.float64)
     r, c, v = features(landmarks)
     table = np.zeros(_TABLE, np.float32)
     np.add.at(table, c, alpha[r] * v)
