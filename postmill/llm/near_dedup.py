@@ -81,7 +81,7 @@ def superminhash(elements: np.ndarray, owner: np.ndarray, n_sets: int, slots: in
             drawn = [(p[keep], c[keep]) for p, c in drawn]
             order = order[keep] if order is not None else None
         if order is None and j + 1 == _DENSE_FROM:
-            order = np.tile(np.arange(slots, dtype=np.int16), (len(x), 1))
+            order = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.int64), (len(x), 1))
             rows = np.arange(len(x))
             for place, came in drawn:
                 order[rows, place] = came
@@ -117,16 +117,15 @@ def _sign(size: int, bands: int):
                 keys[full, b] = key
             bits = [np.packbits((code >> np.uint64(7 + p)).astype(np.uint8) & 1, axis=1, bitorder="little").view(np.uint64) for p in range(PLANES)]
             planes[full] = np.concatenate(bits, axis=1)
-            place = np.repeat(np.arange(len(full)), n[full]) * PARITY + (mix64(x ^ golden(9)) % np.uint64(PARITY)).astype(np.int64)
-            odd = (np.bincount(place, minlength=len(full) * PARITY) & 1).astype(np.uint8).reshape(len(full), PARITY)
-            parity[full] = np.packbits(odd, axis=1, bitorder="little").view(np.uint64)
+            bit = mix64(x ^ golden(9)) % np.uint64(PARITY)
+            np.bitwise_xor.at(parity, (np.repeat(full, n[full]), (bit // np.uint64(64)).astype(np.int64)), np.uint64(1) << (bit % np.uint64(64)))
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64)), _longs(keys), _longs(planes), _longs(parity)],
             ["doc_id", "n_shingles", "fp_a", "fp_b", "bands", "planes", "parity"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 2 << 20):
             yield one(batch)
 
     return run
