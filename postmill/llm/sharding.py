@@ -90,7 +90,8 @@ class ShardStore:
             source = rows if source is None else source.unionByName(rows, allowMissingColumns=True)
         to = merged.select(F.col("shard_id").alias(SHARD), F.col("path").alias("__path"), "merged_id")
         n = merged.agg(F.countDistinct("merged_id")).first()[0]
-        rows = source.join(to, [SHARD, "__path"]).drop(SHARD, "__path").repartition(n, "merged_id")
+        # more partitions than shards, so that few of them fall into one task
+        rows = source.join(to, [SHARD, "__path"]).drop(SHARD, "__path").repartition(4 * n, "merged_id")
         path = self._write(rows.sortWithinPartitions("merged_id", "doc_id").withColumnRenamed("merged_id", "__to"), F.col("__to"), "merged")
         first = F.element_at(F.split("shard_id", "-"), -1)
         new = self._sizes(path, F.element_at(F.split("shard_id", "-"), 1).substr(2, 9), first)
