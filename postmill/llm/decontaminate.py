@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from .common import GOLDEN, Scratch, mix64, pieces, text_bytes, word_hashes
 
 #: Words of a seed, distinct seeds that make a candidate, similarity from which a passage counts as a copy.
-SEED_WORDS, SEEDS, SIMILARITY = 3, 2, 0.5
-#: A seed in more than this share of the documents is common; an item uses its common seeds only below its own median.
-COMMON = 1e-3
+SEED_WORDS, SEEDS, SIMILARITY = 3, 2, 0.45
+#: A seed in more than this share of the documents, and this number of them, is common; an item uses its common seeds only up to its own median.
+COMMON, RARE = 1e-3, 50
 #: Alignment: gain of equal words, cost of a different word and of a word too many.
 MATCH, MISMATCH, GAP = 2.0, 1.0, 1.0
 #: Bits of the filter of seeds that every task holds: a fixed 4 MB, whatever the benchmark's size.
@@ -141,8 +141,8 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
     1. A task scans its documents once, with a fixed-size filter of all seeds, and emits only the
        passages around seeds; the documents' text is not shuffled.
     2. Seeds found join the items' seeds. A seed is rare if few documents hold it, counted over all
-       of them, or fewer than the median of its item's seeds: so an item that leaks everywhere
-       still has seeds.
+       of them, or no more than the median of its item's seeds found: so an item that leaks
+       everywhere still has seeds.
     3. Passages and items that share SEEDS rare seeds (all, if the item has fewer) are aligned.
 
     Edge cases: null and empty texts, and items of fewer than SEED_WORDS words, match nothing. Items
@@ -167,8 +167,8 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
     hits = found.select("doc_id", "start", F.explode("seeds").alias("seed")).distinct()
     often = hits.groupBy("seed").agg(F.count("*").alias("df"))
     ranked = of_item.join(often, "seed")
-    median = of_item.join(often, "seed", "left").groupBy("item").agg(F.percentile(F.coalesce("df", F.lit(0)), F.lit(0.5)).alias("half"), F.count("*").alias("of"))
-    rare = ranked.join(median, "item").where((F.col("df") <= COMMON * n) | (F.col("df") <= F.col("half"))).select("item", "seed", "of")
+    median = ranked.groupBy("item").agg(F.percentile("df", F.lit(0.5)).alias("half"))
+    rare = ranked.join(median, "item").join(one.select("item", F.size("seeds").alias("of")), "item").where((F.col("df") <= max(RARE, COMMON * n)) | (F.col("df") <= F.col("half"))).select("item", "seed", "of")
     pairs = hits.join(rare, "seed").groupBy("doc_id", "start", "item").agg(F.count("*").alias("n_seeds"), F.first("of").alias("of"))
     pairs = pairs.where(F.col("n_seeds") >= F.least(F.lit(SEEDS), "of"))
     pairs = pairs.join(one.select("item", "words"), "item").join(found.select("doc_id", "start", "passage").dropDuplicates(["doc_id", "start"]), ["doc_id", "start"])
