@@ -149,3 +149,43 @@ def term_split(terms: Column, known: Column) -> Column:
     """Terms that a profile has and lacks, in order, with the share that it has: 0 without terms."""
     both = F.filter(terms, lambda t: F.array_contains(known, t))
     return F.struct(both.alias("matched"), F.filter(terms, lambda t: ~F.array_contains(known, t)).alias("missing"), F.coalesce(F.size(both) / F.nullif(F.size(terms), F.lit(0)), F.lit(0.0)).alias("ratio"))
+
+
+#: Headings that begin the part of a description about the role (fixed values).
+ROLE_HEADINGS = (
+    "what you'll do", "what you will do", "what you'll be doing", "what you will be doing", "responsibilities",
+    "your responsibilities", "key responsibilities", "the role", "your role", "about the role", "about this role",
+    "role overview", "position overview", "job overview", "job description", "role description", "the opportunity",
+    "requirements", "qualifications", "your qualifications", "what we're looking for", "what we are looking for",
+    "who you are", "who we're looking for", "your background", "skills and experience", "what you'll need",
+    "what you will need", "about the internship", "internship overview", "the internship",
+)
+
+
+def role_description(c: Column) -> Column:
+    """A description from the first line on that is a heading of the role, at most 48 characters long; all of it without one."""
+    heads = "|".join(map(re.escape, ROLE_HEADINGS))
+    lines = F.split(F.coalesce(c, F.lit("")), r"\r\n|\r|\n")
+    bare = lambda x: F.btrim(fold(x), F.lit(" :*#-\t"))
+    from_there = F.aggregate(
+        lines,
+        F.struct(F.lit(False).alias("on"), F.array().cast("array<string>").alias("kept")),
+        lambda acc, x: let(
+            acc["on"] | let(bare(x), lambda h: (F.length(h) <= 48) & h.rlike(f"^(?:{heads})(?: |$)")),
+            lambda on: F.struct(on.alias("on"), F.when(on, F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept")),
+        ),
+    )
+    return let(from_there, lambda r: F.when(r["on"], F.array_join(r["kept"], "\n")).otherwise(F.coalesce(c, F.lit(""))))
+
+
+def surface_forms(terms: Column, text: Column, lexicon: dict[str, list[str]]) -> Column:
+    """For each of ``terms`` its names and aliases that stand in the text, or the term itself if none does."""
+    t = fold(F.coalesce(text, F.lit("")))
+    here = F.create_map(*(x for name, aliases in lexicon.items() for x in (F.lit(name), F.array_compact(F.array(*(F.when(t.rlike(whole(p, "+")), F.lit(p)) for p in [name, *aliases]))))))
+    return let(here, lambda m: F.flatten(F.transform(terms, lambda x: F.when(F.coalesce(F.size(m[x]), F.lit(0)) > 0, m[x]).otherwise(F.array(x)))))
+
+
+def emphasise(c: Column) -> Column:
+    """Figures that stand alone, with their per cent sign or denominator, as bold LaTeX; commands stay as they are."""
+    figure = r"(?<![A-Za-z0-9.\\{])(\d+(?:\.\d+)?(?:[ \t]*/[ \t]*\d+(?:\.\d+)?)?(?:[ \t]*%)?)(?![A-Za-z0-9}])"
+    return F.regexp_replace(c, figure, r"\\textbf{$1}")

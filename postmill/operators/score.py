@@ -41,3 +41,27 @@ def shortlist(df: DataFrame, threshold: float, limit: int | None = None, score:
     """Rows that reach the threshold, best first, ties in order of discovery."""
     out = df.where(F.col(score) >= threshold).orderBy(F.desc(score), F.asc(order))
     return out.limit(limit) if limit is not None else out
+
+
+def technical_relevance(scores: Column, matched: Column, domains: list[str], guarded: list[str], core: list[str]) -> Column:
+    """A struct of score, domain and core_hit: the best of the listed domains, the first in a tie; guarded ones count only with a core skill."""
+    hit = F.arrays_overlap(matched, F.array(*map(F.lit, core)).cast("array<string>"))
+    ranked = [F.struct((F.coalesce(scores[d], F.lit(0.0)) * (hit.cast("int") if d in guarded else F.lit(1))).alias("s"), F.lit(-i).alias("o"), F.lit(d).alias("d")) for i, d in enumerate(domains)]
+    best = F.array_max(F.array(*ranked))
+    return F.struct(best["s"].alias("score"), F.when(best["s"] > 0, best["d"]).otherwise("").alias("domain"), hit.alias("core_hit"))
+
+
+def reasons(matched: Column, missing: Column, components: dict[str, Column], most: int = 12) -> Column:
+    """Lines that explain a score: coverage, each component, gaps and supported terms, lists cut after ``most`` words."""
+    total = F.size(matched) + F.size(missing)
+    percent = F.when(total > 0, F.rint(100 * F.size(matched) / F.nullif(total, F.lit(0)))).otherwise(0).cast("int")
+    listed = lambda a: F.array_join(F.slice(a, 1, most), ", ")
+    more = F.when(F.size(missing) > most, F.format_string(" (+%d more)", F.size(missing) - most)).otherwise("")
+    return F.array_compact(
+        F.array(
+            F.format_string("skill coverage %d%% (%d/%d terms)", percent, F.size(matched), total),
+            *(F.format_string(f"{k.replace('_', ' ')} %.2f", c) for k, c in components.items()),
+            F.when(F.size(missing) > 0, F.concat(F.lit("gaps: "), listed(missing), more)),
+            F.when(F.size(matched) > 0, F.concat(F.lit("supported: "), listed(matched))),
+        )
+    )

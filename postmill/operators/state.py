@@ -45,10 +45,55 @@ def append_with_ids(log: DataFrame, new: DataFrame, order: list[str], id_col: st
 
 
 def decide_reviews(applications: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Every application left to a person takes its posting's decision (stable_id, decision) as status human_<decision>."""
+    """Every application left to a person takes its posting's decision (stable_id, decision) as review_category human_<decision>; its status stays."""
     out = applications.join(decisions.select("stable_id", "decision"), "stable_id", "left")
     hit = (F.col("status") == "manual_required") & F.col("decision").isNotNull()
-    return out.withColumn("status", F.when(hit, F.concat(F.lit("human_"), "decision")).otherwise(F.col("status"))).drop("decision")
+    return out.withColumn("review_category", F.when(hit, F.concat(F.lit("human_"), "decision")).otherwise(F.col("review_category"))).drop("decision")
+
+
+def enqueue_reviews(queue: DataFrame, plans: DataFrame, at: Column) -> DataFrame:
+    """The queue with ``plans``: new ones are pending since ``at``; known ones take scores, lists and files but keep status, time, company, title and links."""
+    fixed = tuple(c for c in ("status", "created_at", "source", "company", "title", "url", "apply_url") if c in queue.columns)
+    return upsert(queue, plans.withColumns({"status": F.lit("pending"), "created_at": at}), "stable_id", keep=fixed)
+
+
+def update_applications(applications: DataFrame, changes: DataFrame, at: Column) -> DataFrame:
+    """``applications`` with the status, outcome and error of ``changes`` (id, ...); submitted_at is set when a status becomes submitted, and kept else."""
+    c = changes.select("id", *(F.col(x).alias(f"__{x}") for x in ("status", "outcome", "error")), F.lit(True).alias("__hit"))
+    hit = F.col("__hit").isNotNull()
+    out = applications.join(c, "id", "left").withColumns({x: F.when(hit, F.col(f"__{x}")).otherwise(F.col(x)) for x in ("status", "outcome", "error")})
+    out = out.withColumns({"updated_at": F.when(hit, at).otherwise(F.col("updated_at")), "submitted_at": F.when(hit & (F.col("status") == "submitted"), at).otherwise(F.col("submitted_at"))})
+    return out.select(applications.columns)
+
+
+def supersede_reviews(queue: DataFrame, applications: DataFrame, at: Column) -> DataFrame:
+    """Pending reviews of postings that have been submitted become superseded, decided at ``at``."""
+    done = applications.where("status = 'submitted'").select("stable_id").distinct().withColumn("__done", F.lit(True))
+    out = queue.join(done, "stable_id", "left").withColumn("__done", F.col("__done").isNotNull() & (F.col("status") == "pending"))
+    return out.withColumns({"status": F.when(F.col("__done"), "superseded").otherwise(F.col("status")), "decided_at": F.when(F.col("__done"), at).otherwise(F.col("decided_at"))}).select(queue.columns)
+
+
+def record_outcomes(applications: DataFrame, events: DataFrame, at: Column) -> DataFrame:
+    """``events`` (stable_id, outcome, note; one a posting) on each posting's newest application.
+
+    A null outcome is a follow-up: it adds a reminder and its time. Outcomes are written lower-case
+    with underscores; notes are appended with the time.
+    """
+    newest = applications.groupBy("stable_id").agg(F.max("id").alias("id"))
+    e = events.select("stable_id", F.replace(F.lower(F.trim("outcome")), F.lit(" "), F.lit("_")).alias("__outcome"), F.col("note").alias("__note")).join(newest, "stable_id").drop("stable_id").withColumn("__hit", F.lit(True))
+    out = applications.join(e, "id", "left")
+    hit, follow = F.col("__hit").isNotNull(), F.col("__hit").isNotNull() & F.col("__outcome").isNull()
+    line = F.concat(F.lit("["), at.cast("string"), F.lit("] "), F.col("__note"))
+    notes = F.when(F.coalesce("notes", F.lit("")) == "", line).otherwise(F.concat("notes", F.lit("\n"), line))
+    out = out.withColumns(
+        {
+            "outcome": F.coalesce("__outcome", "outcome"),
+            "reminders": F.col("reminders") + follow.cast("int"),
+            "last_followup_at": F.when(follow, at).otherwise(F.col("last_followup_at")),
+            "notes": F.when(hit & (F.coalesce("__note", F.lit("")) != ""), notes).otherwise(F.col("notes")),
+        }
+    )
+    return out.select(applications.columns)
 
 
 def blocking(applications: DataFrame, limits: Lifecycle) -> DataFrame:

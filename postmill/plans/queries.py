@@ -159,11 +159,11 @@ def upsert_snapshot(spark, d):
     return state.upsert(old, new, "k", keep=("status",), coalesce=("price",), fill_empty=("prio",))
 
 
-@query("decide_reviews", "SELECT event_id AS id, CASE WHEN event_type = 'view' AND user_id % 2 = 0 THEN 'human_approved' WHEN event_type = 'view' THEN 'manual_required' ELSE event_type END AS status FROM events")
+@query("decide_reviews", "SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'manual_required' ELSE event_type END AS status, CASE WHEN event_type = 'view' AND user_id % 2 = 0 THEN 'human_approved' ELSE 'band' END AS review_category FROM events")
 def decide_reviews(spark, d):
-    apps = _applications(spark, d).withColumn("status", F.when(F.col("status") == "view", "manual_required").otherwise(F.col("status")))
+    apps = _applications(spark, d).withColumns({"status": F.when(F.col("status") == "view", "manual_required").otherwise(F.col("status")), "review_category": F.lit("band")})
     decisions = apps.where("stable_id % 2 = 0").select("stable_id", F.lit("approved").alias("decision")).distinct()
-    return state.decide_reviews(apps, decisions).select("id", "status")
+    return state.decide_reviews(apps, decisions).select("id", "status", "review_category")
 
 
 @query("blocking_keys", "SELECT DISTINCT user_id AS stable_id FROM events WHERE event_type <> 'error'")
