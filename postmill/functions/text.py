@@ -103,6 +103,8 @@ def extract_terms(text: Column, lexicon: dict[str, list[str]]) -> Column:
             continue
         at = F.least(*(F.nullif(F.regexp_instr(t, F.lit(whole(p, "+"))), F.lit(0)) for p in phrases), F.lit(None).cast("int"))
         found.append(F.when(at.isNotNull(), F.struct(at.alias("at"), F.lit(-max(map(len, phrases))).alias("size"), F.lit(rank).alias("rank"), F.lit(name).alias("term"))))
+    if not found:
+        return F.array().cast("array<string>")
     return F.transform(F.array_sort(F.array_compact(F.array(*found))), lambda x: x["term"])
 
 

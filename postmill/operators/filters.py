@@ -99,7 +99,7 @@ def filter_postings(df: DataFrame, rules: Rules | None = None) -> DataFrame:
     """
     r = rules or Rules()
     text = searchable_text("title", "company", "location", "employment_type", "description")
-    df = df.withColumns({"place": location(r), "stipend": stipend(F.col("description"), r.stipend_floor), "window": window(text, *r.window_months)})
+    df = df.withColumns({"place": location(r), "stipend": stipend(F.col("description"), r.stipend_floor), "window": window(text, *r.window_months, prose=F.col("description"))})
     w, s, p = F.col("window"), F.col("stipend"), F.col("place")
     checks = F.array(
         internship(r),

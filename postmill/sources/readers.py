@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tomllib
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,6 +83,41 @@ def workable(spark: SparkSession, path: str, company: str) -> DataFrame:
     return posting(rows, "workable", job_id=F.col("shortcode"), title=F.col("title"), company=F.lit(company), location=place, employment_type=F.col("employment_type"), url=F.col("url"), apply_url=F.coalesce("application_url", "url"), published_at=F.col("published_on"), description=html_to_text("description"), is_remote=F.col("telecommuting"))
 
 
+def workable_global(spark: SparkSession, path: str) -> DataFrame:
+    """Landed pages of the board's own search; only a workplace named remote is remote."""
+    job = "struct<id:string,title:string,url:string,description:string,employmentType:string,created:string,updated:string,workplace:string,company:struct<title:string>,location:struct<city:string,subregion:string,countryName:string>>"
+    rows = _json(spark, path, f"jobs array<{job}>").select(F.explode("jobs").alias("j")).select("j.*")
+    place = F.concat_ws(", ", *(F.nullif(F.col(f"location.{c}"), F.lit("")) for c in ("city", "subregion", "countryName")))
+    names = ("title", "url")
+    return posting(rows, "workable_global", job_id=F.coalesce("id", "url", "title"), company=F.col("company.title"), location=place, apply_url=F.col("url"), employment_type=F.col("employmentType"), published_at=F.coalesce("created", "updated"), description=html_to_text("description"), is_remote=F.when(F.lower("workplace") == "remote", True), **{c: F.col(c) for c in names})
+
+
+def from_store(stored: DataFrame) -> DataFrame:
+    """Postings as a snapshot keeps them: null texts become empty, raw and salary are not restored."""
+    lost = {"raw": F.lit("{}"), "salary": F.lit("")}
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in stored.columns else F.lit("")
+    remote = F.col("is_remote").cast("boolean") if "is_remote" in stored.columns else F.lit(None).cast("boolean")
+    return stored.select(*(lost.get(f.name, remote if f.name == "is_remote" else text(f.name)).alias(f.name) for f in POSTING.fields))
+
+
+def exclusion_entries(spark: SparkSession, path: str) -> DataFrame:
+    """ord, source, company, title, url, stable_id and job_id of a list in TOML: tables ``applied`` or ``exclusions``; a bare text is a url.
+
+    The list is kept by hand and read on the driver; a missing file is an empty list.
+    """
+    names = ("source", "company", "title", "url", "stable_id", "job_id")
+    try:
+        text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        text = ""
+    listed = tomllib.loads(text)
+    entries = listed.get("applied") or listed.get("exclusions") or []
+    rows = [(i, *((e if isinstance(e, dict) else {"url": e}).get(c) for c in names)) for i, e in enumerate(entries)]
+    return spark.createDataFrame(rows, "ord int, " + ", ".join(f"{c} string" for c in names))
+
+
 def himalayas(spark: SparkSession, path: str) -> DataFrame:
     """No restriction of place means remote worldwide; an excerpt that the description lacks is added; seconds become ISO text."""
     job = "struct<guid:string,title:string,companyName:string,applicationLink:string,pubDate:string,employmentType:string,excerpt:string,description:string,locationRestrictions:array<string>,minSalary:double,maxSalary:double,currency:string>"
@@ -165,7 +202,7 @@ def manual_row(source: Column, url: Column, title: Column, company: Column) -> C
     return F.struct(source.alias("source"), F.concat(F.lit("manual-"), F.substring(F.sha1(F.trim(url)), 1, 16)).alias("job_id"), F.trim(title).alias("title"), F.trim(company).alias("company"), F.trim(url).alias("url"))
 
 
-READERS: dict[str, Callable[..., DataFrame]] = {"local": local_file, "greenhouse": greenhouse, "lever": lever, "ashby": ashby, "workable": workable, "himalayas": himalayas, "unstop": unstop, "themuse": the_muse}
+READERS: dict[str, Callable[..., DataFrame]] = {"local": local_file, "greenhouse": greenhouse, "lever": lever, "ashby": ashby, "workable": workable, "workable_global": workable_global, "himalayas": himalayas, "unstop": unstop, "themuse": the_muse}
 
 
 def discover(spark: SparkSession, feeds: list[tuple[str, dict]]) -> tuple[DataFrame, list[dict]]:

@@ -150,3 +150,30 @@ def test_upsert_rules(spark):
     new = spark.createDataFrame([("a", 9, "", "n"), ("c", 3, "z", "n")], "k string, score int, state string, note string")
     got = {r.k: tuple(r)[1:] for r in state.upsert(old, new, "k", keep=("score",), fill_empty=("state",)).collect()}
     assert got == {"a": (1, "x", "n", False), "b": (2, "y", "o", False), "c": (3, "z", "n", True)}
+
+
+@pytest.mark.parametrize(
+    "said, state, low, high",
+    [
+        ("CTC ₹6,00,000/annum. Stipend ₹15,000/month.", "confirmed_below_floor", 15000, 15000),
+        ("₹60,000 for 3 months stipend", "confirmed_below_floor", 20000, 20000),
+        ("Stipend: ₹60,000 over 8 weeks", "unstated", None, None),
+        ("Stipend: up to ₹10,000 per month", "confirmed_below_floor", 10000, 10000),
+        ("Stipend: up to ₹50,000 per month", "unstated", None, None),
+        ("We do not offer unpaid internships. Stipend ₹35,000/month", "confirmed_ge_floor", 35000, 35000),
+        ("Unpaid internship. Salary later ₹40,000", "unpaid", None, None),
+        ("₹30,000/month plus a ₹5,000 bonus", "confirmed_ge_floor", 30000, 30000),
+        ("Stipend 40,000/month, USD. INR", "unstated", None, None),
+        ("₹500 per day stipend", "unstated", None, None),
+        ("Stipend: 6-8 LPA INR", "confirmed_ge_floor", 50000, 66666),
+        ("₹4.8 Lakhs", "confirmed_ge_floor", 40000, 40000),
+        ("Annual stipend: ₹3,00,000", "confirmed_below_floor", 25000, 25000),
+        ("Travel allowance ₹2,000/month stipend ₹30,000/month", "confirmed_ge_floor", 30000, 30000),
+        ("6 months internship in 2026, stipend 32000 INR", "confirmed_ge_floor", 32000, 32000),
+        ("Stipend ₹25,000-30k per month", "confirmed_below_floor", 25000, 30000),
+        (None, "unstated", None, None),
+    ],
+)
+def test_stipend_by_clause(spark, said, state, low, high):
+    s = one(spark, said, money.stipend(F.col("x"))).c0
+    assert (s.state, s.amount, s.amount_high) == (state, low, high)

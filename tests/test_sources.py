@@ -54,3 +54,18 @@ def test_upsert_stream(spark, tmp_path):
 def test_daily_attempts_plan(spark):
     rows = spark.readStream.format("rate").load().select(F.col("timestamp").alias("ts"), F.lit("s").alias("status"), F.col("value").alias("stable_id"))
     assert upserts.daily_attempts(rows).isStreaming and upserts.first_seen_stream(rows, "stable_id", "ts").isStreaming
+
+
+def test_exclusion_list_and_store(spark, tmp_path):
+    (tmp_path / "x.toml").write_text('applied = ["https://a.example/1", {company = "B", stable_id = "s:2"}]')
+    got = readers.exclusion_entries(spark, f"{tmp_path}/x.toml").orderBy("ord").collect()
+    assert [(r.ord, r.url, r.company, r.stable_id) for r in got] == [(0, "https://a.example/1", None, None), (1, None, "B", "s:2")]
+    assert readers.exclusion_entries(spark, f"{tmp_path}/none.toml").count() == 0
+    back = readers.from_store(spark.createDataFrame([("lever", "1", None, 1, "5")], "source string, job_id string, title string, is_remote int, salary string")).first()
+    assert (back.source, back.job_id, back.title, back.is_remote, back.salary, back.raw) == ("lever", "1", "", True, "", "{}")
+
+
+def test_workable_global(spark, tmp_path):
+    (tmp_path / "w.json").write_text('{"jobs": [{"id": "1", "title": "T", "url": "u", "workplace": "Remote", "company": {"title": "C"}, "location": {"city": "", "countryName": "India"}}, {"title": "V", "url": "v"}], "nextPageToken": "x"}')
+    rows = readers.workable_global(spark, f"{tmp_path}/w.json").orderBy("title").collect()
+    assert [(r.job_id, r.location, r.is_remote, r.company) for r in rows] == [("1", "India", True, "C"), ("v", "", None, "")]
