@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores the passages."""
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman scores the passages."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +14,6 @@ from .common import GOLDEN, Scratch, mix64, pieces, text_bytes, word_hashes
 
 #: Words of a seed, distinct seeds that make a candidate, similarity from which a passage counts as a copy.
 SEED_WORDS, SEEDS, SIMILARITY = 3, 2, 0.45
-#: A seed in more than this share of the documents, and this number of them, is common; an item uses its common seeds only up to its own median.
-COMMON, RARE = 1e-3, 50
 #: Alignment: gain of equal words, cost of a different word and of a word too many.
 MATCH, MISMATCH, GAP = 2.0, 1.0, 1.0
 #: Bits of the filter of seeds that every task holds: a fixed 4 MB, whatever the benchmark's size.
@@ -55,7 +54,7 @@ def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _passages(bits: np.ndarray, longest: int, least: int):
-    """(doc_id, text) to passages around seeds: doc_id, first word, the words' hashes, the seeds found.
+    """(doc_id, text) to passages around seeds: doc_id, first word, a 128-bit digest, the words' hashes, the seeds found.
 
     Seeds of the filter, the odd chance hit included, that stand within ``longest`` words of each
     other form a passage, which reaches that many words further on both sides. A passage with
@@ -66,7 +65,7 @@ def _passages(bits: np.ndarray, longest: int, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            ids, start, passage, found = [], [], [], []
+            ids, start, key, passage, found = [], [], [], [], []
             for d, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 h = words(t)
                 s = seeds(h)
@@ -82,8 +81,9 @@ def _passages(bits: np.ndarray, longest: int, least: int):
                     ids.append(d)
                     start.append(lo)
                     passage.append(h[lo:hi].tobytes())
+                    key.append(xxhash.xxh3_128_digest(passage[-1]))
                     found.append(own.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int64()), pa.array(passage, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "start", "passage", "seeds"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int64()), pa.array(key, pa.binary()), pa.array(passage, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "start", "key", "passage", "seeds"])
 
     return run
 
@@ -111,24 +111,32 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        item = [np.frombuffer(x, np.uint64) for x in batch.column(4).to_pylist()]
-        passage = [np.frombuffer(x, np.uint64) for x in batch.column(5).to_pylist()]
-        order = sorted(range(len(item)), key=lambda i: (len(passage[i]), len(item[i])))
-        score, end = np.zeros(len(item)), np.zeros(len(item), np.int64)
-        at = 0
-        while at < len(order):  # about four million cells at once
-            n = max(1, min(len(order) - at, 4_000_000 // max(1, len(passage[order[min(len(order) - 1, at + 255)]]) * 16), 256))
-            ids = order[at : at + n]
-            s, e = align([item[i] for i in ids], [passage[i] for i in ids])
-            score[ids] = s / [MATCH * max(1, len(item[i])) for i in ids]
-            end[ids] = e
-            at += n
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), pa.array(score), pa.array(batch.column(3).to_numpy() + end)],
-            ["doc_id", "item_id", "n_seeds", "score", "end_word"],
-        )
+def _align(similarity: float):
+    """Pairs of a passage and an item to their score, if it reaches ``similarity``, and the passage's words up to the copy's end.
+
+    No alignment matches more words of an item than those that stand anywhere in the passage: where
+    these do not reach ``similarity``, nothing is aligned and nothing lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            item = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+            passage = [np.frombuffer(x, np.uint64) for x in batch.column(4).to_pylist()]
+            able = [i for i in range(len(item)) if np.isin(item[i], passage[i]).sum() >= similarity * len(item[i])]
+            order = sorted(able, key=lambda i: (len(passage[i]), len(item[i])))
+            score, end = np.zeros(len(item)), np.zeros(len(item), np.int64)
+            at = 0
+            while at < len(order):  # about four million cells at once
+                n = max(1, min(len(order) - at, 4_000_000 // max(1, len(passage[order[min(len(order) - 1, at + 255)]]) * 16), 256))
+                ids = order[at : at + n]
+                s, e = align([item[i] for i in ids], [passage[i] for i in ids])
+                score[ids] = s / [MATCH * max(1, len(item[i])) for i in ids]
+                end[ids] = e
+                at += n
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(score), pa.array(end)], ["key", "item", "n_seeds", "score", "end"])
+            yield out.filter(pa.array(score >= similarity))
+
+    return run
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
@@ -140,10 +148,10 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
 
     1. A task scans its documents once, with a fixed-size filter of all seeds, and emits only the
        passages around seeds; the documents' text is not shuffled.
-    2. Seeds found join the items' seeds. A seed is rare if few documents hold it, counted over all
-       of them, or no more than the median of its item's seeds found: so an item that leaks
-       everywhere still has seeds.
-    3. Passages and items that share SEEDS rare seeds (all, if the item has fewer) are aligned.
+    2. Equal passages are collapsed, so that what is copied with its surroundings is aligned once.
+    3. Seeds found join the items' seeds, common ones too: all passages and items that share SEEDS
+       seeds (all, if the item has fewer) are aligned, and the scores join the documents. So a
+       document's result depends neither on the other documents nor on their number.
 
     Edge cases: null and empty texts, and items of fewer than SEED_WORDS words, match nothing. Items
     with equal words are aligned once and reported each. Rows with a null doc_id are not reported,
@@ -162,18 +170,13 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
         longest, least = 1, 1
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    found = scratch.keep(text.mapInArrow(_passages(bits, longest, min(SEEDS, least)), "doc_id long, start long, passage binary, seeds array<long>"), "passages")
-    n = docs.count()
-    hits = found.select("doc_id", "start", F.explode("seeds").alias("seed")).distinct()
-    often = hits.groupBy("seed").agg(F.count("*").alias("df"))
-    ranked = of_item.join(often, "seed")
-    median = ranked.groupBy("item").agg(F.percentile("df", F.lit(0.5)).alias("half"))
-    rare = ranked.join(median, "item").join(one.select("item", F.size("seeds").alias("of")), "item").where((F.col("df") <= max(RARE, COMMON * n)) | (F.col("df") <= F.col("half"))).select("item", "seed", "of")
-    pairs = hits.join(rare, "seed").groupBy("doc_id", "start", "item").agg(F.count("*").alias("n_seeds"), F.first("of").alias("of"))
-    pairs = pairs.where(F.col("n_seeds") >= F.least(F.lit(SEEDS), "of"))
-    pairs = pairs.join(one.select("item", "words"), "item").join(found.select("doc_id", "start", "passage").dropDuplicates(["doc_id", "start"]), ["doc_id", "start"])
-    aligned = pairs.select("doc_id", "item", "n_seeds", "start", "words", "passage").mapInArrow(_align, "doc_id long, item long, n_seeds long, score double, end_word long")
-    best = aligned.where(F.col("score") >= similarity).groupBy("doc_id", "item").agg(F.max(F.struct("score", "n_seeds", "end_word")).alias("b"))
+    found = scratch.keep(text.mapInArrow(_passages(bits, longest, min(SEEDS, least)), "doc_id long, start long, key binary, passage binary, seeds array<long>"), "passages")
+    passages = scratch.keep(found.groupBy("key").agg(F.first("passage").alias("passage"), F.first("seeds").alias("seeds")), "distinct-passages")
+    pairs = passages.select("key", F.explode("seeds").alias("seed")).join(of_item, "seed").groupBy("key", "item").agg(F.count("*").alias("n_seeds"))
+    pairs = pairs.join(one.select("item", "words", F.size("seeds").alias("of")), "item").where(F.col("n_seeds") >= F.least(F.lit(SEEDS), "of")).join(passages.select("key", "passage"), "key")
+    aligned = pairs.select("key", "item", "n_seeds", "words", "passage").mapInArrow(_align(similarity), "key binary, item long, n_seeds long, score double, end long")
+    copies = found.select("key", "doc_id", "start").join(aligned, "key").withColumn("end_word", F.col("start") + F.col("end"))
+    best = copies.groupBy("doc_id", "item").agg(F.max(F.struct("score", "n_seeds", "end_word")).alias("b"))
     twins = items.join(one.select("words", "item"), "words").select("item", "item_id").distinct()
     return best.join(twins, "item").select("doc_id", "item_id", "b.n_seeds", "b.score", "b.end_word")
 

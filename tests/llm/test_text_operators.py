@@ -88,6 +88,19 @@ def test_decontamination(spark):
     assert decontaminate.contamination(spark, df.limit(0), bench).count() == 0
 
 
+def test_decontamination_aligns_copies_of_common_seeds(spark):
+    rng = random.Random(8)
+    item = words(rng, 40).split()
+    whole, half = " ".join(item), " ".join(item[:20])
+    # the first half leaks into more documents than the second, and both into many
+    docs = [(i, f"{words(rng, 30)} {whole} {words(rng, 30)}") for i in range(60)] + [(100 + i, f"{words(rng, 30)} {half} {words(rng, 30)}") for i in range(60)]
+    bench = spark.createDataFrame([(1, whole)], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.contamination(spark, spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got.keys() == {i for i, _ in docs} and got[0] == 1 and got[100] >= 0.5
+    alone = decontaminate.contamination(spark, spark.createDataFrame(docs[-1:], "doc_id long, text string"), bench).collect()
+    assert [(r.doc_id, r.score) for r in alone] == [(159, got[159])]
+
+
 def test_alignment_against_plain_smith_waterman():
     rng = np.random.default_rng(1)
     pairs = [(rng.integers(0, 6, rng.integers(1, 15)).astype(np.uint64), rng.integers(0, 6, rng.integers(1, 30)).astype(np.uint64)) for _ in range(60)]
