@@ -101,6 +101,16 @@ def test_decontamination_aligns_copies_of_common_seeds(spark):
     assert [(r.doc_id, r.score) for r in alone] == [(159, got[159])]
 
 
+def test_decontamination_of_an_item_of_two_seeds(spark):
+    rng = random.Random(9)
+    # the trigram that both items have is in 61 documents
+    item, other = "gamma delta epsilon zeta", "gamma delta epsilon eta"
+    docs = [(i, f"{words(rng, 20)} {other} {words(rng, 20)}") for i in range(60)] + [(100, f"{words(rng, 20)} {item} {words(rng, 20)}")]
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    got = decontaminate.contamination(spark, spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id, r.score, r.n_seeds) for r in got} == {(100, 1, 1.0, 2)} | {(i, 2, 1.0, 2) for i in range(60)}
+
+
 def test_alignment_against_plain_smith_waterman():
     rng = np.random.default_rng(1)
     pairs = [(rng.integers(0, 6, rng.integers(1, 15)).astype(np.uint64), rng.integers(0, 6, rng.integers(1, 30)).astype(np.uint64)) for _ in range(60)]
