@@ -14,6 +14,8 @@ from .common import GOLDEN, Scratch, mix64, pieces, text_bytes, word_hashes
 
 #: Words of a seed, distinct seeds that make a candidate, similarity from which a passage counts as a copy.
 SEED_WORDS, SEEDS, SIMILARITY = 3, 2, 0.45
+#: Words' worth of an alignment, net of its edits, that counts as a copy of a part, however long the item.
+LONG = 20
 #: Alignment: gain of equal words, cost of a different word and of a word too many.
 MATCH, MISMATCH, GAP = 2.0, 1.0, 1.0
 #: Bits of the filter of seeds that every task holds: a fixed 4 MB, whatever the benchmark's size.
@@ -112,29 +114,29 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
 
 
 def _align(similarity: float):
-    """Pairs of a passage and an item to their score, if it reaches ``similarity``, and the passage's words up to the copy's end.
+    """Pairs of a passage and an item to their score, if it reaches ``similarity`` or is worth LONG words, and the passage's words up to the copy's end.
 
     No alignment matches more words of an item than those that stand anywhere in the passage: where
-    these do not reach ``similarity``, nothing is aligned and nothing lost.
+    these reach neither, nothing is aligned and nothing lost.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             item = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
             passage = [np.frombuffer(x, np.uint64) for x in batch.column(4).to_pylist()]
-            able = [i for i in range(len(item)) if np.isin(item[i], passage[i]).sum() >= similarity * len(item[i])]
+            able = [i for i in range(len(item)) if np.isin(item[i], passage[i]).sum() >= min(LONG, similarity * len(item[i]))]
             order = sorted(able, key=lambda i: (len(passage[i]), len(item[i])))
-            score, end = np.zeros(len(item)), np.zeros(len(item), np.int64)
+            score, end, long = np.zeros(len(item)), np.zeros(len(item), np.int64), np.zeros(len(item), bool)
             at = 0
             while at < len(order):  # about four million cells at once
                 n = max(1, min(len(order) - at, 4_000_000 // max(1, len(passage[order[min(len(order) - 1, at + 255)]]) * 16), 256))
                 ids = order[at : at + n]
                 s, e = align([item[i] for i in ids], [passage[i] for i in ids])
                 score[ids] = s / [MATCH * max(1, len(item[i])) for i in ids]
-                end[ids] = e
+                end[ids], long[ids] = e, s >= MATCH * LONG
                 at += n
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(score), pa.array(end)], ["key", "item", "n_seeds", "score", "end"])
-            yield out.filter(pa.array(score >= similarity))
+            yield out.filter(pa.array(long | (score >= similarity)))
 
     return run
 
@@ -145,6 +147,8 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
     score is the best local alignment's share of the item's own score against itself, 1 for a
     verbatim copy; end_word counts the document's words up to the copy's end. Paraphrased copies
     match as long as SEEDS seeds of SEED_WORDS words survive and the alignment reaches ``similarity``.
+    A part of a long item, whose share is less, matches if its alignment is worth LONG equal words after
+    the cost of its edits.
 
     1. A task scans its documents once, with a fixed-size filter of all seeds, and emits only the
        passages around seeds; the documents' text is not shuffled.

@@ -111,6 +111,16 @@ def test_decontamination_of_an_item_of_two_seeds(spark):
     assert {(r.doc_id, r.item_id, r.score, r.n_seeds) for r in got} == {(100, 1, 1.0, 2)} | {(i, 2, 1.0, 2) for i in range(60)}
 
 
+def test_decontamination_finds_parts_of_long_items(spark):
+    rng = random.Random(10)
+    long, middle = words(rng, 400).split(), words(rng, 59).split()
+    parts = {1: long[100:150], 2: middle[30:55], 3: long[200:210], 4: [w for i, w in enumerate(long[:60]) if i % 10]}
+    docs = spark.createDataFrame([(i, f"{words(rng, 50)} {' '.join(p)} {words(rng, 50)}") for i, p in parts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(middle))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contamination(spark, docs, bench).collect()}
+    assert got.keys() == {(1, 1), (2, 2), (4, 1)} and got[1, 1] >= 0.125 and got[2, 2] < decontaminate.SIMILARITY
+
+
 def test_alignment_against_plain_smith_waterman():
     rng = np.random.default_rng(1)
     pairs = [(rng.integers(0, 6, rng.integers(1, 15)).astype(np.uint64), rng.integers(0, 6, rng.integers(1, 30)).astype(np.uint64)) for _ in range(60)]
