@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ HARD = 32
 #: Bounds of the training sample: labelled documents of each label, and sentences of each label.
 DOCS_A_LABEL, SENTENCES_A_LABEL, SENTENCE_WORDS = 3000, 40_000, 40
 
-# Letters of Latin-1 in lower case get codes from 1; anything else is a gap, code 0.
+# Letters of Latin-1 in lower case get codes from 1, those of other scripts share the codes beyond ASCII; anything else is a gap, code 0.
 _LETTERS = [c for c in range(256) if chr(c).isalpha() and chr(c) == chr(c).lower()]
 _CODE = np.zeros(256, np.uint8)
 _CODE[_LETTERS] = np.arange(1, len(_LETTERS) + 1)
@@ -37,11 +40,51 @@ _CODE[1] = _END
 _BASE = _END + 1
 _EDGES = bytes(c for c in range(256) if not chr(c).isalpha())
 _TABLE = _BASE**ORDER
+# Codes of other letters: neighbours differ, so small alphabets (Cyrillic, Greek, Hebrew) hardly collide.
+_SHARED = [chr(c) for c in _LETTERS if c > 127]
+_OTHER = re.compile("[^\x00-\xff]+")
+# Scripts of many signs, two letters a sign; and those without blanks between words, with the signs of a window.
+_MANY = [(0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+_RUN_ON = [(0x3040, 0x30FF, 2), (0x3400, 0x9FFF, 2), (0xF900, 0xFAFF, 2), (0x20000, 0x3FFFF, 2), (0x0E00, 0x0EFF, 6), (0x1000, 0x109F, 6), (0x1780, 0x17FF, 6)]
+
+
+@lru_cache(1 << 16)
+def _other(c: str) -> tuple[str, int]:
+    """A character beyond Latin-1 as Latin-1 letters (? if it is no letter), and the signs of a window of its script, 0 if that has blanks."""
+    o, n = ord(c), len(_SHARED)
+    # marks are letters of scripts that write vowels so; accents set on Latin letters are not
+    if unicodedata.category(c)[0] not in "LM" or 0x300 <= o <= 0x36F or 0xFE00 <= o <= 0xFE0F:
+        return "?", 0
+    as_letters = _SHARED[o % n] + (_SHARED[o // n % n] if any(a <= o <= b for a, b in _MANY) else "")
+    return as_letters, next((w for a, b, w in _RUN_ON if a <= o <= b), 0)
+
+
+def _spelt(found: re.Match) -> str:
+    """Characters beyond Latin-1 as Latin-1; a run without blanks as all its windows, each a word."""
+    out, run, width = [], [], 0
+    for letters, w in [*map(_other, found.group()), ("", -1)]:
+        if run and w != width:
+            out.append(f" {' '.join(''.join(run[i : i + width]) for i in range(max(1, len(run) - width + 1)))} ")
+            run = []
+        if w > 0:
+            run.append(letters)
+        else:
+            out.append(letters)
+        width = w
+    return "".join(out)
 
 
 def words_of(text: str) -> list[bytes]:
-    """The words of a text in lower case, one byte a character, without what is no letter at their ends; a run of single letters counts as one word."""
-    raw = text.lower().encode("latin-1", "replace").split()
+    """The words of a text in lower case, one byte a letter, without what is no letter at their ends; a run of single letters counts as one word.
+
+    Letters beyond Latin-1 are hashed. Scripts without blanks between words give overlapping windows;
+    signs of those that are kept apart by other characters are not joined.
+    """
+    text = text.lower()
+    try:
+        raw = text.encode("latin-1").split()
+    except UnicodeEncodeError:
+        raw = _OTHER.sub(_spelt, text).encode("latin-1").split()
     out, run = [], []
     for w in raw:
         if len(w) == 1:
@@ -61,7 +104,7 @@ def words_of(text: str) -> list[bytes]:
 def sentences_of(text: str) -> list[str]:
     """Sentences: cut at ends of sentences and lines, and after SENTENCE_WORDS words."""
     out = []
-    for part in text.replace("!", ".").replace("?", ".").replace("\n", ".").split("."):
+    for part in re.split("[.!?\n。！？।؟۔]", text):
         w = part.split()
         out += [" ".join(w[i : i + SENTENCE_WORDS]) for i in range(0, len(w), SENTENCE_WORDS)]
     return out

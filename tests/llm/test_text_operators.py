@@ -40,6 +40,26 @@ def test_toxicity_learns_and_bridges_gaps(spark):
     assert {r.score for r in none} == {0.0}
 
 
+@pytest.mark.parametrize(
+    ("letters", "blank", "bad", "disguised"),
+    [("оеаинтсрвлкмд", " ", ["бжуцык", "шпыргач", "ъяфщоз"], "ты б.ж.у.ц.ы.к вот"), ("αειονσρτκλ", " ", ["ψφξωβγ", "χζθδξη", "γδβπφψ"], "σε ψφ*ξωβγ να"), ("的一是不了在人有我他这中大来上个国到说们", "", ["蠢驴", "混蛋", "傻瓜"], "你是混蛋吗")],
+)
+def test_toxicity_learns_other_scripts(letters, blank, bad, disguised):
+    rng = random.Random(11)
+    one = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 8)))
+    sentences = []
+    for i in range(600):
+        w = [one() for _ in range(15)]
+        if i % 4 == 0:
+            w[rng.randrange(15)] = rng.choice(bad)
+        sentences.append((i, int(i % 4 == 0), blank.join(w)))
+    model = toxicity.train(sentences)
+    assert model is not None
+    worst = lambda t: model.decide(toxicity.words_of(t)).max()
+    assert all(worst(blank.join([one(), b, one()])) > 0 for b in bad) and worst(disguised) > 0
+    assert np.mean([worst(blank.join(one() for _ in range(15))) < 0 for _ in range(100)]) > 0.9
+
+
 def test_language(spark):
     rng = random.Random(2)
     docs = [(i, words(rng, 30, "etaoin" if i % 2 else "xyzwvuk"), "aa" if i % 2 else "bb", "s", 0.0) for i in range(400)]
