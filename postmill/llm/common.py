@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from postmill.session import read_table
 
-__all__ = ["Scratch", "checkpoint_root", "crc_of_id", "golden", "mix64", "read_table", "text_bytes", "word_hashes"]
+__all__ = ["Scratch", "checkpoint_root", "crc_of_id", "delete", "discarded", "golden", "mix64", "read_table", "scratch_folder", "text_bytes", "word_hashes"]
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,11 +43,45 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_made: list[str] = []
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage."""
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below :func:`checkpoint_root`; the file system deletes it when the application ends."""
+    root = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    p, fs = _path(spark, root)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    _made.append(root)
+    return root
+
+
+@contextmanager
+def discarded(spark: SparkSession):
+    """Delete, at the end, the scratch folders that were made within: for results that have been written elsewhere."""
+    before = len(_made)
+    yield
+    for root in _made[before:]:
+        delete(spark, root)
+    del _made[before:]
+
+
 class Scratch:
     """Intermediate tables written to the shared folder, so that lost executors cost no recomputation of long lineages."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.count = spark, f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
+        self.spark, self.root, self.count = spark, scratch_folder(spark, name), 0
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """``df`` as a written table that is read back."""
@@ -59,8 +94,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table of :meth:`keep` that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, df.scratch_path)
 
 
 def crc_of_id(col: str = "doc_id"):
