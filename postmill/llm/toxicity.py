@@ -125,32 +125,35 @@ def split_long(word: bytes) -> list[bytes]:
     return [word[i : i + LONGEST] for i in range(0, max(1, len(word) - step), step)]
 
 
-def _subsequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """For each shape of a subsequence: its index in the table for every place of every word, which of them exist, and its weight."""
+#: The weight of a subsequence by the number of places between its first and its last letter, less two.
+_WEIGHTS = DECAY ** np.arange(3, SPAN + 1)
+_ABSENT = np.iinfo(np.int32).max
+
+
+def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and values of the words' normalised feature vectors; equal subsequences of a word add up.
+
+    A word's subsequences stand in one row, as their index with the code of their weight, and are
+    sorted, so equal ones are neighbours.
+    """
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    codes = _codes(words).astype(np.int32)
     w = codes.shape[1] - SPAN
-    c = codes.astype(np.int32)
-    first = c[:, :w]
+    first, found = codes[:, :w], []
     for d in range(1, SPAN - 1):
-        second = c[:, d : d + w]
+        second = codes[:, d : d + w]
         pair, there = first * _BASE + second, (first > 0) & (second > 0)
         for e in range(1, SPAN - d):
-            third = c[:, d + e : d + e + w]
-            yield pair * _BASE + third, there & (third > 0), DECAY ** (d + e + 1)
-
-
-def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, columns and values of the words' normalised feature vectors; equal subsequences of a word add up."""
-    codes = _codes(words)
-    rows, cols, vals = [], [], []
-    for at, there, weight in _subsequences(codes):
-        r, p = np.nonzero(there)
-        rows.append(r)
-        cols.append(at[r, p])
-        vals.append(np.full(len(r), weight))
-    key = np.concatenate(rows).astype(np.int64) * _TABLE + np.concatenate(cols)
-    key, inverse = np.unique(key, return_inverse=True)
-    val = np.bincount(inverse, np.concatenate(vals), len(key)) if len(key) else np.zeros(0)
-    row, col = key // _TABLE, key % _TABLE
+            third = codes[:, d + e : d + e + w]
+            found.append(np.where(there & (third > 0), (pair * _BASE + third) * 8 + (d + e - 2), _ABSENT))
+    keys = np.concatenate(found, axis=1)
+    keys.sort(axis=1)
+    width, flat = keys.shape[1], keys.ravel()
+    at = np.flatnonzero(flat != _ABSENT)
+    row, col, val = at // width, flat[at] >> 3, _WEIGHTS[flat[at] & 7]
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(col) != 0)])) if len(at) else at
+    row, col, val = row[starts], col[starts], np.add.reduceat(val, starts) if len(at) else val
     norm = np.sqrt(np.bincount(row, val**2, len(words)))
     return row, col, val / norm[row] if len(val) else val
 
@@ -171,27 +174,30 @@ def kernel(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     return out
 
 
+def collapse(landmarks: list[bytes], alpha: np.ndarray) -> np.ndarray:
+    """Weights of subsequences under which a word's decision is its kernel with the landmarks, weighted by ``alpha``."""
+    r, c, v = features(landmarks)
+    table = np.zeros(_TABLE)
+    np.add.at(table, c, alpha[r] * v)
+    return table.astype(np.float32)
+
+
 @dataclass
 class Model:
     """The decision as weights of subsequences, and the document score's calibration."""
 
     weights: np.ndarray  # float32, by index of a subsequence
     bias: float
-    landmarks: list[bytes]
     scale: np.ndarray | None = None  # of the document's logistic regression
 
     def decide(self, words: list[bytes]) -> np.ndarray:
-        """The machine's decision for each word, positive for insults. Linear in the subsequences, so no landmark is visited."""
+        """The machine's decision for each word, positive for insults. Linear in the word's features, so no landmark is visited."""
         out = np.full(len(words), self.bias, np.float32)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for i in range(0, len(words), 8192):
-            ids = order[i : i + 8192]
-            codes = _codes([words[j] for j in ids])
-            dot, norm = np.zeros(len(ids), np.float32), np.zeros(len(ids), np.float32)
-            for at, there, weight in _subsequences(codes):
-                dot += weight * np.where(there, self.weights[at], 0).sum(axis=1)
-                norm += weight**2 * there.sum(axis=1)
-            out[ids] += dot / np.sqrt(np.maximum(norm, 1e-12))
+        for i in range(0, len(words), 2048):
+            ids = order[i : i + 2048]
+            row, col, val = features([words[j] for j in ids])
+            out[ids] += np.bincount(row, self.weights[col] * val, len(ids)).astype(np.float32)
         return out
 
     def describe(self, decisions: list[float], words: int) -> list[float]:
@@ -311,12 +317,14 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 7) -> Model | None:
                     taken.append(i)
             landmarks += [hard[i] for i in taken]
 
-    # collapse landmarks into weights of subsequences
-    alpha = root @ w[:-1].astype(np.float64)
-    r, c, v = features(landmarks)
-    table = np.zeros(_TABLE, np.float32)
-    np.add.at(table, c, alpha[r] * v)
-    return Model(table, float(w[-1]), landmarks)
+    return Model(collapse(landmarks, root @ w[:-1].astype(np.float64)), float(w[-1]))
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, toxic, sentence) to the machine's one row, none if nothing can be learned."""
+    model = train([r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)])
+    if model is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
 
 
 def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,18 +357,21 @@ def _sample(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Train on the driver on at most SENTENCES_A_LABEL sentences of each label, then calibrate on the sample's documents.
+    """Train in one task on at most SENTENCES_A_LABEL sentences of each label, then calibrate on the sample's documents.
 
-    The driver gets the sentences and one short row for each sampled document; both bounds hold at any input size.
+    The driver gets the machine, about a megabyte, and one short row for each sampled document; the
+    bounds hold at any input size.
     """
     sentences = training_sentences(docs, labels)
     order = [F.xxhash64("doc_id", "sentence"), "doc_id", "sentence"]
     parts = [sentences.where(f"toxic = {y}").orderBy(*order).limit(SENTENCES_A_LABEL) for y in (0, 1)]
-    model = train([tuple(r) for p in parts for r in p.toPandas().itertuples(index=False)])
-    if model is not None:
-        sample = docs.select("doc_id", "text").join(F.broadcast(_sample(labels)), "doc_id")
-        rows = sample.select("toxic", "text").mapInArrow(_describe(model), "toxic int, described array<double>").toPandas()
-        model.scale = _logistic(np.array(rows["described"].tolist()), rows["toxic"].to_numpy(float))
+    trained = parts[0].union(parts[1]).coalesce(1).mapInArrow(_train, "weights binary, bias double").collect()
+    if not trained:
+        return None
+    model = Model(np.frombuffer(trained[0]["weights"], np.float32), trained[0]["bias"])
+    sample = docs.select("doc_id", "text").join(F.broadcast(_sample(labels)), "doc_id")
+    rows = sample.select("toxic", "text").mapInArrow(_describe(model), "toxic int, described array<double>").collect()
+    model.scale = _logistic(np.array([r["described"] for r in rows]), np.array([r["toxic"] for r in rows], float))
     return model
 
 
