@@ -78,42 +78,46 @@ def _weigh(ratios: np.ndarray):
     return run
 
 
+def _ordinal(x: float) -> int:
+    """The place of a finite float64 among all of them in order."""
+    n = int(np.float64(x + 0.0).view(np.int64))
+    return n if n >= 0 else -(n & 0x7FFFFFFFFFFFFFFF)
+
+
 def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
     """Exactly the k-th largest value of a finite column; None if there are fewer.
 
     Histograms narrow the range it lies in, so that only a bounded number of counts and at most
-    _FEW rows are ever ordered or sent to the driver, whatever the size of ``df``.
+    _FEW rows are ever ordered or sent to the driver, whatever the size of ``df``. A range that
+    holds no more than _BINS different floats is counted value by value.
     """
     lo, hi, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
     if k < 1 or n < k:
         return None
     above = 0  # rows over hi
-    while True:
-        inside = df.where(F.col(column).between(lo, hi))
-        if n <= _FEW or hi <= lo or np.nextafter(lo, hi) >= hi:
-            top = inside.select(column).orderBy(F.desc(column)).limit(min(k - above, _FEW))
-            return hi if hi <= lo else top.agg(F.min(column)).first()[0]
+    while hi > lo and n > _FEW:
+        inside, fine = df.where(F.col(column).between(lo, hi)), _ordinal(hi) - _ordinal(lo) <= _BINS
         width = (hi - lo) / _BINS
-        b = F.least(F.floor((F.col(column) - lo) / width), F.lit(_BINS - 1)).alias("bin")
+        b = F.col(column) if fine else F.least(F.floor((F.col(column) - lo) / width), F.lit(_BINS - 1))
         # each bin's own least and largest values, so that rounding of its edges doesn't matter
-        found = sorted(inside.groupBy(b).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).collect(), key=lambda r: -r["bin"])
+        found = sorted(inside.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).collect(), key=lambda r: -r["bin"])
         for r in found:
             if above + r["n"] >= k:
-                if r["n"] == n:  # nothing was told apart: the values all but coincide
-                    lo, hi, n = r["lo"], r["hi"], min(n, _FEW)
-                else:
-                    lo, hi, n = r["lo"], r["hi"], r["n"]
+                lo, hi, n = r["lo"], r["hi"], r["n"]
                 break
             above += r["n"]
+    if hi <= lo:
+        return hi
+    return df.where(F.col(column).between(lo, hi)).select(column).orderBy(F.desc(column)).limit(k - above).agg(F.min(column)).first()[0]
 
 
 def importance_resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, keep_share: float = KEEP_SHARE) -> DataFrame:
     """doc_id, n_grams, log_weight, sampling_key and selected for every row of ``docs`` (doc_id, text).
 
-    log_weight is the log ratio of the target's to the raw model's probability of the document's
-    n-grams. Its variance grows with their number, so a document competes by log_weight over the
-    square root of n_grams, plus a Gumbel variable drawn from its id: the ``keep_share`` of the rows
-    with the highest keys is a sample without replacement in proportion to the weights.
+    log_weight is the logarithm of a document's importance weight, the ratio of the target's to the
+    raw model's probability of its n-grams. With a Gumbel variable drawn from its id added, the
+    ``keep_share`` of the rows with the highest keys is a sample without replacement in proportion
+    to the weights.
 
     Edge cases: null and empty texts have no n-grams and weight 0. Without target documents all
     weights are 0 and the draw is uniform. Rows whose key ties with the last one drawn are all
@@ -124,7 +128,7 @@ def importance_resample(spark: SparkSession, docs: DataFrame, labels: DataFrame,
     ratios = log_ratios(docs, labels)
     weighed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_weigh(ratios), "doc_id long, n_grams long, log_weight double")
     u = (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    key = F.col("log_weight") / F.sqrt(F.greatest("n_grams", F.lit(1))) - F.log(-F.log(u))
+    key = F.col("log_weight") - F.log(-F.log(u))
     keyed = scratch.keep(weighed.withColumn("sampling_key", key), "keyed")
     last = kth_largest(keyed, "sampling_key", round(keep_share * keyed.count()))
     return keyed.withColumn("selected", F.col("sampling_key") >= last if last is not None else F.lit(False))
