@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .sharding import running_sum
 
 #: Most repetitions of a document, for the query and for the pipeline; documents of a block.
 REPEATS, PIPELINE_REPEATS, BLOCK_DOCS = 2.0, 1.25, 1000
@@ -71,27 +72,32 @@ def source_budgets(stats: DataFrame, exponent: float, budget: float | None = Non
     return powered.select("src", "tokens", "docs", (F.col("w") / z).alias("weight"), F.round(F.col("w") / z * whole).cast("long").alias("budget"))
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """``docs`` with mix_tokens instead of other columns named mix_*: what :func:`mix` takes, so that texts are read once."""
+    return docs.select([c for c in docs.columns if not c.startswith("mix_")]).withColumn("mix_tokens", n_tokens())
+
+
 def mix(spark: SparkSession, docs: DataFrame, *, max_repeats: float | None = REPEATS, min_entropy: float | None = None, budget: float | None = None) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) drawn to their sources' weights, with mix_epoch, mix_tokens and mix_offset.
+    """The documents of :func:`counted` (doc_id, source, mix_tokens, ...) drawn to their sources' weights, with mix_epoch and mix_offset.
 
     Every source is read in whole epochs and a part of one more, until its budget is full. In each
     epoch its documents fall by hash into blocks of about BLOCK_DOCS; blocks come in a permuted
     order, and so do the documents of a block. mix_offset is the number of the source's tokens that
     come before: sorting by mix_offset over the source's budget interleaves the sources.
 
-    Running sums are taken within blocks, and over the blocks' sums, so a source with a third of all
-    documents is spread like any other.
+    Running sums are taken within blocks, over bins of blocks and over the bins' sums, so a source
+    with a third of all documents is spread like any other. ``docs`` is read several times: give a
+    written table.
 
     Edge cases: a null source counts as the source named by the empty string. Texts without tokens,
     null ones included, are drawn once, in epoch 1. Null ids and repeated rows are drawn like other
-    rows. Columns named mix_* of ``docs`` give way to the new ones. An empty table gives no rows.
+    rows. An empty table gives no rows.
     """
     scratch = Scratch(spark, "mix")
-    docs = docs.select([c for c in docs.columns if not c.startswith("mix_")])
-    stats = scratch.keep(docs.select(_source().alias("src"), n_tokens().alias("n")).groupBy("src").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")), "sources")
+    stats = scratch.keep(docs.groupBy(_source().alias("src")).agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("docs")), "sources")
     exponent = solve_exponent(stats, max_repeats=max_repeats, min_entropy=min_entropy, budget=budget)
     budgets = source_budgets(stats, exponent, budget).select(F.col("src").alias("mix_src"), F.col("tokens").alias("mix_all"), F.col("budget").alias("mix_budget"), F.ceil(F.col("docs") / BLOCK_DOCS).alias("mix_blocks"))
-    rows = docs.withColumn("mix_tokens", n_tokens()).withColumn("mix_src", _source())
+    rows = docs.withColumn("mix_src", _source())
     rows = rows.join(budgets, "mix_src", "left").withColumns({"mix_all": F.coalesce("mix_all", F.lit(1)), "mix_budget": F.coalesce("mix_budget", F.lit(0)), "mix_blocks": F.coalesce("mix_blocks", F.lit(1))})
     epochs = F.when(F.col("mix_tokens") > 0, F.ceil(F.col("mix_budget") / F.col("mix_all"))).otherwise(F.lit(1))
     rows = rows.where((F.col("mix_tokens") == 0) | (F.col("mix_budget") > 0)).withColumn("mix_epoch", F.explode(F.sequence(F.lit(1).cast("long"), epochs.cast("long"))))
@@ -101,17 +107,22 @@ def mix(spark: SparkSession, docs: DataFrame, *, max_repeats: float | None = REP
     unit = ["mix_src", "mix_epoch", "mix_block"]
     blocks = rows.groupBy(*unit).agg(F.sum("mix_tokens").alias("mix_sum"))
     blocks = blocks.withColumn("mix_turn", F.md5(F.concat_ws("-", "mix_src", F.col("mix_epoch").cast("string"), F.col("mix_block").cast("string"))))
-    upto = Window.partitionBy("mix_src", "mix_epoch").orderBy("mix_turn", "mix_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = scratch.keep(blocks.select(*unit, F.coalesce(F.sum("mix_sum").over(upto), F.lit(0)).alias("mix_start")), "blocks")
+    blocks = running_sum(blocks, ["mix_src", "mix_epoch"], F.substring("mix_turn", 1, 3), ["mix_turn", "mix_block"], "mix_sum", "mix_start")
+    starts = scratch.keep(blocks.select(*unit, "mix_start"), "blocks")
     within = Window.partitionBy(*unit).orderBy("mix_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(starts, unit).withColumn("mix_offset", (F.col("mix_epoch") - 1) * F.col("mix_all") + F.col("mix_start") + F.coalesce(F.sum("mix_tokens").over(within), F.lit(0)))
     drawn = placed.where((F.col("mix_tokens") == 0) | (F.col("mix_offset") + F.col("mix_tokens") <= F.col("mix_budget")) | (F.col("mix_epoch") * F.col("mix_all") <= F.col("mix_budget")))
-    return drawn.select(*docs.columns, "mix_epoch", "mix_tokens", "mix_offset")
+    return drawn.select(*docs.columns, "mix_epoch", "mix_offset")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, *, max_repeats: float = PIPELINE_REPEATS) -> DataFrame:
-    """``docs`` with rows repeated to their sources' weights: every document stays, none oftener than ``max_repeats`` on a source's average."""
-    return mix(spark, docs, max_repeats=max_repeats).select(docs.columns)
+    """``docs`` with rows repeated to their sources' weights: every document stays, none oftener than ``max_repeats`` on a source's average.
+
+    Columns of ``docs`` named mix_* are kept under their names. An empty table gives none.
+    """
+    own = {c: f"kept_{c}" for c in docs.columns if c.startswith("mix_")}
+    table = Scratch(spark, "mixing").keep(counted(docs.withColumnsRenamed(own)), "counted")
+    return mix(spark, table, max_repeats=max_repeats).select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def _oracle() -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, mixing, sharding, topk_search
-from .common import read_table
+from .common import Scratch, read_table
 from .decontaminate import contamination
 from .importance import importance_resample
 from .language_id import language_id
@@ -84,8 +84,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_mixing", mixing.ORACLE)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents drawn to weights under which none is repeated more than twice."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"))
-    mixed = mixing.mix(spark, docs)
+    docs = mixing.counted(read_table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "mix_tokens")
+    mixed = mixing.mix(spark, Scratch(spark, "op9").keep(docs, "counted"))
     return mixed.select("doc_id", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_offset").alias("offset_tokens"))
 
 
