@@ -17,6 +17,8 @@ from .components import connected_components
 SLOTS, ROWS, PLANES = 128, 4, 4
 #: Bits of a set's parity sketch: equal parities of its elements' places.
 PARITY = 1024
+#: Nodes of a mixed bucket that one task compares with all of it.
+ROOM = 512
 #: A link at the threshold is missed by banding with at most this probability.
 MISS = 1e-5
 
@@ -192,6 +194,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle_words: int
        themselves, on nodes of different components, whose sizes, parity sketches and estimates
        allow a link; those pairs are verified as well. The parity sketch bounds the sets' difference
        from below without error, and closely where it matters, so few pairs pass that are no links.
+       A bucket of many nodes is dealt to as many tasks as its pairs need.
     4. Components come from alternating star contractions over the verified links.
 
     A pair just at the threshold shares no bucket with probability below 1e-5, and an estimate
@@ -199,8 +202,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle_words: int
 
     Edge cases: null, empty and blank texts have an empty set, n_shingles 0, and are linked with
     nothing. A null doc_id is linked with nothing: component_id null, kept true. Rows that repeat
-    a doc_id each get a row; they count as one document in links. Other columns are ignored.
-    An empty table gives no rows.
+    a doc_id each get a row; they are one document, so different texts of theirs are linked. Other
+    columns are ignored. An empty table gives no rows.
     """
     scratch = Scratch(spark, "near-dedup")
     percent, bands = round(similarity * 100), bands_for(similarity)
@@ -210,9 +213,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle_words: int
 
     named = signed.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.keep(named.groupBy("fp_a", "fp_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    nodes = scratch.keep(
-        named.join(classes, ["fp_a", "fp_b", "n_shingles"]).where("doc_id = rep").select("rep", "copies", "n_shingles", "bands", "planes", "parity"), "nodes"
-    )
+    own = named.join(classes, ["fp_a", "fp_b", "n_shingles"])
+    nodes = own.where("doc_id = rep").dropDuplicates(["fp_a", "fp_b", "n_shingles"])
+    nodes = scratch.keep(nodes.select("rep", "copies", "n_shingles", "bands", "planes", "parity"), "nodes")
+    # an id with several texts links their classes; such ids are few or none
+    several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id")
+    same_id = own.select("doc_id", "rep").join(several, "doc_id").select(F.col("doc_id").alias("x"), F.col("rep").alias("p"))
 
     # 2. each bucket's pivot; buckets of one node are left out
     entries = nodes.select("rep", "copies", F.explode("bands").alias("key"))
@@ -227,8 +233,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle_words: int
     near = scratch.keep(met.withColumn("est", _estimate("s_x", "s_p")).where(F.col("est") >= 0.5).select("x", "p", "est", sizes_allow.alias("fits")), "near")
 
     def texts_of(ids: DataFrame, name: str) -> DataFrame:
-        """(rep, text); hashed by id at any size, so that the plan does not change as ``ids`` grows."""
-        return scratch.keep(docs.where("doc_id is not null").join(ids.hint("merge"), F.col("doc_id") == F.col("rep")).groupBy("rep").agg(F.first("text").alias("text")), name)
+        """(rep, text), all different texts of an id; hashed by id at any size, so that the plan does not change as ``ids`` grows."""
+        found = docs.where("doc_id is not null").join(ids.hint("merge"), F.col("doc_id") == F.col("rep"))
+        return scratch.keep(found.groupBy("rep", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h"), name)
 
     texts = texts_of(near.select(F.col("x").alias("rep")).union(near.select("p")).distinct(), "texts")
 
@@ -240,18 +247,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle_words: int
         return both.where(F.col("both") * 100 >= (F.col("n_x") + F.col("n_p") - F.col("both")) * percent).select("x", "p")
 
     first = near.where(F.col("fits") & (F.col("est") >= similarity - margin)).groupBy("x").agg(F.max(F.struct("est", "p")).alias("top")).select("x", F.col("top.p").alias("p"))
-    links = scratch.keep(verified(first, texts), "links")
+    links = scratch.keep(verified(first, texts).union(same_id), "links")
     stars = connected_components(spark, links, scratch)
 
     # 3. what stands in one bucket but not yet in one component
     where = members.join(stars, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = where.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("key")
+    mixed = where.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.ceil(F.count("*") / ROOM).cast("int").alias("parts")).where("a <> b").select("key", "parts")
     rows = scratch.keep(where.join(mixed, "key").join(sketch, "rep"), "mixed")
-    left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "c", "n_shingles", "planes", "parity"))) for s in "xp")
+    left, right = (rows.select("key", "parts", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "c", "n_shingles", "planes", "parity"))) for s in "xp")
+    left = left.withColumn("part", F.pmod(F.xxhash64("rep_x"), F.col("parts")).cast("int"))
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cross = (
         left.join(
             right,
             (left["key"] == right["key"])
+            & (left["part"] == right["part"])
             & (F.col("rep_x") < F.col("rep_p"))
             & (F.col("c_x") != F.col("c_p"))
             & (F.least("n_shingles_x", "n_shingles_p") * 100 >= F.greatest("n_shingles_x", "n_shingles_p") * percent)
@@ -282,9 +292,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle_words: int
 def dedup_stage(spark: SparkSession, docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that with the smallest doc_id.
 
-    All columns of ``docs`` stay. Rows that repeat a kept doc_id leave one; rows whose doc_id is
-    null all stay, as they belong to no group.
+    All columns of ``docs`` stay. Of rows that repeat a kept doc_id with the same text one stays, those
+    with different texts all do; rows whose doc_id is null all stay, as they belong to no group.
     """
     kept = near_duplicates(spark, docs, shingle_words=shingle_words, similarity=similarity).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    named = docs.withColumn("__text", F.xxhash64("text"))
+    one = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "__text"]).select(docs.columns)
     return one.unionByName(docs.where("doc_id is null"))
