@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from postmill.llm import near_dedup
 from postmill.llm.components import connected_components
 from postmill.llm.common import Scratch
 from postmill.llm.near_dedup import dedup_stage, near_duplicates, superminhash
@@ -73,6 +74,28 @@ def test_edges(spark):
     assert sorted((r.doc_id for r in dedup_stage(spark, df).collect()), key=str) == [1, 2, None]
 
 
+def test_an_id_with_several_texts_is_one_document(spark):
+    a, b, c = ("a b c d e f g", "h i j k l m n", "o p q r s t u")
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (7, c), (7, "x y z v w"), (8, c)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in near_duplicates(spark, df).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (7, 7), (7, 7), (8, 7), (9, 3)]
+    assert sorted((r.doc_id, r.text) for r in dedup_stage(spark, df).collect()) == [(3, a), (7, c), (7, "x y z v w")]
+
+
+def test_a_bucket_of_many_unlinked_nodes(spark, monkeypatch):
+    """Texts that share a long passage fall into common buckets but are not linked, but for some pairs."""
+    monkeypatch.setattr(near_dedup, "ROOM", 7)
+    rng = random.Random(5)
+    words = lambda n: [f"u{rng.randrange(100_000)}" for _ in range(n)]
+    shared, rows = words(150), []
+    for i in range(0, 160, 2):
+        own = words(60)
+        rows += [(i, " ".join(shared + own)), (i + 1, " ".join(shared + own[:-2] if i % 6 == 0 else shared + words(60)))]
+    rows.append((900, "word " * 40_000))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 5, 80) and sum(c != i for i, (_, c) in got.items()) >= 26
+
+
 def test_superminhash_is_a_permutation_of_ranks_and_estimates_similarity():
     rng = np.random.default_rng(0)
     one = superminhash(np.array([7], np.uint64), np.zeros(1, int), 1)[0]
