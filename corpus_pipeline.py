@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm.common import Scratch, read_table
+from postmill.llm.common import Scratch, discarded, read_table
 from postmill.llm.decontaminate import decontaminate_stage
 from postmill.llm.mixing import mixing_stage
 from postmill.llm.near_dedup import dedup_stage
-from postmill.llm.sharding import shard_documents
+from postmill.llm.sharding import shard_stage
 from postmill.llm.toxicity import toxicity_stage
 
 
@@ -38,7 +38,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as read back from compacted shards, with the shard of each."""
-    return shard_documents(spark, docs)
+    return shard_stage(spark, docs)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mixing", mixing), ("sharding", sharding)]
@@ -48,10 +48,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each written as Parquet in the shared folder and read again."""
+    """Apply the stages to documents, each written as Parquet in the shared folder and read again; what a stage kept for itself is then deleted."""
     docs, scratch = read_table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = scratch.keep(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with discarded(spark):
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
