@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import json
 import re
+import unicodedata
 from collections.abc import Callable
 from html.parser import HTMLParser
 
@@ -87,25 +89,66 @@ def whole(term: str, also: str = "") -> str:
     return f"(?<!{edge}){re.escape(term.strip().lower())}(?!{edge})"
 
 
+def any_of(phrases) -> str:
+    """A pattern for the longest of some phrases; a blank stands for white space. Common beginnings are tested once."""
+    tree: dict = {}
+    for p in phrases:
+        at = tree
+        for c in p:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        ways = [(r"\s+" if c == " " else re.escape(c)) + pattern(rest) for c, rest in at.items() if c]
+        if not ways:
+            return ""
+        body = ways[0] if len(ways) == 1 and "" not in at else f"(?:{'|'.join(ways)})"
+        return body + "?" if "" in at else body
+
+    return f"(?:{pattern(tree)})"
+
+
+def slots(*words: tuple[str, ...]) -> list[str]:
+    """Phrases that take one word from each slot in turn; the empty word leaves a slot out."""
+    out = [""]
+    for choice in words:
+        out = [f"{p} {w}".strip() if w else p for p in out for w in choice]
+    return out
+
+
+def constants(rows: list[tuple], names: tuple[str, ...]) -> Column:
+    """A constant array of structs: what a row is tested against stands in the plan once, not as an expression for each."""
+    kinds = ("int" if isinstance(v, int) else "string" for v in rows[0])
+    schema = f"array<struct<{','.join(f'{n}:{t}' for n, t in zip(names, kinds, strict=True))}>>"
+    return F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rows])), schema)
+
+
 def find_term(text: Column, terms: list[str]) -> Column:
-    """The first of ``terms``, in the order listed, that stands in the text as a whole phrase; null if none does."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return F.coalesce(*(F.when(t.rlike(whole(x)), F.lit(x)) for x in terms)) if terms else F.lit(None).cast("string")
+    """The first of ``terms``, in the order listed, that stands in the text as a whole phrase; null if none does.
+
+    A plain search comes before the pattern, so a pattern is tried only for terms that are there.
+    """
+    rows = [(x, x.strip().lower(), whole(x)) for x in terms if x]
+    if not rows:
+        return F.lit(None).cast("string")
+    found = lambda t: F.get(F.filter(constants(rows, ("term", "word", "rx")), lambda r: F.contains(t, r["word"]) & F.rlike(t, r["rx"])), 0)["term"]
+    return let(F.lower(F.coalesce(text, F.lit(""))), found)
 
 
 def extract_terms(text: Column, lexicon: dict[str, list[str]]) -> Column:
     """The canonical terms whose name or alias stands in the text, by first place; ties by longer phrase, then lexicon order."""
-    t = fold(F.coalesce(text, F.lit("")))
-    found = []
+    rows = []
     for rank, (name, aliases) in enumerate(lexicon.items()):
         phrases = [p for p in dict.fromkeys([name.lower(), *(a.lower() for a in aliases)]) if len(p) > 1]
-        if not phrases:
-            continue
-        at = F.least(*(F.nullif(F.regexp_instr(t, F.lit(whole(p, "+"))), F.lit(0)) for p in phrases), F.lit(None).cast("int"))
-        found.append(F.when(at.isNotNull(), F.struct(at.alias("at"), F.lit(-max(map(len, phrases))).alias("size"), F.lit(rank).alias("rank"), F.lit(name).alias("term"))))
-    if not found:
+        rows += [(p, whole(p, "+"), -max(map(len, phrases)), rank, name) for p in phrases]
+    if not rows:
         return F.array().cast("array<string>")
-    return F.transform(F.array_sort(F.array_compact(F.array(*found))), lambda x: x["term"])
+
+    def places(t: Column) -> Column:
+        there = F.filter(constants(rows, ("word", "rx", "size", "rank", "term")), lambda r: F.contains(t, r["word"]))
+        return F.filter(F.transform(there, lambda r: F.struct(F.regexp_instr(t, r["rx"]).alias("at"), r["size"].alias("size"), r["rank"].alias("rank"), r["term"].alias("term"))), lambda x: x["at"] > 0)
+
+    return F.array_distinct(F.transform(F.array_sort(let(fold(F.coalesce(text, F.lit(""))), places)), lambda x: x["term"]))
 
 
 def norm_url(c: Column) -> Column:
@@ -136,15 +179,38 @@ def json_list(c: Column) -> Column:
     return F.filter(F.transform(got, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
+def plain_of_latex(c: Column) -> Column:
+    """A text without formulas, commands and the signs of LaTeX; each leaves a blank."""
+    return F.translate(F.regexp_replace(F.regexp_replace(c, r"\$[^$]*\$", " "), r"\\[A-Za-z@]+\*?", " "), "\\{}$&~", "      ")
+
+
 def content_tokens(c: Column) -> Column:
-    """Distinct words of two letters or more, in order."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[a-z][a-z0-9]+"), F.lit(0)))
+    """Distinct words of two characters or more, in order; a word begins with a letter and may hold digits and + # . -, the latter two not at its ends."""
+    words = F.regexp_extract_all(F.lower(plain_of_latex(F.coalesce(c, F.lit("")))), F.lit(r"[a-z][a-z0-9+#.\-]*"), F.lit(0))
+    return F.array_distinct(F.filter(F.transform(words, lambda w: F.btrim(w, F.lit(".-"))), lambda w: F.length(w) > 1))
 
 
 def numbers_in(c: Column) -> Column:
-    """Distinct numbers, thousands separators removed, in order."""
-    got = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\d[\d,]*(?:\.\d+)?"), F.lit(0))
-    return F.array_distinct(F.transform(got, lambda x: F.regexp_replace(F.replace(x, F.lit(","), F.lit("")), r"\.0+$", "")))
+    """Distinct numbers in order, without thousands separators and blanks; a per cent sign stays, a fraction also gives its two parts."""
+    got = F.regexp_extract_all(plain_of_latex(F.coalesce(c, F.lit(""))), F.lit(r"\d[\d,.]*(?<=\d)(?:[ \t]*/[ \t]*\d+)?(?:[ \t]*%)?"), F.lit(0))
+    flat = F.transform(got, lambda x: F.regexp_replace(x, r"[,\s]", ""))
+    return F.array_distinct(F.flatten(F.transform(flat, lambda x: F.when(F.contains(x, F.lit("/")), F.concat(F.array(x), F.split(x, "/"))).otherwise(F.array(x)))))
+
+
+def nfc(c: Column) -> Column:
+    """Unicode's composed form; Spark has no function for it, so only texts beyond ASCII go to Python."""
+    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(_nfc(F.when(~c.rlike(r"^\p{ASCII}*$"), c)))
+
+
+@F.pandas_udf(StringType())
+def _nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def string_list(value) -> list[str]:
+    """A parameter given as one text or as several: trimmed, without blanks and repeats, in order."""
+    items = [] if value is None else list(value) if isinstance(value, (list, tuple, set)) else [value]
+    return list(dict.fromkeys(t for t in (str(x).strip() for x in items) if t))
 
 
 def term_split(terms: Column, known: Column) -> Column:
