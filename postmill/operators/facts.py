@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions.text import clean_whitespace, content_tokens, filled, fold, numbers_in
 
+#: Endings that an inflected form may have (fixed value).
 _SUFFIXES = ("ing", "es", "s", "ed", "ly")
 
 
@@ -34,7 +35,10 @@ def violations(texts: DataFrame, vocabulary: DataFrame, numbers: DataFrame) -> D
 
 
 def survival(text: Column, required: Column) -> Column:
-    """The share of ``required`` phrases that the text holds, case and typography aside; 1 if none is required."""
+    """The share of ``required`` phrases that the text holds, case and typography aside; 1 if none is required.
+
+    Texts that may hold decomposed letters go through :func:`postmill.functions.text.nfc` before.
+    """
     flat = fold(clean_whitespace(F.coalesce(text, F.lit(""))))
     asked = F.filter(required, lambda k: k.isNotNull() & (k != ""))
     there = F.filter(asked, lambda k: F.contains(flat, fold(clean_whitespace(k))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.config import Lifecycle
 from postmill.functions.temporal import quiet_days
 from postmill.operators.identity import latest
 
@@ -42,19 +43,43 @@ def attempts_on(attempts: DataFrame, day: str, statuses: tuple[str, ...]) -> Dat
     return attempts.where((F.col("day") == F.lit(day)) & F.col("status").isin(*statuses)).agg(F.countDistinct("stable_id").alias("n"))
 
 
-def quiet_applications(applications: DataFrame, approved: DataFrame, as_of: Column, days: int, max_reminders: int | None = None) -> DataFrame:
-    """Each posting's newest application, if tracked and quiet for ``days``: submitted, or approved by a person.
+def quiet_applications(applications: DataFrame, approved: DataFrame, as_of: Column, days: int, max_reminders: int | None = None, limits: Lifecycle | None = None) -> DataFrame:
+    """Each posting's newest application, if tracked, open and quiet for ``days``: submitted, or approved by a person, and without a final outcome.
 
-    With ``max_reminders``, only those reminded less often.
+    With ``max_reminders``, only those reminded less often. For a report sort by :func:`quiet_order`.
     """
     newest = latest(applications, ["stable_id"], "id")
-    known = newest.join(approved.select("stable_id").distinct().withColumn("__ok", F.lit(True)), "stable_id", "left")
+    open_ = newest.where(~is_final(F.col("outcome"), limits or Lifecycle())) if "outcome" in applications.columns else newest
+    known = open_.join(approved.select("stable_id").distinct().withColumn("__ok", F.lit(True)), "stable_id", "left")
     tracked = known.where((F.col("status") == "submitted") | F.col("__ok")).drop("__ok")
     quiet = tracked.withColumn("quiet_days", quiet_days(as_of, F.col("last_followup_at"), F.col("submitted_at"), F.col("updated_at")))
     out = quiet.where(F.col("quiet_days") >= days)
-    return out.where(F.col("reminders") < max_reminders) if max_reminders is not None else out
+    return out.where(F.coalesce("reminders", F.lit(0)) < max_reminders) if max_reminders is not None else out
+
+
+def is_final(outcome: Column, limits: Lifecycle) -> Column:
+    """Whether an outcome closes an application; everything else, nothing at all included, leaves it open."""
+    return F.lower(F.trim(F.coalesce(outcome, F.lit("")))).isin(*limits.final)
+
+
+def quiet_order() -> list[Column]:
+    """Longest quiet first, then by company."""
+    return [F.desc("quiet_days"), F.asc(F.lower(F.coalesce("company", F.lit(""))))]
 
 
 def heatmap_lines(heat: DataFrame, top: int) -> DataFrame:
-    """The first rows of a heat map as text of fixed width."""
-    return heat.orderBy(*heatmap_order()).limit(top).select(F.concat(F.rpad("skill", 24, " "), F.lpad(F.col("jobs").cast("string"), 6, " "), F.lpad(F.format_number("weight", 2), 10, " ")).alias("line"))
+    """The first rows of a heat map as text of fixed width, and a line that counts the others."""
+    n = heat.count()
+    line = F.concat(F.rpad("skill", 24, " "), F.lpad(F.col("jobs").cast("string"), 6, " "), F.lpad(F.format_number("weight", 2), 10, " "))
+    shown = heat.orderBy(*heatmap_order()).limit(top).select(line.alias("line"))
+    return shown if n <= top else shown.union(heat.sparkSession.range(1).select(F.lit(f"... {n - top} more").alias("line")))
+
+
+def listed(df: DataFrame, order: list[Column], limit: int) -> tuple[DataFrame, int]:
+    """The first rows of a report, and how many rows it has in all."""
+    return df.orderBy(*order).limit(limit), df.count()
+
+
+def source_outcomes(outcomes: DataFrame) -> DataFrame:
+    """Counts of the outcomes (source, status, ...) of a scan: ok, failed, skipped."""
+    return outcomes.agg(*(F.count_if(F.col("status") == s).alias(name) for s, name in (("ok", "ok"), ("error", "failed"), ("skipped", "skipped"))))

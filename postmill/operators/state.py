@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.config import Lifecycle
+from postmill.operators.identity import latest
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, *, keep: tuple[str, ...] = (), coalesce: tuple[str, ...] = (), fill_empty: tuple[str, ...] = ()) -> DataFrame:
@@ -38,17 +39,44 @@ def upsert(old: DataFrame, new: DataFrame, key: str, *, keep: tuple[str, ...] =
 
 
 def append_with_ids(log: DataFrame, new: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:
-    """``log`` with rows of ``new`` numbered on from its highest id."""
+    """``log`` with rows of ``new`` numbered on from its highest id, in ``order``.
+
+    The new rows are sorted by ranges and numbered within these; each range begins where those
+    before it end. So no task holds more than a range, and only its count goes further.
+    """
     last = log.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__last"))
-    numbered = new.withColumn("__n", F.row_number().over(Window.orderBy(*order)))
-    return log.unionByName(numbered.crossJoin(F.broadcast(last)).withColumn(id_col, (F.col("__last") + F.col("__n")).cast("long")).drop("__n", "__last"), allowMissingColumns=True)
+    ranged = new.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    within = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("__part").agg(F.count("*").alias("__c")).select("__part", F.coalesce(F.sum("__c").over(upto), F.lit(0)).alias("__before"))
+    numbered = within.join(F.broadcast(starts), "__part").crossJoin(F.broadcast(last))
+    return log.unionByName(numbered.withColumn(id_col, (F.col("__last") + F.col("__before") + F.col("__n")).cast("long")).drop("__n", "__last", "__before", "__part"), allowMissingColumns=True)
+
+
+def save_matches(postings: DataFrame, matches: DataFrame, at: Column) -> DataFrame:
+    """``postings`` with the scored columns of ``matches`` (stable_id, ...) and the time they were scored; other rows and columns stay."""
+    scored = [c for c in matches.columns if c != "stable_id" and c in postings.columns]
+    m = matches.select("stable_id", *(F.col(c).alias(f"__{c}") for c in scored), F.lit(True).alias("__hit"))
+    hit = F.col("__hit").isNotNull()
+    times = {c: F.when(hit, at).otherwise(F.col(c)) for c in ("scored_at", "updated_at") if c in postings.columns}
+    out = postings.join(m, "stable_id", "left")
+    return out.withColumns({c: F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)) for c in scored} | times).select(postings.columns)
 
 
-def decide_reviews(applications: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Every application left to a person takes its posting's decision (stable_id, decision) as review_category human_<decision>; its status stays."""
-    out = applications.join(decisions.select("stable_id", "decision"), "stable_id", "left")
-    hit = (F.col("status") == "manual_required") & F.col("decision").isNotNull()
-    return out.withColumn("review_category", F.when(hit, F.concat(F.lit("human_"), "decision")).otherwise(F.col("review_category"))).drop("decision")
+def decide_reviews(queue: DataFrame, applications: DataFrame, decisions: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """Queue and applications after ``decisions`` (stable_id, decision).
+
+    The review takes the decision as its status, and the time; every application left to a person
+    gets review_category human_<decision>, while its status stays.
+    """
+    d = decisions.select("stable_id", F.col("decision").alias("__d"))
+    made = F.col("__d").isNotNull()
+    q = queue.join(d, "stable_id", "left").withColumns({"status": F.coalesce("__d", "status"), "decided_at": F.when(made, at).otherwise(F.col("decided_at"))}).select(queue.columns)
+    hit = (F.col("status") == "manual_required") & made
+    changed = {"review_category": F.when(hit, F.concat(F.lit("human_"), "__d")).otherwise(F.col("review_category"))}
+    if "updated_at" in applications.columns:
+        changed["updated_at"] = F.when(hit, at).otherwise(F.col("updated_at"))
+    return q, applications.join(d, "stable_id", "left").withColumns(changed).select(applications.columns)
 
 
 def enqueue_reviews(queue: DataFrame, plans: DataFrame, at: Column) -> DataFrame:
@@ -83,28 +111,57 @@ def record_outcomes(applications: DataFrame, events: DataFrame, at: Column) -> D
     e = events.select("stable_id", F.replace(F.lower(F.trim("outcome")), F.lit(" "), F.lit("_")).alias("__outcome"), F.col("note").alias("__note")).join(newest, "stable_id").drop("stable_id").withColumn("__hit", F.lit(True))
     out = applications.join(e, "id", "left")
     hit, follow = F.col("__hit").isNotNull(), F.col("__hit").isNotNull() & F.col("__outcome").isNull()
-    line = F.concat(F.lit("["), at.cast("string"), F.lit("] "), F.col("__note"))
+    line = F.concat(at.cast("string"), F.lit(" "), F.trim("__note"))
     notes = F.when(F.coalesce("notes", F.lit("")) == "", line).otherwise(F.concat("notes", F.lit("\n"), line))
     out = out.withColumns(
         {
             "outcome": F.coalesce("__outcome", "outcome"),
-            "reminders": F.col("reminders") + follow.cast("int"),
+            "reminders": F.coalesce("reminders", F.lit(0)) + follow.cast("int"),
             "last_followup_at": F.when(follow, at).otherwise(F.col("last_followup_at")),
             "notes": F.when(hit & (F.coalesce("__note", F.lit("")) != ""), notes).otherwise(F.col("notes")),
+            "updated_at": F.when(hit, at).otherwise(F.col("updated_at")),
         }
     )
     return out.select(applications.columns)
 
 
 def blocking(applications: DataFrame, limits: Lifecycle) -> DataFrame:
-    """stable_ids that may not be applied to again: those with an application that did not fail for a passing reason."""
-    return applications.where(~F.coalesce(F.col("review_category"), F.lit("")).isin(*limits.transient)).select("stable_id").distinct()
+    """stable_id, id and status of the newest application that keeps each posting from being applied to again.
+
+    Those are submissions under way or done, and those left to a person for a reason that lasts
+    (review_category, else review_reason). Failed ones and those that wait for a passing reason
+    keep nothing.
+    """
+    text = lambda c: F.nullif(F.col(c), F.lit("")) if c in applications.columns else F.lit(None).cast("string")
+    lasting = ~F.coalesce(text("review_category"), text("review_reason"), F.lit("")).isin(*limits.transient)
+    held = applications.where(F.col("status").isin("submitting", "submitted") | ((F.col("status") == "manual_required") & lasting))
+    return latest(held, ["stable_id"], "id").select("stable_id", "id", "status")
 
 
-def append_note(old: Column, at: Column, note: str) -> Column:
-    """Notes with one more line, which begins with its time."""
-    line = F.concat(F.lit("["), at.cast("string"), F.lit("] "), F.lit(note))
-    return F.when(F.coalesce(old, F.lit("")) == "", line).otherwise(F.concat(old, F.lit("\n"), line))
+def sweep_stale(applications: DataFrame, stale: DataFrame, at: Column) -> DataFrame:
+    """``applications`` in which the newest one of each stale posting (stable_id, quiet_days) has got the outcome no_response and a note that says why."""
+    note = F.format_string("stale resolved no_response after %d days quiet", "quiet_days")
+    return record_outcomes(applications, stale.select("stable_id", F.lit("no_response").alias("outcome"), note.alias("note")), at)
+
+
+def log_attempts(attempts: DataFrame, new: DataFrame, at: Column) -> DataFrame:
+    """``attempts`` with those of ``new`` (stable_id, adapter, status, detail), numbered on, with their time and its day in UTC."""
+    timed = new.withColumns({"attempted_at": at, "day": F.date_format(at, "yyyy-MM-dd")})
+    return append_with_ids(attempts, timed, ["stable_id", "status"])
+
+
+def resolve_ids(refs: DataFrame, postings: DataFrame, queue: DataFrame, applications: DataFrame) -> DataFrame:
+    """(ref, stable_id): a reference is a stable id on record, else a review's number, else an application's; empty if it is none.
+
+    References of digits alone are looked up as numbers; one with a colon is a stable id or nothing.
+    """
+    r = refs.select("ref", F.trim(F.coalesce("ref", F.lit(""))).alias("__r")).distinct()
+    own = postings.select("stable_id").union(applications.select("stable_id")).distinct().select(F.col("stable_id").alias("__own"))
+    by = lambda t, name: t.select(F.col("id").cast("string").alias("__k"), F.col("stable_id").alias(name)).dropDuplicates(["__k"])
+    number = F.when(F.col("__r").rlike(r"^\d+$"), F.regexp_replace("__r", r"^0+(?=\d)", ""))
+    out = r.join(own, F.col("__r") == F.col("__own"), "left").withColumn("__n", number)
+    out = out.join(by(queue, "__review"), F.col("__n") == F.col("__k"), "left").drop("__k").join(by(applications, "__app"), F.col("__n") == F.col("__k"), "left").drop("__k")
+    return out.select("ref", F.coalesce("__own", "__review", "__app", F.lit("")).alias("stable_id"))
 
 
 def within_cap(candidates: DataFrame, used_today: DataFrame, cap: int, order: list[Column | str]) -> DataFrame:

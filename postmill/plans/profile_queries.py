@@ -95,12 +95,12 @@ def technical_relevance(spark, d):
 
 @query(
     "score_reasons",
-    """SELECT p_partkey, ['skill coverage ' || (CASE WHEN p_size % 2 = 0 THEN '50%' ELSE '0%' END) || ' (' || (CASE WHEN p_size % 2 = 0 THEN '1/2' ELSE '0/1' END) || ' terms)', 'role relevance 0.50', 'gaps: ' || p_brand]
-      || CASE WHEN p_size % 2 = 0 THEN ['supported: SQL'] ELSE [] END AS reasons FROM part""",
+    """SELECT p_partkey, ['skill coverage ' || (CASE WHEN p_size % 2 = 0 THEN '50%' ELSE '0%' END) || ' (' || (CASE WHEN p_size % 2 = 0 THEN '1/2' ELSE '0/1' END) || ' JD terms supported by profile)', 'role relevance 0.50', 'gaps (never inserted): ' || p_brand]
+      || CASE WHEN p_size % 2 = 0 THEN ['supported JD terms: SQL'] ELSE [] END AS reasons FROM part""",
 )
 def score_reasons(spark, d):
     matched = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("SQL"))).otherwise(F.array().cast("array<string>"))
-    return read_table(spark, d, "part").select("p_partkey", score.reasons(matched, F.array(F.col("p_brand")), {"role_relevance": F.lit(0.5)}).alias("reasons"))
+    return read_table(spark, d, "part").select("p_partkey", score.reasons(matched, F.array(F.col("p_brand")), [F.lit("role relevance 0.50")]).alias("reasons"))
 
 
 @query("iso_windows", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN month(o_orderdate) <= 6 OR month(o_orderdate) > month(o_orderdate + INTERVAL 60 DAY) END AS overlaps, CASE WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE 0.0 END AS confidence FROM orders")
@@ -190,7 +190,7 @@ def supersede_reviews(spark, d):
 
 @query(
     "record_outcomes",
-    """SELECT event_id AS id, CASE WHEN hit AND user_id % 2 = 0 THEN 'no_response' ELSE '' END AS outcome, 1 + (hit AND user_id % 2 <> 0)::INT AS reminders, CASE WHEN hit THEN 'a' || chr(10) || '[t1] n' ELSE 'a' END AS notes, CASE WHEN hit AND user_id % 2 <> 0 THEN 't1' END AS last_followup_at
+    """SELECT event_id AS id, CASE WHEN hit AND user_id % 2 = 0 THEN 'no_response' ELSE '' END AS outcome, 1 + (hit AND user_id % 2 <> 0)::INT AS reminders, CASE WHEN hit THEN 'a' || chr(10) || 't1 n' ELSE 'a' END AS notes, CASE WHEN hit AND user_id % 2 <> 0 THEN 't1' END AS last_followup_at
     FROM (SELECT *, user_id % 3 = 0 AND event_id = max(event_id) OVER (PARTITION BY user_id) AS hit FROM events)""",
 )
 def record_outcomes(spark, d):

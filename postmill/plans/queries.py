@@ -64,7 +64,7 @@ def gap_heatmap(spark, d):
 
 @query(
     "gap_heatmap_top",
-    """SELECT rpad(c, 24, ' ') || lpad(n::VARCHAR, 6, ' ') || lpad(printf('%.2f', n * 1.0), 10, ' ') AS line FROM (SELECT source AS c, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, lower(c) LIMIT 5)""",
+    """SELECT rpad(c, 24, ' ') || lpad(n::VARCHAR, 6, ' ') || lpad(printf('%.2f', n * 1.0), 10, ' ') AS line FROM (SELECT source AS c, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, lower(c) LIMIT 5) UNION ALL SELECT '... ' || (count(DISTINCT source) - 5) || ' more' FROM documents""",
 )
 def gap_heatmap_top(spark, d):
     heat = _t(spark, d, "documents").groupBy(F.col("source").alias("skill")).agg(F.count("*").alias("jobs"), (F.count("*") * 1.0).cast("double").alias("weight"))
@@ -76,10 +76,20 @@ def latest_per_key(spark, d):
     return identity.latest(_applications(spark, d), ["stable_id"], "id").select("stable_id", "id", "status")
 
 
-@query("first_blocking", "SELECT user_id AS stable_id, max(event_id) AS id FROM events WHERE event_type NOT IN ('error', 'view') GROUP BY 1")
+# events as applications: purchases are submitted, clicks under way, views left to a person, for a passing reason or not
+_BLOCKING = "SELECT user_id AS stable_id, event_id AS id, CASE event_type WHEN 'purchase' THEN 'submitted' WHEN 'click' THEN 'submitting' ELSE 'manual_required' END AS status FROM events WHERE event_type IN ('purchase', 'click') OR (event_type = 'view' AND event_id % 3 <> 0)"
+
+
+def _blocking(spark, d) -> DataFrame:
+    kind = F.col("status")
+    status = F.when(kind == "purchase", "submitted").when(kind == "click", "submitting").when(kind == "view", "manual_required").when(kind == "error", "failed").otherwise("dry_run")
+    reason = F.when((kind == "view") & (F.col("id") % 3 == 0), F.when(F.col("id") % 2 == 0, "capped").otherwise("config")).otherwise("human_rejected")
+    return state.blocking(_applications(spark, d).withColumns({"review_category": reason, "status": status}), Lifecycle())
+
+
+@query("first_blocking", f"SELECT stable_id, max(id) AS id, arg_max(status, id) AS status FROM ({_BLOCKING}) GROUP BY 1")
 def first_blocking(spark, d):
-    rows = _applications(spark, d).where(~F.col("status").isin("error", "view"))
-    return identity.latest(rows, ["stable_id"], "id").select("stable_id", "id")
+    return _blocking(spark, d)
 
 
 @query("first_seen_exact_copies", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(text)")
@@ -95,10 +105,11 @@ def union_first_seen(spark, d):
     return identity.first_seen(identity.union_sources([docs, pages, docs]), ["doc_id"], ["source_ord"]).select("doc_id", "source_ord")
 
 
-@query("per_query_new_rows", "SELECT lang AS query, count(*) AS new_rows FROM (SELECT lang, row_number() OVER (PARTITION BY sha256(text) ORDER BY lang, doc_id) AS n FROM documents) WHERE n = 1 GROUP BY 1")
+@query("per_query_new_rows", """WITH f AS (SELECT lang AS query, row_number() OVER (PARTITION BY sha256(text) ORDER BY CASE lang WHEN 'fr' THEN 1 WHEN 'en' THEN 2 ELSE 3 END, doc_id) AS n FROM documents WHERE lang IN ('fr', 'en', 'de'))
+    SELECT query, count(f.n) FILTER (f.n = 1) AS new_rows FROM (VALUES ('none'), ('fr'), ('en'), ('de')) q(query) LEFT JOIN f USING (query) GROUP BY 1""")
 def per_query_new_rows(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", F.col("lang").alias("query"), F.sha2("text", 256).alias("key"))
-    return identity.first_seen(docs, ["key"], ["query", "doc_id"]).groupBy("query").agg(F.count("*").alias("new_rows"))
+    docs = _t(spark, d, "documents").select(F.lit("board").alias("source"), F.sha2("text", 256).alias("job_id"), F.col("doc_id").alias("row_ord"), "lang")
+    return identity.union_queries([(q, docs.where(F.col("lang") == q).drop("lang")) for q in ("none", "fr", "en", "de")])[1]
 
 
 @query(
@@ -161,14 +172,24 @@ def upsert_snapshot(spark, d):
 
 @query("decide_reviews", "SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'manual_required' ELSE event_type END AS status, CASE WHEN event_type = 'view' AND user_id % 2 = 0 THEN 'human_approved' ELSE 'band' END AS review_category FROM events")
 def decide_reviews(spark, d):
+    return _decided(spark, d)[1].select("id", "status", "review_category")
+
+
+@query("decided_reviews", "SELECT DISTINCT user_id AS stable_id, CASE WHEN user_id % 2 = 0 THEN 'approved' ELSE 'pending' END AS status, CASE WHEN user_id % 2 = 0 THEN 't1' END AS decided_at FROM events")
+def decided_reviews(spark, d):
+    return _decided(spark, d)[0].select("stable_id", "status", "decided_at")
+
+
+def _decided(spark, d):
     apps = _applications(spark, d).withColumns({"status": F.when(F.col("status") == "view", "manual_required").otherwise(F.col("status")), "review_category": F.lit("band")})
-    decisions = apps.where("stable_id % 2 = 0").select("stable_id", F.lit("approved").alias("decision")).distinct()
-    return state.decide_reviews(apps, decisions).select("id", "status", "review_category")
+    ids = apps.select("stable_id").distinct()
+    queue = ids.withColumns({"status": F.lit("pending"), "decided_at": F.lit(None).cast("string")})
+    return state.decide_reviews(queue, apps, ids.where("stable_id % 2 = 0").withColumn("decision", F.lit("approved")), F.lit("t1"))
 
 
-@query("blocking_keys", "SELECT DISTINCT user_id AS stable_id FROM events WHERE event_type <> 'error'")
+@query("blocking_keys", f"SELECT DISTINCT stable_id FROM ({_BLOCKING})")
 def blocking_keys(spark, d):
-    return state.blocking(_applications(spark, d).withColumn("review_category", F.when(F.col("status") == "error", "config")), Lifecycle())
+    return _blocking(spark, d).select("stable_id")
 
 
 @query("attempts_on_day", "SELECT count(DISTINCT user_id) AS n FROM events WHERE ts::DATE = DATE '2024-01-15' AND event_type IN ('purchase', 'signup', 'click')")
@@ -177,14 +198,19 @@ def attempts_on_day(spark, d):
     return reports.attempts_on(rows, "2024-01-15", ("purchase", "signup", "click"))
 
 
-_QUIET = """SELECT stable_id, quiet_days FROM (SELECT user_id AS stable_id, date_diff('day', max_by(ts, event_id)::DATE, DATE '2024-02-10') AS quiet_days, max_by(event_type, event_id) AS status, max_by((props->>'k')::BIGINT, event_id) AS k FROM events GROUP BY 1)
-    WHERE (status = 'purchase' OR stable_id % 3 = 0) AND quiet_days >= {days} {more}"""
+# outcomes by the newest event's number: every fifth is final
+_QUIET = """SELECT stable_id, quiet_days, company, (row_number() OVER (ORDER BY quiet_days DESC, company, stable_id))::INT AS place FROM (SELECT user_id AS stable_id, date_diff('day', max_by(ts, event_id)::DATE, DATE '2024-02-10') AS quiet_days, max_by(event_type, event_id) AS status, max_by((props->>'k')::BIGINT, event_id) AS k, max(event_id) AS id, 'c' || (user_id % 7) AS company FROM events GROUP BY user_id)
+    WHERE (status = 'purchase' OR stable_id % 3 = 0) AND id % 5 <> 0 AND quiet_days >= {days} {more}"""
 
 
 def _quiet(spark, d, days, most):
-    apps = _applications(spark, d).select("stable_id", "id", F.when(F.col("status") == "purchase", "submitted").otherwise(F.col("status")).alias("status"), F.lit(None).cast("timestamp_ntz").alias("last_followup_at"), F.lit(None).cast("timestamp_ntz").alias("submitted_at"), F.col("ts").alias("updated_at"), F.col("k").alias("reminders"))
-    ok = apps.where("stable_id % 3 = 0").select("stable_id")
-    return reports.quiet_applications(apps, ok, F.lit("2024-02-10").cast("date"), days, most).select("stable_id", "quiet_days")
+    none = F.lit(None).cast("timestamp_ntz")
+    final = F.array(*map(F.lit, Lifecycle().final))
+    outcome = F.when(F.col("id") % 5 != 0, F.when(F.col("id") % 2 == 0, "interview")).otherwise(F.get(final, (F.col("id") / 5 % 5).cast("int")))
+    apps = _applications(spark, d).select("stable_id", "id", F.when(F.col("status") == "purchase", "submitted").otherwise(F.col("status")).alias("status"), outcome.alias("outcome"), none.alias("last_followup_at"), none.alias("submitted_at"), F.col("ts").alias("updated_at"), F.col("k").alias("reminders"), F.concat(F.lit("C"), (F.col("stable_id") % 7).cast("string")).alias("company"))
+    due = reports.quiet_applications(apps, apps.where("stable_id % 3 = 0").select("stable_id"), F.lit("2024-02-10").cast("date"), days, most)
+    ranked = due.withColumn("place", F.row_number().over(Window.orderBy(*reports.quiet_order(), "stable_id")))  # rows of a report that a person reads
+    return ranked.select("stable_id", "quiet_days", F.lower("company").alias("company"), "place")
 
 
 @query("followups_due", _QUIET.format(days=10, more="AND k < 50"))
@@ -261,14 +287,25 @@ def month_window(spark, d):
 
 @query(
     "open_state",
-    f"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'closed' WHEN o_orderkey % 4 = 1 THEN CASE WHEN o_orderdate < TIMESTAMP '{AS_OF}' THEN 'closed' ELSE 'open' END
-      WHEN o_orderkey % 4 = 2 THEN CASE WHEN o_orderdate::DATE < DATE '{AS_OF}' THEN 'closed' ELSE 'unverified' END ELSE 'unverified' END AS state FROM orders""",
+    f"""SELECT o_orderkey, CASE k WHEN 0 THEN 'closed' WHEN 1 THEN CASE WHEN past THEN 'closed' ELSE 'open' END WHEN 2 THEN CASE WHEN past_day THEN 'closed' ELSE 'unverified' END WHEN 4 THEN 'closed' WHEN 5 THEN CASE WHEN past THEN 'unverified' ELSE 'closed' END ELSE 'unverified' END AS state,
+      CASE k WHEN 0 THEN 'the posting states the application is closed' WHEN 1 THEN CASE WHEN past THEN 'registration closed ' || iso ELSE '' END WHEN 2 THEN CASE WHEN past_day THEN 'registration ended ' || substr(iso, 1, 10) ELSE '' END
+      WHEN 4 THEN 'registration is not open (regn_open is false)' WHEN 5 THEN CASE WHEN past THEN '' ELSE 'registration opens later (' || iso || ')' END ELSE '' END AS reason
+      FROM (SELECT o_orderkey, o_orderkey % 6 AS k, o_orderdate < TIMESTAMP '{AS_OF}' AS past, o_orderdate::DATE < DATE '{AS_OF}' AS past_day, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso FROM orders WHERE o_orderdate <> TIMESTAMP '{AS_OF}')""",
 )
 def open_state(spark, d):
-    day, n = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.col("o_orderkey") % 4
-    raw = F.when(n == 1, F.to_json(F.struct(F.lit(1).alias("regn_open"), F.struct(day.alias("end_regn_dt")).alias("regnRequirements")))).when(n == 2, F.to_json(F.struct(day.alias("end_date")))).otherwise("{}")
+    # 2 and 3 hold an end date alone, which counts on the typed board only; 4 holds a flag that is there but null
+    day, n = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.col("o_orderkey") % 6
+    raw = (
+        F.when(n == 1, F.to_json(F.struct(F.lit(1).alias("regn_open"), F.struct(day.alias("end_regn_dt")).alias("regnRequirements"))))
+        .when(n.isin(2, 3), F.to_json(F.struct(day.alias("end_date"))))
+        .when(n == 4, '{"regn_open":null}')
+        .when(n == 5, F.to_json(F.struct(day.alias("start_regn_dt"))))
+        .otherwise("{}")
+    )
     words = F.when(n == 0, "Applications are now closed.").otherwise("Join the team.")
-    return _t(spark, d, "orders").select("o_orderkey", temporal.open_state(words, F.lit(""), raw, F.lit(AS_OF).cast("timestamp")).alias("state"))
+    o = temporal.open_state(words, F.lit(""), raw, F.lit(AS_OF).cast("timestamp"), F.when(n == 2, "unstop").otherwise("lever"))
+    rows = _t(spark, d, "orders").where(F.col("o_orderdate") != F.lit(AS_OF).cast("timestamp_ntz"))  # at the very moment a registration is neither past nor to come
+    return rows.select("o_orderkey", o.alias("o")).select("o_orderkey", "o.state", "o.reason")
 
 
 # ---- money ----
@@ -303,10 +340,10 @@ def stipend_labels(spark, d):
     return _t(spark, d, "part").select("p_partkey", money.stipend_label(money.stipend(words, 1200)).alias("label"))
 
 
-@query("salary_text", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Stipend: unpaid' ELSE 'Stipend: ₹' || p_size || CASE WHEN p_partkey % 3 = 2 THEN ' - ₹' || (p_size + 1) ELSE '' END || ' per ' || CASE WHEN p_partkey % 2 = 0 THEN 'month' ELSE 'year' END END AS said FROM part")
+@query("salary_text", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Stipend: Unpaid' ELSE 'Stipend: ₹' || p_size || CASE WHEN p_partkey % 3 = 2 THEN ' - ₹' || (p_size + 1) ELSE '' END || ' per ' || CASE WHEN p_partkey % 2 = 0 THEN 'month' ELSE 'annum' END END AS said FROM part")
 def salary_text(spark, d):
     k = F.col("p_partkey")
-    detail = F.struct(F.when(k % 3 == 0, "unpaid").otherwise("paid").alias("paid_unpaid"), F.lit("INR").alias("currency"), F.col("p_size").cast("string").alias("min_salary"), F.when(k % 3 == 2, (F.col("p_size") + 1).cast("string")).alias("max_salary"), F.when(k % 2 == 0, F.lit(None)).otherwise("per_year").alias("pay_in"))
+    detail = F.struct(F.when(k % 3 == 0, "unpaid").otherwise("paid").alias("paid_unpaid"), F.lit("INR").alias("currency"), F.col("p_size").cast("string").alias("min_salary"), F.when(k % 3 == 2, (F.col("p_size") + 1).cast("string")).alias("max_salary"), F.when(k % 2 == 0, F.lit(None)).otherwise("Per Year").alias("pay_in"), F.lit("1").alias("show_salary"), F.lit(None).cast("string").alias("not_disclosed"))
     return _t(spark, d, "part").select("p_partkey", money.salary_text(detail).alias("said"))
 
 
@@ -354,7 +391,11 @@ def slugs(spark, d):
     return _t(spark, d, "customer").select("c_custkey", text.slug(F.concat_ws("  ", "c_name", "c_mktsegment")).alias("slug"))
 
 
-@query("unknown_words", """WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]+')) AS w FROM benchmark), t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9]+'))) AS w FROM documents)
+# words as the rules cut them, without LaTeX
+_WORDS = r"list_filter(list_transform(regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(text, '\$[^$]*\$', ' ', 'g'), '\\[A-Za-z@]+\*?', ' ', 'g'), '[\\{}$&~]', ' ', 'g')), '[a-z][a-z0-9+#.\-]*'), lambda x: trim(x, '.-')), lambda x: len(x) > 1)"
+
+
+@query("unknown_words", f"""WITH b AS (SELECT DISTINCT unnest({_WORDS}) AS w FROM benchmark), t AS (SELECT doc_id, unnest(list_distinct({_WORDS})) AS w FROM documents)
     SELECT doc_id, count(*) AS unknown FROM t ANTI JOIN b USING (w) GROUP BY 1""")
 def unknown_words(spark, d):
     known = _t(spark, d, "benchmark").select(F.explode(text.content_tokens(F.col("text"))).alias("w")).distinct()
@@ -362,10 +403,10 @@ def unknown_words(spark, d):
     return each.join(known, "w", "left_anti").groupBy("doc_id").agg(F.count("*").alias("unknown"))
 
 
-@query("numbers_in_text", "SELECT o_orderkey, [(floor(o_totalprice)::BIGINT)::VARCHAR, o_orderkey::VARCHAR] AS numbers FROM orders WHERE floor(o_totalprice) <> o_orderkey")
+@query("numbers_in_text", "SELECT o_orderkey, list_sort(list_distinct([floor(o_totalprice)::BIGINT || '.00', o_orderkey::VARCHAR, '7%', '3/4', '3', '4'])) AS numbers FROM orders")
 def numbers_in_text(spark, d):
-    words = F.concat(F.lit("Paid "), F.format_number(F.floor("o_totalprice"), 0), F.lit(".00 for order "), F.col("o_orderkey").cast("string"))
-    return _t(spark, d, "orders").where("floor(o_totalprice) <> o_orderkey").select("o_orderkey", text.numbers_in(words).alias("numbers"))
+    words = F.concat(F.lit("Paid "), F.format_number(F.floor("o_totalprice"), 0), F.lit(".00 for order "), F.col("o_orderkey").cast("string"), F.lit(r" and 7 %, \textbf{3 / 4} of $5x$"))
+    return _t(spark, d, "orders").select("o_orderkey", F.array_sort(text.numbers_in(words)).alias("numbers"))
 
 
 @query("json_lists", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN [event_type, 'x'] ELSE [] END AS items FROM events")
@@ -380,10 +421,17 @@ def page_text_lines(spark, d):
     return _t(spark, d, "pages").select("page_id", text.html_to_text("html").alias("text"))
 
 
-@query("role_relevance", f"""SELECT doc_id, round(least(1, CASE WHEN {_bounded('the').replace('text', 'substr(text, 1, 40)')} THEN 0.5 ELSE 0 END + least(0.4, 0.1 * ({_bounded('the')}::INT + {_bounded('license')}::INT))), 4) AS relevance FROM documents""")
+@query("html_lines", "SELECT c_custkey, c_name || ' & <co>' || chr(10) || 'in ' || c_mktsegment || chr(10) || 'no. ' || c_nationkey || chr(10) || 'end' AS text FROM customer")
+def html_lines(spark, d):
+    page = F.concat(F.lit("<html><style>p {}</style><h1>"), F.col("c_name"), F.lit(" &amp; &lt;co&gt;</h1><ul><li> in&nbsp; <b>"), F.col("c_mktsegment"), F.lit("</b></li>\n<li>no. "), F.col("c_nationkey").cast("string"), F.lit("</li></ul><script>var x = '<p>y</p>';</script>\n\n<br>end"))
+    return _t(spark, d, "customer").select("c_custkey", text.html_to_text(page).alias("text"))
+
+
+@query("role_relevance", f"""SELECT doc_id, round(least(1, CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE 0 END + least(0.4, 0.1 * ({_bounded('the')}::INT + {_bounded('license')}::INT))), 4) AS relevance FROM documents""")
 def role_relevance(spark, d):
-    scores = score.role_relevance(F.substring("text", 1, 40), F.col("text"), {"a": ["the", "license"], "b": ["nothing of it"]})
-    return _t(spark, d, "documents").where("true").select("doc_id", score.best_domain(scores).alias("relevance"))
+    title = F.when(F.col("doc_id") % 3 == 0, "Some License").otherwise("licensed")
+    scores = score.role_relevance(title, F.col("text"), {"a": ["the", "license"], "b": ["nothing of it"]})
+    return _t(spark, d, "documents").select("doc_id", score.best_domain(scores).alias("relevance"))
 
 
 # ---- filters, score, selection ----
@@ -393,15 +441,16 @@ PLACES = [
     ("Bengaluru, India", None, "", 1.0, True, True), ("Remote - Worldwide", True, "", 0.95, True, True), ("San Francisco, United States", None, "", 0.0, False, True),
     ("Remote, US", None, "", 0.1, False, True), ("", None, "", 0.0, False, True), ("", True, "", 0.85, True, True), ("Remote", None, "Work with our India team", 0.9, True, True),
     ("Atlantis", True, "", 0.5, True, False), ("Atlantis", None, "", 0.2, False, True), ("Remote", None, "You must be located in Ohio", 0.85, True, False), ("security clearance site", None, "", 0.0, False, True),
+    ("Remote", True, "We are a team in Germany", 0.85, True, False), ("", None, "American citizens preferred", 0.5, True, False), ("Remote, Work From Home", None, "", 0.85, True, True), ("Fully Remote", None, "", 0.95, True, True), ("Pune", None, "Requires US citizenship", 0.0, False, True),
 ]
 
 
-@query("location_ladder", "SELECT o_orderkey, " + "CASE o_orderkey % 11 " + " ".join(f"WHEN {i} THEN {p[3]}" for i, p in enumerate(PLACES)) + " END::DOUBLE AS score, CASE o_orderkey % 11 " + " ".join(f"WHEN {i} THEN {p[4]}" for i, p in enumerate(PLACES)) + " END AS eligible, CASE o_orderkey % 11 " + " ".join(f"WHEN {i} THEN {p[5]}" for i, p in enumerate(PLACES)) + " END AS auto_ok FROM orders")
+@query("location_ladder", "SELECT o_orderkey, " + "CASE o_orderkey % 16 " + " ".join(f"WHEN {i} THEN {p[3]}" for i, p in enumerate(PLACES)) + " END::DOUBLE AS score, CASE o_orderkey % 16 " + " ".join(f"WHEN {i} THEN {p[4]}" for i, p in enumerate(PLACES)) + " END AS eligible, CASE o_orderkey % 16 " + " ".join(f"WHEN {i} THEN {p[5]}" for i, p in enumerate(PLACES)) + " END AS auto_ok FROM orders")
 def location_ladder(spark, d):
-    n = F.col("o_orderkey") % 11
+    n = F.col("o_orderkey") % 16
     pick = lambda j, kind: F.element_at(F.array(*(F.lit(p[j]).cast(kind) for p in PLACES)), (n + 1).cast("int"))
     rows = _t(spark, d, "orders").select("o_orderkey", pick(0, "string").alias("location"), pick(1, "boolean").alias("is_remote"), pick(2, "string").alias("description"))
-    return rows.select("o_orderkey", filters.location(Rules()).alias("p")).select("o_orderkey", "p.score", "p.eligible", "p.auto_ok")
+    return filters.with_place(rows, Rules()).select("o_orderkey", "place.score", "place.eligible", "place.auto_ok")
 
 
 def _postings(spark, d) -> DataFrame:
@@ -414,7 +463,7 @@ def _postings(spark, d) -> DataFrame:
         F.when(k % 7 == 0, "FullTime").otherwise("Internship").alias("employment_type"),
         F.when(k % 4 == 0, "Stipend: INR 45,000 per month. January 2026 - June 2026").when(k % 4 == 1, "Stipend: INR 5,000 per month").when(k % 4 == 2, "September to December 2026").otherwise("").alias("description"),
         F.lit(None).cast("boolean").alias("is_remote"),
-        F.when(F.col("o_orderstatus") == "F", "closed").when(F.col("o_orderstatus") == "O", "open").otherwise("unverified").alias("open_state"),
+        F.struct(F.when(F.col("o_orderstatus") == "F", "closed").when(F.col("o_orderstatus") == "O", "open").otherwise("unverified").alias("state"), F.when(F.col("o_orderstatus") == "F", "the posting states the application is closed").otherwise("").alias("reason")).alias("open"),
         F.lit("").alias("apply_url"),
         F.col("o_orderpriority").alias("source"),
         F.col("o_totalprice").alias("price"),
@@ -422,17 +471,25 @@ def _postings(spark, d) -> DataFrame:
 
 
 _REASONS = """SELECT o_orderkey AS id, o_orderpriority AS source, list_filter([
-    CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 2 <> 0 THEN 'internship' END, CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 2 <> 0 THEN 'fulltime' END, CASE WHEN o_orderkey % 2 <> 0 AND o_orderkey % 3 = 0 THEN 'seniority' END,
-    CASE WHEN o_orderkey % 5 = 0 THEN 'india_eligible' END, CASE WHEN o_orderstatus = 'F' THEN 'application_open' END, CASE WHEN o_orderkey % 4 = 1 THEN 'stipend' END, CASE WHEN o_orderkey % 4 = 2 THEN 'window' END], lambda x: x IS NOT NULL) AS reasons FROM orders"""
+    CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 2 <> 0 THEN 'internship: not identifiable as an internship' END, CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 2 <> 0 THEN 'fulltime: full-time signal ''fulltime''' END,
+    CASE WHEN o_orderkey % 2 <> 0 AND o_orderkey % 3 = 0 THEN 'seniority: seniority keyword ''senior'' in title' END, CASE WHEN o_orderkey % 5 = 0 THEN 'india_eligible: onsite location abroad (''united states'')' END,
+    CASE WHEN o_orderstatus = 'F' THEN 'application_open: the posting states the application is closed' END, CASE WHEN o_orderkey % 4 = 1 THEN 'stipend: ₹5,000/mo below floor' END,
+    CASE WHEN o_orderkey % 4 = 2 THEN 'window: explicit range Sep-Dec 2026 does not overlap Jan-Jun' END], lambda x: x IS NOT NULL) AS reasons,
+    list_filter([CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 2 = 0 THEN 'ambiguous: internship title with full-time signal ''fulltime''; review before applying' END, CASE WHEN o_orderkey % 4 > 1 THEN 'stipend not stated; verify before applying' END], lambda x: x IS NOT NULL) AS review FROM orders"""
 
 
 @query("filter_reasons", f"SELECT id, reasons, len(reasons) = 0 AS eligible FROM ({_REASONS})")
 def filter_reasons(spark, d):
     out = filters.filter_postings(_postings(spark, d))
-    return out.select("id", F.transform("reject_reasons", lambda r: F.split(r, ": ")[0]).alias("reasons"), "eligible")
+    return out.select("id", F.col("reject_reasons").alias("reasons"), "eligible")
 
 
-@query("rejection_breakdown", f"SELECT r AS reason, count(*) AS rows FROM (SELECT unnest(reasons) AS r FROM ({_REASONS})) GROUP BY 1")
+@query("review_reasons", f"SELECT id, review FROM ({_REASONS})")
+def review_reasons(spark, d):
+    return filters.filter_postings(_postings(spark, d)).select("id", F.col("review_reasons").alias("review"))
+
+
+@query("rejection_breakdown", f"SELECT split_part(r, ': ', 1) AS reason, count(*) AS rows FROM (SELECT unnest(reasons) AS r FROM ({_REASONS})) GROUP BY 1")
 def rejection_breakdown(spark, d):
     return reports.rejections(filters.filter_postings(_postings(spark, d)))
 
@@ -442,6 +499,53 @@ def source_funnel(spark, d):
     return reports.funnel(filters.filter_postings(_postings(spark, d)), ["source"], eligible=F.col("eligible"), one_reason=F.size("reject_reasons") == 1)
 
 
+# postings with a role part: what the score sees of them is known from the key
+_MATCH = """SELECT id, k, t, CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE 0.3 END AS win, greatest(CASE WHEN t = 0 THEN 0.5 ELSE 0.0 END, CASE WHEN k = 0 THEN 0.3 ELSE 0.0 END) AS rel,
+    CASE WHEN t = 0 THEN ['Machine Learning', 'Deep Learning'] ELSE [] END || CASE k WHEN 0 THEN ['Docker', 'SQL', 'Flask'] WHEN 1 THEN [] ELSE ['AWS', 'Azure', 'Linux', 'React', 'GraphQL', 'Kubernetes', 'Java', 'Agile'] END AS terms
+    FROM (SELECT o_orderkey AS id, o_orderkey % 3 AS k, o_orderkey // 3 % 2 AS t FROM orders)"""
+_MATCHED = f"""SELECT *, 0.45 * CASE WHEN len(terms) = 0 THEN 0.5 ELSE len(matched) / len(terms) END + 0.25 * rel + 0.15 + 0.10 * win + 0.05 AS score
+    FROM (SELECT *, list_filter(terms, lambda x: x IN ('Docker', 'SQL', 'Machine Learning')) AS matched, list_filter(terms, lambda x: x NOT IN ('Docker', 'SQL', 'Machine Learning')) AS missing FROM ({_MATCH}))"""
+
+
+def _matches(spark, d) -> DataFrame:
+    key = F.col("o_orderkey")
+    k, t = key % 3, F.floor(key / 3) % 2
+    about = F.lit("We do machine learning in Python.\nResponsibilities:\n")
+    body = F.when(k == 0, "Docker, SQL and Flask. January to June 2026").when(k == 1, "Be there. July to September 2026").otherwise("AWS, Azure, Linux, React, GraphQL, Kubernetes, Java, Agile. Unpaid")
+    rows = _t(spark, d, "orders").select(
+        key.alias("id"), key.cast("string").alias("stable_id"), F.when(t == 0, "ML Intern, Deep Learning").otherwise("Intern").alias("title"), F.lit("Acme").alias("company"), F.lit("Pune").alias("location"), F.lit("Internship").alias("employment_type"),
+        F.concat(about, body).alias("description"), F.when(k == 1, True).alias("is_remote"), F.struct(F.lit("unverified").alias("state"), F.lit("").alias("reason")).alias("open"),
+    )
+    return score.match_postings(filters.filter_postings(rows), F.array(F.lit("Docker"), F.lit("SQL"), F.lit("Machine Learning")))
+
+
+@query(
+    "match_postings",
+    f"""SELECT id, round(score, 6) AS score, CASE WHEN round(score, 9) >= 0.68 AND rel >= 0.5 THEN 'strong' WHEN round(score, 9) >= 0.42 THEN 'shortlist' ELSE 'reject' END AS band, matched, missing,
+    'window fit ' || CASE k WHEN 0 THEN '1.00: explicit range Jan-Jun 2026' WHEN 1 THEN '0.00: explicit range Jul-Sep 2026' ELSE '0.30: no timing signal found' END AS reason FROM ({_MATCHED})""",
+)
+def match_postings(spark, d):
+    return _matches(spark, d).select("id", F.round("score", 6).alias("score"), "band", "coverage.matched", "coverage.missing", F.get("match_reasons", 3).alias("reason"))
+
+
+@query(
+    "red_flags",
+    f"""SELECT id, list_filter([CASE WHEN k <> 1 THEN 'remote eligibility is not stated; confirm the work location' END, CASE WHEN len(missing) >= 8 THEN 'JD asks for ' || len(missing) || ' skills absent from the profile; these are reported as gaps and were not inserted' END,
+    CASE WHEN len(terms) > 0 AND len(matched) / len(terms) < 0.25 THEN 'low keyword coverage; the resume may not speak to this JD' END, CASE WHEN k = 2 THEN 'posting may be unpaid; confirm' END], lambda x: x IS NOT NULL) AS flags FROM ({_MATCHED})""",
+)
+def red_flags(spark, d):
+    out = _matches(spark, d)
+    return out.select("id", filters.red_flags(out).alias("flags"))
+
+
+@query("save_matches", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 1 THEN -1 ELSE 0.15 END AS score, CASE WHEN o_orderkey % 3 = 1 THEN 'old' ELSE 'new' END AS band, CASE WHEN o_orderkey % 3 <> 1 THEN 't1' END AS scored_at, 'kept' AS title FROM orders")
+def save_matches(spark, d):
+    key = F.col("o_orderkey")
+    stored = _t(spark, d, "orders").select(key.alias("id"), key.cast("string").alias("stable_id"), F.lit("kept").alias("title"), F.lit(-1.0).alias("score"), F.lit("old").alias("band"), F.lit(None).cast("string").alias("scored_at"))
+    matches = stored.where(F.col("id") % 3 != 1).select("stable_id", F.lit(0.15).alias("score"), F.lit("new").alias("band"))
+    return state.save_matches(stored, matches, F.lit("t1")).select("id", "score", "band", "scored_at", "title")
+
+
 _SCORED = "SELECT l_orderkey, l_linenumber, (0.45 * (l_quantity / 50) + 0.25 * (l_discount * 10) + 0.15 * (1 - l_tax * 10) + 0.10 * (l_linenumber / 7) + 0.05 * 1.0) AS score, l_discount * 10 AS rel FROM lineitem"
 
 
@@ -470,25 +574,47 @@ def present_buckets(spark, d):
     return select.buckets(rows, 0.4, 0.3).select("id", "reason", "bucket")
 
 
-@query("routes", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'linkedin' WHEN c_mktsegment = 'MACHINERY' THEN 'linkout' WHEN c_acctbal > 5000 AND c_custkey % 2 = 0 THEN 'auto' WHEN c_acctbal > 5000 THEN 'review_no_channel' ELSE 'review_band' END AS route FROM customer")
+@query(
+    "routes",
+    """SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'linkedin' WHEN c_mktsegment = 'MACHINERY' THEN 'linkout' WHEN c_acctbal > 5000 AND c_custkey % 3 = 0 THEN 'auto' ELSE 'review' END AS route,
+    CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN '' WHEN c_acctbal > 5000 THEN CASE c_custkey % 3 WHEN 0 THEN 'once that condition clears' WHEN 1 THEN 'routed it to review: window' ELSE 'routed it to review: it said so' END ELSE 'Band ''shortlist'' is review-only' END AS says FROM customer""",
+)
 def routes(spark, d):
+    k = F.col("c_custkey") % 3
     source = F.when(F.col("c_mktsegment") == "BUILDING", "linkedin").otherwise(F.col("c_mktsegment"))
     band = F.when(F.col("c_acctbal") > 5000, "strong").otherwise("shortlist")
-    return _t(spark, d, "customer").select("c_custkey", select.route(source, ["MACHINERY"], band, F.when(F.col("c_custkey") % 2 == 0, "a@b.example")).alias("route"))
+    r = select.route(source, band, F.when(k == 0, "capped").otherwise("window"), F.when(k == 2, "it said so").otherwise(""), Lifecycle(manual_sources=("MACHINERY",)))
+    rows = _t(spark, d, "customer").select("c_custkey", r.alias("r"))
+    return rows.select("c_custkey", "r.route", F.regexp_extract("r.detail", "(Band '[a-z]*' is review-only|routed it to review: [a-z ]+|once that condition clears)", 1).alias("says"))
 
 
-@query("guard_chain", "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'linkedin' WHEN o_orderstatus = 'F' THEN 'filter' WHEN o_totalprice < 100000 THEN 'band' WHEN o_orderkey % 2 = 0 THEN 'no_channel' ELSE 'submit' END AS guard FROM orders")
-def guard_chain(spark, d):
-    g = select.guards(linkedin=F.col("o_orderpriority") == "1-URGENT", filter=F.col("o_orderstatus") == "F", band=F.col("o_totalprice") < 100000, no_channel=F.col("o_orderkey") % 2 == 0)
-    return _t(spark, d, "orders").select("o_orderkey", g.alias("guard"))
+# the window overlaps for k % 3 = 0; every eleventh key is submitted already
+_GUARDS = """SELECT id, price, CASE WHEN prio = '1-URGENT' THEN 'linkedin' WHEN prio = '2-HIGH' THEN 'manual_source' WHEN id % 9 = 0 THEN 'generation' WHEN id % 3 <> 0 THEN 'window' WHEN price < 100000 THEN 'match' WHEN id % 5 = 0 THEN 'filter' WHEN id % 11 = 0 THEN 'duplicate' WHEN id % 2 = 0 THEN 'no_channel' ELSE 'submit' END AS guard
+    FROM (SELECT o_orderkey AS id, o_orderpriority AS prio, o_totalprice AS price FROM orders)"""
 
 
-@query("robots", "SELECT page_id AS url_id, NOT (page_id % 3 = 0 AND page_id % 4 <> 0) AS allowed FROM pages")
+@query("guard_chain", f"SELECT id AS o_orderkey, CASE WHEN guard = 'submit' AND row_number() OVER (PARTITION BY guard ORDER BY price DESC, id) > 3 THEN 'capped' ELSE guard END AS guard FROM ({_GUARDS})")
+def guard_chain(spark, d):
+    key = F.col("o_orderkey")
+    w = temporal.window(F.when(key % 3 == 0, "January to June 2026").when(key % 3 == 1, "July to August 2026").otherwise("some day"))
+    source = F.when(F.col("o_orderpriority") == "1-URGENT", "linkedin").when(F.col("o_orderpriority") == "2-HIGH", "naukri").otherwise("lever")
+    plans = _t(spark, d, "orders").select(
+        key.alias("stable_id"), source.alias("source"), (key % 9 == 0).alias("requires_review"), w.alias("window"), F.when(F.col("o_totalprice") < 100000, "shortlist").otherwise("strong").alias("band"),
+        F.when(key % 5 == 0, F.array(F.lit("r"))).otherwise(F.array().cast("array<string>")).alias("review_reasons"), (key % 2 != 0).alias("can_submit"), F.col("o_totalprice").alias("score"),
+    )
+    known = plans.where("stable_id % 11 = 0").select("stable_id")
+    out = select.guard_chain(plans, known, spark.range(1).select(F.lit(2).alias("n")), Lifecycle(manual_sources=("naukri",)), [F.desc("score"), F.asc("stable_id")])
+    return out.select(F.col("stable_id").alias("o_orderkey"), "guard")
+
+
+@query("robots", "SELECT page_id AS url_id, CASE page_id % 5 WHEN 0 THEN NOT (page_id % 3 = 0 AND page_id % 4 <> 0) WHEN 1 THEN true ELSE false END AS allowed FROM pages")
 def robots(spark, d):
     k = F.col("page_id")
-    urls = _t(spark, d, "pages").select(k.alias("url_id"), F.lit("h").alias("host"), F.concat(F.when(k % 3 == 0, "/private/").otherwise("/jobs/"), F.when(k % 4 == 0, "open/").otherwise("x/"), k.cast("string"), F.lit(".html")).alias("path"))
-    rules = spark.createDataFrame([("h", "*", "disallow", "/private/"), ("h", "*", "allow", "/private/open/"), ("h", "bot", "disallow", "/*.pdf$"), ("h", "bot", "allow", "/")], "host string, grp string, kind string, pattern string")
-    return select.robots_allowed(urls, rules)
+    host = F.element_at(F.array(*map(F.lit, ("rules", "missing", "failed", "silent", "no policy"))), (k % 5 + 1).cast("int"))
+    urls = _t(spark, d, "pages").select(k.alias("url_id"), host.alias("host"), F.concat(F.when(k % 3 == 0, "/priv%61te/").otherwise("/jobs/"), F.when(k % 4 == 0, "open/").otherwise("x/"), k.cast("string"), F.lit(".html")).alias("path"))
+    body = "# policy\nUser-agent: *\nDisallow: /private/\n\nAllow: /private/open/\nUser-agent: bot\nDisallow: /*.pdf$\nAllow: /\n"
+    policies = spark.createDataFrame([("rules", 200, body), ("missing", 404, None), ("failed", 503, None), ("no policy", 200, "<html>welcome</html>")], "host string, status int, body string")
+    return select.robots_allowed(urls, select.robots_rules(policies), "bot")
 
 
 @query("ranked_sections", "SELECT rank, c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_nationkey < 12, c_acctbal DESC, c_custkey) AS rank FROM customer) WHERE rank <= 40")

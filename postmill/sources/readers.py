@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tomllib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from postmill.functions.money import salary_text
 from postmill.functions.text import html_to_text
-from postmill.operators.identity import first_seen, union_sources
+from postmill.operators.identity import first_seen
 
 POSTING = T.StructType(
     [T.StructField(c, T.StringType()) for c in "source job_id company title url location description employment_type published_at deadline apply_url apply_email".split()]
@@ -23,7 +24,7 @@ POSTING = T.StructType(
 
 
 def posting(df: DataFrame, source: str, **cols: Column) -> DataFrame:
-    """Rows of the common shape: texts default to empty, is_remote to null, raw to the row as JSON."""
+    """Rows of the common shape, with row_ord, their place in the scan: texts default to empty, is_remote to null, raw to the row as JSON."""
     out = []
     for f in POSTING.fields:
         c = F.lit(source) if f.name == "source" else cols.get(f.name)
@@ -33,7 +34,7 @@ def posting(df: DataFrame, source: str, **cols: Column) -> DataFrame:
             out.append((c if c is not None else F.to_json(F.struct(*df.columns))).alias(f.name))
         else:
             out.append(F.coalesce(c.cast("string") if c is not None else F.lit(""), F.lit("")).alias(f.name))
-    return df.select(*out)
+    return df.select(*out, F.monotonically_increasing_id().alias("row_ord"))
 
 
 def stable_id() -> Column:
@@ -120,27 +121,34 @@ def exclusion_entries(spark: SparkSession, path: str) -> DataFrame:
 
 def himalayas(spark: SparkSession, path: str) -> DataFrame:
     """No restriction of place means remote worldwide; an excerpt that the description lacks is added; seconds become ISO text."""
-    job = "struct<guid:string,title:string,companyName:string,applicationLink:string,pubDate:string,employmentType:string,excerpt:string,description:string,locationRestrictions:array<string>,minSalary:double,maxSalary:double,currency:string>"
+    job = "struct<guid:string,title:string,companyName:string,applicationLink:string,pubDate:string,employmentType:string,excerpt:string,description:string,locationRestrictions:array<string>,minSalary:string,maxSalary:string,currency:string,salaryPeriod:string>"
     rows = _json(spark, path, f"jobs array<{job}>").select(F.explode("jobs").alias("j")).select("j.*")
-    limited = F.size(F.coalesce("locationRestrictions", F.array().cast("array<string>"))) > 0
+    places = F.filter(F.coalesce("locationRestrictions", F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")
+    where = F.when(F.size(places) > 0, F.array_join(places, ", ")).otherwise("Worldwide")
     text = html_to_text("description")
-    body = F.when(F.coalesce(F.nullif("excerpt", F.lit("")), F.lit("")) == "", text).when(F.contains(text, F.col("excerpt")), text).otherwise(F.concat_ws("\n", text, "excerpt"))
+    body = F.when(F.coalesce("excerpt", F.lit("")) == "", text).when(F.contains(text, F.col("excerpt")), text).otherwise(F.concat_ws("\n", F.nullif(text, F.lit("")), "excerpt"))
     when = F.coalesce(F.date_format(F.timestamp_seconds(F.col("pubDate").try_cast("double")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), F.col("pubDate"))
-    pay = F.when(F.col("minSalary") > 0, F.concat(F.coalesce("currency", F.lit("")), F.lit(" "), F.format_number("minSalary", 0), F.lit(" - "), F.format_number(F.coalesce("maxSalary", "minSalary"), 0)))
-    return posting(rows, "himalayas", job_id=F.col("guid"), title=F.col("title"), company=F.col("companyName"), url=F.col("applicationLink"), apply_url=F.col("applicationLink"), published_at=when, employment_type=F.col("employmentType"), description=body, salary=pay, location=F.when(limited, F.array_join("locationRestrictions", ", ")).otherwise("Worldwide"), is_remote=F.lit(True))
+    pay = F.concat_ws(" ", F.nullif(F.concat_ws("-", "minSalary", "maxSalary"), F.lit("")), F.nullif("currency", F.lit("")), F.nullif("salaryPeriod", F.lit("")))
+    paid = F.when(F.col("minSalary").isNotNull() | F.col("maxSalary").isNotNull(), pay)
+    link = F.nullif("applicationLink", F.lit(""))
+    return posting(rows, "himalayas", job_id=F.coalesce(F.nullif("guid", F.lit("")), link, "title"), title=F.col("title"), company=F.col("companyName"), url=link, apply_url=link, published_at=when, employment_type=F.col("employmentType"), description=body, salary=paid, location=where, is_remote=F.when(F.contains(F.lower(where), F.lit("worldwide")), True))
 
 
 def unstop(spark: SparkSession, path: str) -> DataFrame:
-    """Only LIVE rows, or those without a status; the description is put together from typed fields, pay and dates included."""
+    """Only LIVE rows, or those without a status; the description is put together from typed fields, pay and dates included (fixed texts)."""
     detail = "struct<show_salary:string,not_disclosed:string,paid_unpaid:string,currency:string,min_salary:string,max_salary:string,pay_in:string>"
-    row = f"struct<id:string,title:string,status:string,seo_url:string,public_url:string,start_date:string,end_date:string,region:string,subtype:string,type:string,details:string,organisation:struct<name:string>,locations:array<struct<name:string>>,required_skills:array<struct<skill_name:string>>,jobDetail:{detail},regn_open:int,regnRequirements:struct<start_regn_dt:string,end_regn_dt:string>>"
+    row = f"struct<id:string,short_id:string,title:string,status:string,seo_url:string,public_url:string,start_date:string,end_date:string,region:string,subtype:string,type:string,details:string,approved_date:string,updated_at:string,organisation:struct<name:string>,locations:array<struct<name:string,city:string,label:string>>,required_skills:array<struct<skill_name:string,skill:string>>,workfunction:array<struct<work_function_name:string>>,jobDetail:{detail},regn_open:int,regnRequirements:struct<start_regn_dt:string,end_regn_dt:string>>"
     rows = _json(spark, path, f"data array<{row}>").select(F.explode("data").alias("j")).select("j.*").where("coalesce(upper(status), '') in ('', 'LIVE')")
-    region = F.initcap(F.replace(F.coalesce("region", F.lit("")), F.lit("_"), F.lit(" ")))
-    place = F.concat_ws(", ", F.nullif(F.array_join(F.transform("locations", lambda x: x["name"]), ", "), F.lit("")), F.nullif(region, F.lit("")))
-    dates = F.when((F.coalesce("start_date", F.lit("")) != "") & (F.coalesce("end_date", F.lit("")) != ""), F.concat(F.lit("Internship duration: "), F.split("start_date", "T")[0], F.lit(" - "), F.split("end_date", "T")[0]))
-    skills = F.nullif(F.array_join(F.transform("required_skills", lambda s: s["skill_name"]), ", "), F.lit(""))
-    text = F.concat_ws("\n", F.nullif(html_to_text("details"), F.lit("")), F.concat(F.lit("Skills: "), skills), F.nullif(salary_text(F.col("jobDetail")), F.lit("")), dates)
-    return posting(rows, "unstop", job_id=F.col("id"), title=F.col("title"), company=F.col("organisation.name"), url=F.coalesce("seo_url", "public_url"), apply_url=F.coalesce("seo_url", "public_url"), location=place, employment_type=F.coalesce("subtype", "type"), published_at=F.col("start_date"), description=text, salary=salary_text(F.col("jobDetail")), is_remote=F.when(F.lower("region").contains("online"), True))
+    filled = lambda c: F.nullif(c, F.lit(""))
+    region = F.initcap(F.trim(F.replace(F.coalesce("region", F.lit("")), F.lit("_"), F.lit(" "))))
+    names = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.coalesce(*(filled(x[f]) for f in fields))), ", ")
+    place = F.concat_ws(", ", filled(names("locations", "name", "city", "label")), filled(region))
+    dates = F.when((F.coalesce("start_date", F.lit("")) != "") & (F.coalesce("end_date", F.lit("")) != ""), F.concat(F.lit("Internship starts: "), F.split("start_date", "T")[0], F.lit(" - "), F.split("end_date", "T")[0]))
+    labelled = lambda label, c: F.concat(F.lit(label), filled(c))
+    text = F.concat_ws("\n", dates, labelled("Work function: ", names("workfunction", "work_function_name")), filled(html_to_text("details")), labelled("Required skills: ", names("required_skills", "skill_name", "skill")), filled(salary_text(F.col("jobDetail"))))
+    public = F.when(F.col("public_url").startswith("http"), F.col("public_url")).otherwise(F.concat(F.lit("https://unstop.com/"), F.ltrim("public_url", F.lit("/"))))
+    url = F.coalesce(filled(F.col("seo_url")), F.when(F.coalesce("public_url", F.lit("")) != "", public))
+    return posting(rows, "unstop", job_id=F.coalesce(filled(F.col("id")), filled(F.col("short_id")), url), title=F.col("title"), company=F.col("organisation.name"), url=url, apply_url=url, location=place, employment_type=F.when(F.col("subtype") == "internships", "Internship").otherwise(F.col("type")), published_at=F.coalesce(filled(F.col("approved_date")), "updated_at"), description=text, is_remote=F.when(F.lower("region").rlike("online|remote"), True))
 
 
 def the_muse(spark: SparkSession, path: str) -> DataFrame:
@@ -182,19 +190,35 @@ class _Cards(HTMLParser):
 
 
 def search_cards(pages: DataFrame, html: str = "html") -> DataFrame:
-    """A row (job_id, url, title, company, location, posted) for each search card of stored pages."""
+    """A row (job_id, url, title, company, location, posted) for each search card of stored pages.
+
+    Other columns of ``pages`` stay, and card_ord counts the cards of a page.
+    """
     names = ["job_id", "url", "title", "company", "location", "posted"]
+    card = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in names]))
+
+    @F.pandas_udf(card)
+    def parse(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            p = _Cards()
+            p.feed(text or "")
+            out.append([{c: x.get(c, "") for c in names} for x in p.cards])
+        return pd.Series(out)
+
+    kept = [c for c in pages.columns if c != html]
+    return pages.select(*kept, F.posexplode(parse(html)).alias("card_ord", "__c")).select(*kept, "card_ord", "__c.*")
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            cards = []
-            for text in b[html].dropna():
-                p = _Cards()
-                p.feed(text)
-                cards += p.cards
-            yield pd.DataFrame(cards, columns=names).fillna("")
 
-    return pages.select(html).mapInPandas(parse, ", ".join(f"{c} string" for c in names))
+def card_postings(pages: DataFrame, max_results: int | None = None) -> DataFrame:
+    """Postings of the search pages (query_ord, page_ord, html) of several queries: the first card of each job, the first ``max_results`` in order."""
+    cards = search_cards(pages).where("job_id <> ''")
+    first = first_seen(cards, ["job_id"], ["query_ord", "page_ord", "card_ord"]).orderBy("query_ord", "page_ord", "card_ord")
+    first = first.limit(max_results) if max_results is not None else first
+    url = F.when(F.col("url").startswith("/"), F.concat(F.lit("https://www.linkedin.com"), F.col("url"))).otherwise(F.col("url"))
+    remote = F.when(F.contains(F.lower("location"), F.lit("remote")), True)
+    out = posting(first, "linkedin", job_id=F.col("job_id"), title=F.col("title"), company=F.col("company"), location=F.col("location"), url=url, apply_url=url, published_at=F.col("posted"), is_remote=remote)
+    return out
 
 
 def manual_row(source: Column, url: Column, title: Column, company: Column) -> Column:
@@ -202,25 +226,43 @@ def manual_row(source: Column, url: Column, title: Column, company: Column) -> C
     return F.struct(source.alias("source"), F.concat(F.lit("manual-"), F.substring(F.sha1(F.trim(url)), 1, 16)).alias("job_id"), F.trim(title).alias("title"), F.trim(company).alias("company"), F.trim(url).alias("url"))
 
 
-READERS: dict[str, Callable[..., DataFrame]] = {"local": local_file, "greenhouse": greenhouse, "lever": lever, "ashby": ashby, "workable": workable, "workable_global": workable_global, "himalayas": himalayas, "unstop": unstop, "themuse": the_muse}
+def manual_problem(source: Column, url: Column, title: Column, known: dict[str, bool]) -> Column:
+    """Why a posting entered by hand is not taken: its source is unknown or off (``known``: whether each is on), or its URL or title is missing; null if it is."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    on = [k for k, v in known.items() if v]
+    return F.when(~F.coalesce(source.isin(*known), F.lit(False)), "unknown source").when(~source.isin(*on), "source is disabled").when(blank(url), "no url").when(blank(title), "no title")
 
 
-def discover(spark: SparkSession, feeds: list[tuple[str, dict]]) -> tuple[DataFrame, list[dict]]:
-    """All feeds in order as one table, the first row of each stable_id kept; and an outcome for each feed.
+READERS: dict[str, Callable[..., DataFrame]] = {"local": local_file, "greenhouse": greenhouse, "lever": lever, "ashby": ashby, "workable": workable, "workable_global": workable_global, "himalayas": himalayas, "unstop": unstop, "themuse": the_muse, "cards": card_postings}
 
-    A feed that can't be read is reported and left out; it never stops the others.
+
+def discover(spark: SparkSession, feeds: list[tuple[str, dict]]) -> tuple[DataFrame, DataFrame]:
+    """All feeds in order as one table, the first row of each stable_id kept; and (source, status, rows, error) of each feed.
+
+    A feed that can't be read is reported and left out; it never stops the others. One with the
+    option ``enabled`` false is skipped. Counting is one job for all feeds.
     """
     parts, outcomes = [], []
     for name, options in feeds:
+        own = {k: v for k, v in options.items() if k != "enabled"}
+        if not options.get("enabled", True):
+            outcomes.append((len(outcomes), name, "skipped", "source disabled"))
+            continue
         try:
             if name not in READERS:
                 raise ValueError(f"no reader named {name}")
-            part = READERS[name](spark, **options)
-            outcomes.append({"source": name, "status": "ok", "rows": part.count(), "error": ""})
-            parts.append(part)
+            part = READERS[name](*(() if name == "cards" else (spark,)), **own)
+            part.isEmpty()  # an unreadable file shows here
         except Exception as e:  # noqa: BLE001  reported, as one feed's failure must not stop the others
-            outcomes.append({"source": name, "status": "error", "rows": 0, "error": type(e).__name__})
+            outcomes.append((len(outcomes), name, "error", type(e).__name__))
+        else:
+            parts.append(part.withColumn("source_ord", F.lit(len(outcomes))))
+            outcomes.append((len(outcomes), name, "ok", ""))
+    table = spark.createDataFrame(outcomes, "feed int, source string, status string, error string")
     if not parts:
-        return spark.createDataFrame([], POSTING).withColumn("stable_id", stable_id()), outcomes
-    rows = union_sources(parts).withColumn("stable_id", stable_id())
-    return first_seen(rows, ["stable_id"], ["source_ord", "url", "title"]).drop("source_ord"), outcomes
+        empty = spark.createDataFrame([], POSTING).withColumn("stable_id", stable_id())
+        return empty, table.select("source", "status", F.lit(0).cast("long").alias("rows"), "error")
+    rows = reduce(lambda a, b: a.unionByName(b), parts).withColumn("stable_id", stable_id())
+    n = rows.groupBy("source_ord").agg(F.count("*").alias("n"))
+    counted = table.join(n, F.col("feed") == F.col("source_ord"), "left").orderBy("feed").select("source", "status", F.coalesce("n", F.lit(0)).alias("rows"), "error")
+    return first_seen(rows, ["stable_id"], ["source_ord", "row_ord"]).drop("source_ord", "row_ord"), counted

@@ -25,8 +25,15 @@ def queue_markdown(items: DataFrame) -> Column:
 
 
 def write_queue(queue: DataFrame, path: str, form: str = "json", status: str = "pending") -> None:
-    """Write the queue below ``path`` as JSON lines (json) or Markdown (md)."""
+    """Write the queue below ``path`` as JSON lines (json), one JSON array (array) or Markdown (md).
+
+    An array is one value, so it gathers the queue in one task: for queues that a person reads.
+    """
     items = queue_items(queue, status)
+    if form == "array":
+        one = items.agg(F.to_json(F.sort_array(F.collect_list(F.struct((-F.coalesce("score", F.lit(float("-inf")))).alias("o"), F.col("stable_id").alias("k"), F.struct(*items.columns).alias("r"))))["r"]).alias("value"))
+        one.write.mode("overwrite").text(path)
+        return
     if form == "md":
         items.select(queue_markdown(items).alias("value")).write.mode("overwrite").text(path, lineSep="\n\n")
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from postmill.operators.identity import first_seen
+from postmill.operators.identity import latest
 from postmill.operators.state import upsert
 
 
@@ -28,7 +28,7 @@ def upsert_stream(rows: DataFrame, snapshots: str, key: str, order: str, checkpo
 
     def apply(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        new = first_seen(batch, [key], [F.desc(order)])
+        new = latest(batch, [key], order)
         out = new.drop(order) if n == 0 else upsert(spark.read.parquet(f"{snapshots}/v={n - 1}"), new.drop(order), key, **rules).drop("is_new")
         out.write.mode("overwrite").parquet(f"{snapshots}/v={n}")
 

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from postmill.operators import identity, reports
 from postmill.sources import readers
 from postmill.streaming import upserts
 
@@ -15,10 +16,11 @@ def put(tmp_path, name, value):
 
 def test_local_and_failures(spark, tmp_path):
     path = put(tmp_path, "a.json", {"jobs": [{"id": "x1", "title": "T", "company": "C", "url": "u", "description": "<p>x&amp;y</p>"}, {"title": "no id, so its place is its id"}]})
-    rows, outcomes = readers.discover(spark, [("local", {"path": path}), ("local", {"path": path}), ("nowhere", {}), ("local", {"path": str(tmp_path / "none.json")})])
+    rows, outcomes = readers.discover(spark, [("local", {"path": path}), ("local", {"path": path}), ("nowhere", {}), ("local", {"path": str(tmp_path / "none.json")}), ("lever", {"enabled": False})])
     got = {r.stable_id: r for r in rows.collect()}
     assert set(got) == {"local:x1", "local:1"} and got["local:x1"].description == "x&y" and got["local:x1"].apply_url == "u"
-    assert [o["status"] for o in outcomes] == ["ok", "ok", "error", "error"]
+    assert [(o.status, o.rows) for o in outcomes.collect()] == [("ok", 2), ("ok", 2), ("error", 0), ("error", 0), ("skipped", 0)]
+    assert reports.source_outcomes(outcomes).first().asDict() == {"ok": 2, "failed": 2, "skipped": 1}
 
 
 def test_boards(spark, tmp_path):
@@ -34,13 +36,32 @@ def test_boards(spark, tmp_path):
     u = put(tmp_path, "u.json", {"data": [row, row | {"id": 2, "status": "CLOSED"}]})
     got = readers.unstop(spark, u).collect()
     assert [x.job_id for x in got] == ["1"] and got[0].location == "New Delhi"
-    assert got[0].description == "d\nSkills: SQL\nStipend: ₹8,000 - ₹12,000 per month\nInternship duration: 2026-01-05 - 2026-06-30"
+    assert got[0].description == "Internship starts: 2026-01-05 - 2026-06-30\nd\nRequired skills: SQL\nStipend: ₹8,000 - ₹12,000 per month"
 
 
 def test_cards(spark):
     page = '<li><div data-entity-urn="urn:li:jobPosting:42"><a href="https://x/42?t=1"></a><h3 class="base-search-card__title"> ML  Intern </h3><h4 class="base-search-card__subtitle"><a>Acme</a></h4><span class="job-search-card__location">Pune</span><time datetime="2026-01-01">now</time></div></li>'
     got = readers.search_cards(spark.createDataFrame([(page,), (None,)], "html string")).collect()
-    assert [tuple(r) for r in got] == [("42", "https://x/42", "ML Intern", "Acme", "Pune", "2026-01-01")]
+    assert [tuple(r) for r in got] == [(0, "42", "https://x/42", "ML Intern", "Acme", "Pune", "2026-01-01")]
+    pages = spark.createDataFrame([(1, 0, page), (0, 1, page.replace("42", "43")), (0, 0, page + page.replace("42", "44"))], "query_ord int, page_ord int, html string")
+    rows = readers.card_postings(pages, 2).orderBy("row_ord").collect()
+    assert [(r.job_id, r.source, r.company) for r in rows] == [("42", "linkedin", "Acme"), ("44", "linkedin", "Acme")]
+
+
+def test_queries_of_one_source(spark, tmp_path):
+    job = lambda i, t: {"guid": i, "title": t, "applicationLink": f"u{i}", "minSalary": 5, "currency": "EUR", "locationRestrictions": ["Worldwide"]}
+    a, b, c = (readers.himalayas(spark, put(tmp_path, n, {"jobs": j})) for n, j in (("a.json", [job("1", "first"), job("2", "x")]), ("b.json", [job("1", "second"), job("3", "y"), job("3", "z")]), ("c.json", [job("2", "w")])))
+    rows, counts = identity.union_queries([("typed", a), ("q=intern", b), ("q=other", c)])
+    assert {(r.job_id, r.title) for r in rows.collect()} == {("1", "first"), ("2", "x"), ("3", "y")}
+    assert {(r["query"], r.new_rows) for r in counts.collect()} == {("typed", 2), ("q=intern", 1), ("q=other", 0)}
+    r = a.first()
+    assert (r.is_remote, r.salary, r.location) == (True, "5 EUR", "Worldwide")
+
+
+def test_manual_postings(spark):
+    rows = spark.createDataFrame([("naukri", "u", "t"), ("off", "u", "t"), ("lever", "u", "t"), ("naukri", " ", "t"), ("naukri", "u", None), (None, "u", "t")], "s string, u string, t string")
+    got = rows.select(readers.manual_problem(F.col("s"), F.col("u"), F.col("t"), {"naukri": True, "off": False}).alias("p")).collect()
+    assert [r.p for r in got] == [None, "source is disabled", "unknown source", "no url", "no title", "unknown source"]
 
 
 def test_upsert_stream(spark, tmp_path):
