@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -29,3 +32,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """One of the Parquet tables below ``sf_dir``, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` as the cluster names it.
+
+    Only where it is unset (local runs, tests) a folder of this machine is made and set.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="postmill-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below :func:`checkpoint_root`; the file system deletes it when the application ends."""
+    root = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return root
