@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -14,9 +12,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill import session
 from postmill.session import read_table
 
-__all__ = ["Scratch", "checkpoint_root", "crc_of_id", "delete", "discarded", "golden", "mix64", "read_table", "scratch_folder", "text_bytes", "word_hashes"]
+__all__ = ["Scratch", "crc_of_id", "delete", "discarded", "golden", "mix64", "read_table", "scratch_folder", "text_bytes", "word_hashes"]
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -29,20 +28,6 @@ def golden(i: int) -> np.uint64:
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` as the cluster names it.
-
-    Only where it is unset (local runs, tests) a folder of this machine is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="postmill-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
 _made: list[str] = []
 
 
@@ -58,13 +43,9 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below :func:`checkpoint_root`; the file system deletes it when the application ends."""
-    root = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    p, fs = _path(spark, root)
-    fs.mkdirs(p)
-    fs.deleteOnExit(p)
-    _made.append(root)
-    return root
+    """A new folder of the shared storage, which ends with the application; :func:`discarded` knows of it."""
+    _made.append(session.scratch_folder(spark, name))
+    return _made[-1]
 
 
 @contextmanager
