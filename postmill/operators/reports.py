@@ -35,7 +35,7 @@ def funnel(df: DataFrame, by: list[str], **stages: Column) -> DataFrame:
 
 def rejections(df: DataFrame, reasons: str = "reject_reasons") -> DataFrame:
     """How many rows each reason rejects; a row counts for all of its reasons."""
-    return df.select(F.explode(reasons).alias("r")).groupBy(F.split("r", ": ")[0].alias("reason")).agg(F.count("*").alias("rows"))
+    return df.select(F.explode_outer(reasons).alias("r")).where("r is not null").groupBy(F.split("r", ": ")[0].alias("reason")).agg(F.count("*").alias("rows"))
 
 
 def attempts_on(attempts: DataFrame, day: str, statuses: tuple[str, ...]) -> DataFrame:
