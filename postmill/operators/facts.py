@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from postmill.functions.text import clean_whitespace, content_tokens, filled, fold, numbers_in
 
+#: Quotes and hyphens as they are compared (fixed values).
+_TYPOGRAPHIC, _PLAIN = "‘’“”–—", '\'\'""--'
+
 #: Endings that an inflected form may have (fixed value).
 _SUFFIXES = ("ing", "es", "s", "ed", "ly")
 
@@ -34,21 +37,27 @@ def violations(texts: DataFrame, vocabulary: DataFrame, numbers: DataFrame) -> D
     return strange.unionByName(odd.select("id", F.lit("number").alias("kind"), "token"))
 
 
+def _compared(c: Column) -> Column:
+    """Lower case, plain quotes and hyphens, single blanks."""
+    return fold(clean_whitespace(F.translate(c, _TYPOGRAPHIC, _PLAIN)))
+
+
 def survival(text: Column, required: Column) -> Column:
     """The share of ``required`` phrases that the text holds, case and typography aside; 1 if none is required.
 
-    Texts that may hold decomposed letters go through :func:`postmill.functions.text.nfc` before.
+    Texts that may hold decomposed letters go through :func:`postmill.functions.text.nfc` before, as a
+    column of its own: Spark lets no Python function stand within a lambda.
     """
-    flat = fold(clean_whitespace(F.coalesce(text, F.lit(""))))
+    flat = _compared(F.coalesce(text, F.lit("")))
     asked = F.filter(required, lambda k: k.isNotNull() & (k != ""))
-    there = F.filter(asked, lambda k: F.contains(flat, fold(clean_whitespace(k))))
+    there = F.filter(asked, lambda k: F.contains(flat, _compared(k)))
     return F.when(F.size(asked) > 0, F.size(there) / F.size(asked)).otherwise(F.lit(1.0))
 
 
 def parseability(text: Column, sections: list[str], keywords: Column, contacts: Column, least: float = 0.5) -> Column:
     """A struct of ok and problems: sections or contact data that the text lacks, and too few keywords."""
-    flat = fold(clean_whitespace(F.coalesce(text, F.lit(""))))
-    lacking = lambda a: F.filter(a, lambda k: k.isNotNull() & (k != "") & ~F.contains(flat, fold(k)))
+    flat = _compared(F.coalesce(text, F.lit("")))
+    lacking = lambda a: F.filter(a, lambda k: k.isNotNull() & (k != "") & ~F.contains(flat, _compared(k)))
     no_section, no_contact, kept = lacking(F.array(*map(F.lit, sections))), lacking(contacts), survival(text, keywords)
     percent = lambda c: F.concat(F.rint(c * 100).cast("int").cast("string"), F.lit("%"))
     problems = F.array_compact(

@@ -21,6 +21,12 @@ def best_entries(scored: DataFrame, keys: list[str], order: str, most: int, scor
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def cover_bullets(bullets: DataFrame, terms: Column, lexicon: dict[str, list[str]], keys: list[str], order: str, most: int = 2) -> DataFrame:
+    """The bullets (text, ...) of each key that name most of a posting's ``terms``, ties in ``order``, with relevance and rank."""
+    named = F.size(F.array_intersect(extract_terms(F.col("text"), lexicon), terms))
+    return best_entries(bullets.withColumn("relevance", named), keys, order, most)
+
+
 def skills_first(skills: Column, posting: Column) -> Column:
     """Skills that a posting's text names, then the others, each part in order."""
     flat = fold(F.coalesce(posting, F.lit("")))

@@ -75,6 +75,13 @@ def heatmap_lines(heat: DataFrame, top: int) -> DataFrame:
     return shown if n <= top else shown.union(heat.sparkSession.range(1).select(F.lit(f"... {n - top} more").alias("line")))
 
 
+def postings_where(df: DataFrame, eligible: bool | None = None, min_score: float | None = None) -> DataFrame:
+    """Stored postings by the conditions that are given, for a report in order of ``F.desc_nulls_last("score")``; a row without a score reaches no least score."""
+    if eligible is not None:
+        df = df.where(F.col("eligible") == F.lit(eligible))
+    return df if min_score is None else df.where(F.col("score") >= min_score)
+
+
 def listed(df: DataFrame, order: list[Column], limit: int) -> tuple[DataFrame, int]:
     """The first rows of a report, and how many rows it has in all."""
     return df.orderBy(*order).limit(limit), df.count()

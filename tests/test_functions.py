@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postmill import config
 from postmill.config import Lifecycle, Rules
 from postmill.functions import money, temporal, text
-from postmill.operators import filters, reports, score, select, state
+from postmill.operators import facts, filters, reports, score, select, state
 
 
 def one(spark, value, *cols):
@@ -314,3 +314,15 @@ def test_upsert_rules(spark):
     new = spark.createDataFrame([("a", 9, "", "n"), ("c", 3, "z", "n")], "k string, score int, state string, note string")
     got = {r.k: tuple(r)[1:] for r in state.upsert(old, new, "k", keep=("score",), fill_empty=("state",)).collect()}
     assert got == {"a": (1, "x", "n", False), "b": (2, "y", "o", False), "c": (3, "z", "n", True)}
+
+
+def test_survival_folds_quotes_and_composed_letters(spark):
+    asked = F.array(*map(F.lit, ('say "yes" - now', "caf\u00e9", "it's", "absent")))
+    raw = spark.createDataFrame([("Say \u201cYes\u201d \u2013\u00a0now; cafe\u0301, it\u2019s",)], "x string").select(text.nfc(F.col("x")).alias("x"))
+    assert raw.select(facts.survival(F.col("x"), asked)).first()[0] == 0.75
+
+
+def test_report_conditions(spark):
+    df = spark.createDataFrame([(1, True, 0.9), (2, True, None), (3, False, 0.8)], "id int, eligible boolean, score double")
+    ids = lambda **c: [r.id for r in reports.postings_where(df, **c).orderBy("id").collect()]
+    assert ids() == [1, 2, 3] and ids(eligible=True) == [1, 2] and ids(min_score=0.5) == [1, 3] and ids(eligible=False, min_score=0.5) == [3]
