@@ -114,3 +114,12 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             stop = max(start + 1, int(np.searchsorted(ends, done + most_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+#: DuckDB SQL of crc32's 256 remainders, by its rule, as the column crc_table.
+CRC_TABLE_SQL = "SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_table"
+
+
+def crc32_sql(codes: str, table: str = "crc_table") -> str:
+    """DuckDB SQL of the crc32 of a list of byte values."""
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, sharding, topk_search
+from . import chat_format, mixing, ngram_resampling, prefix_trie, sharding, token_files, topk_search
 from .common import Scratch, read_table
 from .decontaminate import contamination
 from .importance import importance_resample
@@ -93,3 +93,25 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest rows of every hundredth vector by whole-number inner product."""
     return topk_search.top_k(spark, read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_token_files")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's token ids, as read back from the files."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    return token_files.token_digests(token_files.write_token_files(spark, read_table(spark, sf_dir, "documents"), definition))
+
+
+@query("op12_ngram_resampling", ngram_resampling.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, scores and draw of all documents towards the benchmark's texts."""
+    return ngram_resampling.resample(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_prefix_trie", prefix_trie.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(spark, read_table(spark, sf_dir, "conversations"))
