@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, scratch_folder, text_bytes
+from .common import pieces, scratch_folder
 
 #: Id that ends a document, and bytes of text that a file aims at.
-END_ID, FILE_BYTES = 2, 128 << 20
+END_ID, FILE_BYTES = 2, 64 << 20
 #: Columns of a file. ``start`` and ``stop`` count ids within the file, so that a file doesn't depend on those before it.
 COLUMNS = "part int, doc_id long, start long, stop long, ids array<int>"
 #: Ids are dictionary-encoded (a vocabulary is small); places grow and are delta-encoded, which writer version 2 does without a dictionary.
@@ -32,7 +36,11 @@ LAYOUT = {
 }
 
 #: Most words whose ids a Python worker remembers, and words sent to the tokenizer as one text.
-_KNOWN, _JOINED = 400_000, 200
+_KNOWN, _JOINED = 450_000, 100
+#: Words that are surely one pre-token, letters of Latin-1 in UTF-8, and such words with signs behind, which are one more.
+_LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+_SIGNED = re.compile(rb"(" + _LETTERS + rb")([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+)")
+_LETTERS = re.compile(_LETTERS)
 _encoders: dict[int, Encoder] = {}
 
 
@@ -40,8 +48,10 @@ class Encoder:
     """Ids of texts by a tokenizer that drops blanks, so that words between blanks are encoded apart and remembered.
 
     The result is that of encoding whole texts (tested): the tokenizer's normaliser and cuts never
-    look across a blank. A remembered word is kept by its bytes with A-Z in lower case, which the
-    normaliser does too; words that may hold a special token's string are kept as they stand.
+    look across a blank. A word is remembered by its bytes with A-Z in lower case, which the normaliser does too;
+    words that may hold a special token's string are kept as they stand. New words are encoded
+    many in one text: words of letters between blanks, where the vocabulary marks ends of words, others
+    between special tokens. When too many are known, those that were met again stay. Signs behind a word of letters are looked up apart from it.
     """
 
     def __init__(self, definition: str, between: str):
@@ -49,47 +59,84 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.between = Tokenizer.from_str(definition), between
-        self.mark = self.tokenizer.token_to_id(between)
-        self.mark_bytes = between.encode()
-        self._clear()
-
-    def _clear(self) -> None:
+        self.mark, self.mark_bytes = self.tokenizer.token_to_id(between), between.encode()
+        suffix, vocabulary = json.loads(definition)["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
         self.place: dict[bytes, int] = {}
-        self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, new: list[bytes]) -> None:
-        """Encode words anew, many in one text between marks; words that hold the mark alone."""
-        plain = [w for w in new if self.mark_bytes not in w]
-        texts = [self.between.join(w.decode("utf-8", "replace") for w in plain[i : i + _JOINED]) for i in range(0, len(plain), _JOINED)]
-        found = []
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.array(e.ids, np.int32)
-            found += np.split(ids, np.flatnonzero(ids == self.mark))
-        # each part but a text's first begins with the mark
-        head = {i * _JOINED for i in range(len(texts))}
-        found = [x if i in head else x[1:] for i, x in enumerate(found)]
-        odd = [w for w in new if self.mark_bytes in w]
-        found += [np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32) for w in odd]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        self.place.update(zip(plain + odd, range(len(self.starts), len(self.starts) + len(found)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
-        self.lengths = np.concatenate([self.lengths, n])
-        self.flat = np.concatenate([self.flat, *found])
+        self.flat, self.starts, self.lengths, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the words that were met at least twice since the last time."""
+        keep = self.used > 1
+        self.place = dict(zip(compress(self.place, keep.tolist()), range(int(keep.sum())), strict=True))  # its order is that of the places
+        at = np.flatnonzero(keep)
+        n, self.flat = self.lengths[at], self._gather(at)
+        self.lengths, self.starts, self.used = n, np.cumsum(n) - n, np.zeros(len(n), np.int64)
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of remembered words, one after the other."""
+        n = self.lengths[at]
+        return self.flat[np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    def _ids(self, words: list[bytes], after: bytes) -> np.ndarray:
+        texts = [(after.join(words[i : i + _JOINED]) + after).decode("utf-8", "replace") for i in range(0, len(words), _JOINED)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.int32, sum(map(len, found)))
 
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, one after the other, and how many each text has."""
-        each = [[w if b"<|" in w else w.lower() for w in t.split()] if b"<|" in t else t.lower().split() for t in (t or b"" for t in texts)]
-        words = [w for x in each for w in x]
+    def _put(self, words: list[bytes], ids: np.ndarray, n: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
+        self.lengths, self.used = np.concatenate([self.lengths, n]), np.concatenate([self.used, np.zeros(len(n), np.int64)])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _learn(self, new: set[bytes]) -> None:
+        plain, signed, other = set(), [], set()
+        for w in new:
+            if _LETTERS.fullmatch(w):
+                plain.add(w)
+            elif m := _SIGNED.fullmatch(w):
+                signed.append((w, *m.groups()))
+            else:
+                other.add(w)
+        other.update(x for _, _, x in signed if x not in self.place)
+        plain.update(x for _, x, _ in signed if x not in self.place)
+        plain = list(plain)
+        ids = self._ids(plain, b" ") if self.ends.any() else np.zeros(0, np.int32)
+        n = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(n) == len(plain):
+            self._put(plain, ids, n)
+        else:  # a vocabulary that doesn't mark ends of words, or cuts words of letters
+            other.update(plain)
+        apart = [w for w in other if self.mark_bytes not in w]
+        marked = self._ids(apart, self.mark_bytes)
+        at = np.flatnonzero(marked == self.mark)
+        self._put(apart, marked[marked != self.mark], np.diff(at, prepend=-1) - 1)
+        for w in other:
+            if self.mark_bytes in w:
+                ids = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32)
+                self._put([w], ids, np.array([len(ids)]))
+        both = np.array([[self.place[x], self.place[y]] for _, x, y in signed], np.int64).reshape(-1, 2)
+        self._put([w for w, _, _ in signed], self._gather(both.ravel()), self.lengths[both].sum(axis=1))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and how many each text has.
+
+        Arrow splits the texts and finds the distinct words; these alone are looked up.
+        """
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        each = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = each.flatten().cast(pa.binary()).dictionary_encode()
+        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.place) > _KNOWN:
-            self._clear()
-        if new := list(set(words).difference(self.place)):
+            self._forget()
+        if new := set(words).difference(self.place):
             self._learn(new)
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        n = self.lengths[at]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))])]
-        return ids, np.diff(edges)
+        self.used[at] += np.bincount(which, minlength=len(words))
+        at = at[which]
+        edges = np.concatenate([[0], np.cumsum(self.lengths[at])])
+        return self._gather(at), np.diff(edges[np.concatenate([[0], np.cumsum(pc.list_value_length(each).to_numpy())])])
 
 
 def _encoder(definition: str, between: str) -> Encoder:
@@ -104,8 +151,8 @@ def _encoder(definition: str, between: str) -> Encoder:
 def _encode(definition: str, between: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, done = _encoder(definition, between), TaskContext.get().partitionId(), 0
-        for batch in pieces(batches, "text", 2 << 20):
-            ids, n = encoder.encode(text_bytes(batch.column(1)))
+        for batch in pieces(batches, "text", 4 << 20):
+            ids, n = encoder.encode(batch.column(1))
             ids = np.insert(ids, np.cumsum(n), np.int32(end_id))
             stops = np.cumsum(n + 1)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int32()), pa.array(ids, pa.int32()))

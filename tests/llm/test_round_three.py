@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -18,7 +19,7 @@ from tokenizers import Tokenizer
 from postmill.llm import ngram_resampling, prefix_trie, token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", None, "   \n\t", "Hello, World! it's the '90s", "a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|>x", "İstanbul ΣΑΣ ﬁ é x y z\x1cq\x85r", "x" * 5000, "日本語 текст ünïcödé 12345 ½", "a\x00b", "don't can't WE'LL", "... ?! .a. --"]
+ODD = ["", None, "   \n\t", "Hello, World! it's the '90s", "a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|>x", "İstanbul ΣΑΣ ﬁ é x y z\x1cq\x85r", "x" * 5000, "日本語 текст ünïcödé 12345 ½", "a\x00b", "don't can't WE'LL", "... ?! .a. --", "word. word.) Été!!! Ça- été' a<| |>b \u0958x. ÷x."]
 
 
 @pytest.fixture(scope="module")
@@ -61,6 +62,16 @@ def test_token_files(spark, definition, tmp_path):
     assert sums == {(r.doc_id, r.start): (len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in got}
 
 
+def test_encoder_forgets(definition, monkeypatch):
+    monkeypatch.setattr(token_files, "_KNOWN", 40)
+    encoder, rng = token_files.Encoder(definition, "<|endoftext|>"), random.Random(3)
+    words = ["".join(rng.choices("abcé'.,-1<|>É", k=rng.randrange(1, 7))) for _ in range(300)]
+    for _ in range(60):
+        texts = [" ".join(rng.choices(words[: rng.choice([20, 300])], k=12)) for _ in range(5)]
+        ids, n = encoder.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x[:-1] for x in encoded(texts)]
+
+
 def test_token_file_layout(spark, definition, tmp_path):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of document"), "id").alias("text"))
     files = token_files.write_token_files(spark, df, definition, root=str(tmp_path / "t"))
