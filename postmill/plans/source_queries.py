@@ -6,13 +6,14 @@ the number of files grows with the table, not their size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postmill.operators import reports
+from postmill.operators.identity import first_seen
 from postmill.plans.queries import query
 from postmill.session import read_table, scratch_folder
-from postmill.sources import readers
+from postmill.sources import pages, readers
 
 _JOBS_A_FILE = 500
 _NAME, _SEG, _NAT = "c_name", "c_mktsegment", "c_nationkey"
@@ -30,11 +31,13 @@ def _even(column: str, yes, no=None) -> Column:
     return F.when(F.col(column) % 2 == 0, yes).otherwise(no)
 
 
-def _feed(spark: SparkSession, d: str, name: str, job: Column, wrap: str | None) -> str:
-    """Files of one JSON value each: an object with the jobs under ``wrap``, or the jobs alone."""
-    rows = read_table(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / _JOBS_A_FILE).alias("file")).agg(F.collect_list(job).alias(wrap or "jobs"))
+def _feed(spark: SparkSession, d: str, name: str, job: Column, wrap: str | None, a_file: int = _JOBS_A_FILE, text=lambda whole, bare: whole) -> str:
+    """Files of one JSON value each: an object with the jobs under ``wrap``, or the jobs alone; ``text`` may choose between both, or spoil them."""
+    rows = read_table(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / a_file).alias("file")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", job.alias("j")))).alias("r"))
+    jobs = F.transform("r", lambda x: x["j"])
+    bare = F.to_json(jobs)
     path = f"{scratch_folder(spark, 'feed')}/{name}"
-    rows.select("file", F.to_json(F.struct(wrap) if wrap else F.col("jobs")).alias("value")).write.partitionBy("file").text(path)
+    rows.select("file", text(F.to_json(F.struct(jobs.alias(wrap))) if wrap else bare, bare).alias("value")).write.partitionBy("file").text(path)
     return path
 
 
@@ -104,15 +107,15 @@ def feed_unstop(spark, d):
     return _shown(readers.unstop(spark, _feed(spark, d, "unstop", job, "data")))
 
 
-@query("feed_themuse", _sql(job_id="c_custkey::VARCHAR", company="c_name", location="'Pune | ' || CASE WHEN c_nationkey % 2 = 0 THEN 'Flexible / Remote' ELSE 'Goa' END", url="'u' || c_custkey", apply_url="'u' || c_custkey", is_remote="CASE WHEN c_nationkey % 2 = 0 THEN true END"))
+@query("feed_themuse", _sql(job_id="c_custkey::VARCHAR", company="c_name", location="'Pune, ' || CASE WHEN c_nationkey % 2 = 0 THEN 'Flexible / Remote' ELSE 'Goa' END", url="'u' || c_custkey", apply_url="'u' || c_custkey", is_remote="CASE WHEN c_nationkey % 2 = 0 THEN true END", employment_type="'Internship, Entry'"))
 def feed_themuse(spark, d):
-    job = F.struct(_key().alias("id"), F.col(_SEG).alias("name"), F.col(_NAME).alias("contents"), F.lit("2024-01-01").alias("publication_date"), F.lit("Intern").alias("type"), F.struct(F.col(_NAME).alias("name")).alias("company"), F.struct(_key("u").alias("landing_page")).alias("refs"), F.array(F.struct(F.lit("Pune").alias("name")), F.struct(_even(_NAT, "Flexible / Remote", "Goa").alias("name"))).alias("locations"))
+    job = F.struct(_key().alias("id"), F.col(_SEG).alias("name"), F.col(_NAME).alias("contents"), F.lit("2024-01-01").alias("publication_date"), F.array(F.struct(F.lit("Internship").alias("name")), F.struct(_text("").alias("name")), F.struct(F.lit("Entry").alias("name"))).alias("levels"), F.struct(F.col(_NAME).alias("name")).alias("company"), F.struct(_key("u").alias("landing_page")).alias("refs"), F.array(F.struct(F.lit("Pune").alias("name")), F.struct(_even(_NAT, "Flexible / Remote", "Goa").alias("name"))).alias("locations"))
     return _shown(readers.the_muse(spark, _feed(spark, d, "themuse", job, "results")))
 
 
 def _local(spark, d, name: str = "local") -> str:
     job = F.struct(_even("c_custkey", _key()).alias("id"), _key("j").alias("job_id"), F.col(_NAME).alias("company"), F.col(_SEG).alias("title"), F.lit("Pune").alias("location"), F.lit("Intern").alias("employment_type"), F.lit("2024-01-01").alias("published_at"), _even(_NAT, F.lit(True), F.lit(False)).alias("is_remote"), _key("u").alias("url"), _even(_NAT, F.concat(F.lit("<p>"), F.col(_NAME)), F.concat(F.col(_NAME), F.lit(" &amp;"))).alias("description"))
-    return _feed(spark, d, name, job, "jobs")
+    return _feed(spark, d, name, job, "jobs", 50, lambda whole, bare: F.when(F.col("file") % 2 == 0, whole).otherwise(bare))
 
 
 @query("feed_local", _sql(job_id="CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'j' END || c_custkey", company="c_name", location="'Pune'", url="'u' || c_custkey", apply_url="'u' || c_custkey", is_remote="c_nationkey % 2 = 0", description="CASE WHEN c_nationkey % 2 = 0 THEN c_name ELSE c_name || ' &amp;' END"))
@@ -120,9 +123,9 @@ def feed_local(spark, d):
     return _shown(readers.local_file(spark, _local(spark, d)))
 
 
-@query("feed_cards", "SELECT c_nationkey::VARCHAR AS job_id, c_mktsegment AS title, c_name AS company, CASE WHEN c_custkey % 2 = 0 THEN 'Remote' ELSE 'Pune' END AS location, 'https://www.linkedin.com/v/' || c_nationkey AS url, '2024-01-01' AS published_at, CASE WHEN c_custkey % 2 = 0 THEN true END AS is_remote FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 3, c_custkey) AS n FROM customer) WHERE n = 1")
+@query("feed_cards", "SELECT c_nationkey::VARCHAR AS job_id, 'New ' || c_mktsegment AS title, c_name AS company, CASE WHEN c_custkey % 2 = 0 THEN 'Remote' ELSE 'Pune' END AS location, 'https://www.linkedin.com/v/' || c_nationkey AS url, '2024-01-01' AS published_at, CASE WHEN c_custkey % 2 = 0 THEN true END AS is_remote FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 3, c_custkey) AS n FROM customer) WHERE n = 1")
 def feed_cards(spark, d):
-    card = F.concat(F.lit('<div data-entity-urn="urn:li:jobPosting:'), F.col(_NAT).cast("string"), F.lit('"><a class="base-card__full-link" href="/v/'), F.col(_NAT).cast("string"), F.lit('?x=1"></a><h3 class="base-search-card__title"> '), F.col(_SEG), F.lit(' </h3><h4 class="base-search-card__subtitle">'), F.col(_NAME), F.lit('</h4><span class="job-search-card__location">'), _even("c_custkey", "Remote", "Pune"), F.lit('</span><time datetime="2024-01-01"></time></div>'))
+    card = F.concat(F.lit('<div data-entity-urn="urn:li:jobPosting:'), F.col(_NAT).cast("string"), F.lit('"><a class="base-card__full-link" href="/v/'), F.col(_NAT).cast("string"), F.lit('?x=1"><span class="sr-only">seen by readers of screens</span></a><img src="x"><h3 class="base-search-card__title"> <span>New<br></span> '), F.col(_SEG), F.lit(' </h3><h4 class="base-search-card__subtitle">'), F.col(_NAME), F.lit('</h4><span class="job-search-card__location">'), _even("c_custkey", "Remote", "Pune"), F.lit('</span><time datetime="2024-01-01"></time></div>'))
     pages = read_table(spark, d, "customer").select((F.col("c_custkey") % 3).alias("query_ord"), F.col("c_custkey").alias("page_ord"), card.alias("html"))
     return readers.card_postings(pages).select("job_id", "title", "company", "location", "url", "published_at", "is_remote")
 
@@ -142,6 +145,90 @@ def _discover(spark, d):
     return readers.discover(spark, [("local", {"path": path}), ("nowhere", {}), ("local", {"path": path}), ("local", {"path": f"{path}-gone"}), ("lever", {"enabled": False})])
 
 
+def _simple(prefix: str = "", title: Column | None = None) -> Column:
+    return F.struct(_key(prefix).alias("id"), (F.col(_SEG) if title is None else title).alias("title"), _key("u").alias("url"))
+
+
+@query(
+    "scan_files",
+    "SELECT source, f::VARCHAR AS file, CASE WHEN f % 3 = 1 THEN 'error' ELSE 'ok' END AS status, CASE WHEN f % 3 = 1 THEN 0 ELSE n END AS rows, CASE WHEN f % 3 = 1 THEN 'malformed JSON' ELSE '' END AS error "
+    "FROM (SELECT c_custkey // 50 AS f, count(*) AS n FROM customer GROUP BY 1), (VALUES ('local'), ('greenhouse')) s(source) UNION ALL SELECT 'local', '', 'error', 0, 'not found'",
+)
+def scan_files(spark, d):
+    """Files of both forms, every third cut off in its middle, and one that is missing."""
+    spoilt = lambda whole, bare: F.element_at(F.transform(F.array(whole), lambda w: F.when(F.col("file") % 3 == 1, F.substring(w, F.lit(1), F.floor(F.length(w) / 2).cast("int"))).when(F.col("file") % 3 == 0, w).otherwise(bare)), 1)
+    path = _feed(spark, d, "mixed", _simple(), "jobs", 50, spoilt)
+    found = readers.scan_feeds(spark, [("local", {"path": [path, f"{path}-gone"]}), ("greenhouse", {"path": path, "company": "C"})])
+    return found.files.select("source", F.regexp_extract("file", r"file=(\d+)", 1).alias("file"), "status", "rows", "error")
+
+
+@query("scan_survivors", "SELECT 'local:' || (c_custkey % 40) AS stable_id, c_custkey::VARCHAR AS title FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey % 40 ORDER BY floor(log2(c_custkey + 1)), c_custkey) AS n FROM customer) WHERE n = 1")
+def scan_survivors(spark, d):
+    """Of rows with one id in files of very different sizes (each twice the one before) the first stays, whatever Spark reads first."""
+    place = F.col("c_custkey")
+    job = F.struct((place % 40).cast("string").alias("id"), place.cast("string").alias("title"), F.repeat(F.lit("x"), ((place * 37) % 3000).cast("int")).alias("description"))
+    jobs = read_table(spark, d, "customer").groupBy(F.floor(F.log2(place + 1)).alias("file")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", job.alias("j")))).alias("r"))
+    path = f"{scratch_folder(spark, 'feed')}/unequal"
+    jobs.select(F.format_string("%04d", F.col("file")).alias("file"), F.to_json(F.transform("r", lambda x: x["j"])).alias("value")).write.partitionBy("file").text(path)
+    return readers.discover(spark, [("local", {"path": path}), ("local", {"path": path})])[0].select("stable_id", "title")
+
+
+_QUERIED = "CASE WHEN c_nationkey < 10 THEN 0 WHEN c_nationkey < 15 THEN 1 WHEN c_nationkey < 20 THEN 3 END"
+
+
+@query(
+    "scan_queries",
+    f"WITH n AS (SELECT {_QUERIED} AS q, count(*) AS n FROM customer GROUP BY 1), t AS (SELECT source, q, query, bad FROM (VALUES ('unstop'), ('himalayas'), ('themuse')) s(source), (VALUES (0, 'generic', false), (1, 'ml', false), (2, 'again', false), (3, 'rest', false), (4, 'gone', true)) x(q, query, bad)) "
+    "SELECT source, query, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, coalesce(n, 0)::BIGINT AS new_rows FROM t LEFT JOIN n USING (q)",
+)
+def scan_queries(spark, d):
+    """Several queries a source, which overlap: a query counts the jobs that none before it had; one that can't be read is reported."""
+    table = read_table(spark, d, "customer")
+    feeds = []
+    for name, wrap, job in (("unstop", "data", F.struct(_key().alias("id"), F.col(_SEG).alias("title"))), ("himalayas", "jobs", F.struct(_key().alias("guid"), F.col(_SEG).alias("title"))), ("themuse", "results", F.struct(_key().alias("id"), F.col(_SEG).alias("name")))):
+        root = f"{scratch_folder(spark, 'queries')}/{name}"
+        for label, rows in (("generic", "c_nationkey < 10"), ("ml", "c_nationkey < 15"), ("again", "c_nationkey < 12"), ("rest", "c_nationkey < 20")):
+            table.where(rows).groupBy(F.floor(F.col("c_custkey") / _JOBS_A_FILE)).agg(F.to_json(F.struct(F.collect_list(job).alias(wrap))).alias("value")).select("value").write.text(f"{root}/{label}")
+        feeds.append((name, {"queries": [(q, f"{root}/{q}") for q in ("generic", "ml", "again", "rest", "gone")]}))
+    return readers.scan_feeds(spark, feeds).queries.select("source", "query", "status", "new_rows")
+
+
+_CHAINS = (
+    "WITH c AS (SELECT c_nationkey AS q, c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5(c_custkey::VARCHAR)) - 1 AS n, count(*) OVER (PARTITION BY c_nationkey) AS size FROM customer), "
+    "l AS (SELECT *, max(CASE WHEN k % 97 = 0 THEN n END) OVER (PARTITION BY q ORDER BY n) AS lost FROM c WHERE q <> 7 OR size > 1) "
+)
+
+
+@query(
+    "page_order",
+    _CHAINS + "SELECT 'q' || q AS query, CASE WHEN n = 0 AND q <> 7 THEN '' ELSE 't' || k END AS token, CASE WHEN q = 7 THEN NULL ELSE n - coalesce(lost + 1, 0) END AS page_no, CASE WHEN q = 7 THEN 'cycle' WHEN lost IS NULL THEN 'ok' ELSE 'gap' END AS status FROM l WHERE q = 7 OR k % 97 <> 0",
+)
+def page_order(spark, d):
+    """A chain of pages for each nation, dealt by hash; some pages are missing, one chain is a ring."""
+    c = read_table(spark, d, "customer").select(F.col(_NAT).alias("q"), F.col("c_custkey").alias("k"))
+    w = Window.partitionBy("q").orderBy(F.md5(F.col("k").cast("string")))
+    ring = F.col("q") == 7
+    token = F.when(~ring & (F.row_number().over(w) == 1), "").otherwise(F.concat(F.lit("t"), F.col("k").cast("string")))
+    rows = c.withColumn("token", token).withColumn("follows", F.lead("token").over(w)).withColumn("n", F.count("*").over(Window.partitionBy("q")))
+    first = F.first("token").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumn("next_token", F.coalesce("follows", F.when(ring, first))).where(F.when(ring, F.col("n") > 1).otherwise(F.col("k") % 97 != 0))
+    return pages.page_order(spark, rows.select(F.concat(F.lit("q"), F.col("q").cast("string")).alias("query"), "token", "next_token"))
+
+
+@query("landed_pages", "SELECT 'j' || (c_custkey // 3) AS job_id, min(c_custkey)::VARCHAR AS title FROM customer GROUP BY 1")
+def landed_pages(spark, d):
+    """200 jobs a page, files named at random; of equal jobs the one of the first page stays."""
+    rows = read_table(spark, d, "customer").withColumn("page", F.floor(F.col("c_custkey") / 200))
+    job = F.struct("c_custkey", F.struct(F.concat(F.lit("j"), F.floor(F.col("c_custkey") / 3).cast("string")).alias("id"), F.col("c_custkey").cast("string").alias("title")).alias("j"))
+    jobs = rows.groupBy("page").agg(F.transform(F.sort_array(F.collect_list(job)), lambda x: x["j"]).alias("jobs"))
+    token = lambda p: F.when(p > 0, F.concat(F.lit("p"), p.cast("string")))
+    text = F.to_json(F.struct(token(F.col("page")).alias("pageToken"), token(F.col("page") + 1).alias("nextPageToken"), "jobs"))
+    path = f"{scratch_folder(spark, 'landed')}/pages"
+    jobs.select(F.md5(F.col("page").cast("string")).alias("file"), text.alias("value")).write.partitionBy("file").text(path)
+    found, _ = pages.landed_postings(spark, path)
+    return first_seen(found, ["job_id"], ["row_ord"]).select("job_id", "title")
+
+
 @query("store_reload", "SELECT 's' AS source, c_custkey::VARCHAR AS job_id, coalesce(CASE WHEN c_nationkey % 2 = 0 THEN c_name END, '') AS title, c_nationkey % 2 = 0 AS is_remote, '' AS salary, '{}' AS raw FROM customer")
 def store_reload(spark, d):
     stored = read_table(spark, d, "customer").select(F.lit("s").alias("source"), _key().alias("job_id"), _even(_NAT, F.col(_NAME)).alias("title"), (F.col(_NAT) % 2 == 0).cast("int").alias("is_remote"), F.lit("5").alias("salary"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tomllib
 from collections.abc import Callable
-from functools import reduce
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from pyspark.sql import types as T
 from postmill.functions.money import salary_text
 from postmill.functions.text import html_to_text
 from postmill.operators.identity import first_seen
+from postmill.sources import scan
 
 POSTING = T.StructType(
     [T.StructField(c, T.StringType()) for c in "source job_id company title url location description employment_type published_at deadline apply_url apply_email".split()]
@@ -23,71 +23,82 @@ POSTING = T.StructType(
 )
 
 
-def posting(df: DataFrame, source: str, **cols: Column) -> DataFrame:
-    """Rows of the common shape, with row_ord, their place in the scan: texts default to empty, is_remote to null, raw to the row as JSON."""
+def posting(df: DataFrame, source: str, row_ord: Column | None = None, **cols: Column) -> DataFrame:
+    """Rows of the common shape, with row_ord, their place in the scan: texts default to empty, is_remote to null, raw to the item as JSON."""
     out = []
     for f in POSTING.fields:
         c = F.lit(source) if f.name == "source" else cols.get(f.name)
         if f.name == "is_remote":
             out.append((c if c is not None else F.lit(None)).cast("boolean").alias(f.name))
         elif f.name == "raw":
-            out.append((c if c is not None else F.to_json(F.struct(*df.columns))).alias(f.name))
+            out.append((c if c is not None else F.to_json(F.struct(*(x for x in df.columns if x not in ("file", "pos"))))).alias(f.name))
         else:
             out.append(F.coalesce(c.cast("string") if c is not None else F.lit(""), F.lit("")).alias(f.name))
-    return df.select(*out, F.monotonically_increasing_id().alias("row_ord"))
+    return df.select(*out, (scan.place(file=F.col("file"), pos=F.col("pos")) if row_ord is None else row_ord).alias("row_ord"))
 
 
 def stable_id() -> Column:
     return F.concat_ws(":", "source", "job_id")
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+_LOCAL = "struct<id:string,job_id:string,company:string,title:string,location:string,employment_type:string,published_at:string,is_remote:boolean,url:string,apply_url:string,apply_email:string,description:string>"
 
 
-def local_file(spark: SparkSession, path: str) -> DataFrame:
-    """An object with jobs; the id falls back to job_id, then to the row's place; a description with tags becomes text."""
-    job = "struct<id:string,job_id:string,company:string,title:string,location:string,employment_type:string,published_at:string,is_remote:boolean,url:string,apply_url:string,description:string>"
-    rows = _json(spark, path, f"jobs array<{job}>").select(F.posexplode("jobs").alias("n", "j")).select("n", "j.*")
+@scan.feed("jobs", _LOCAL)
+def local_file(rows: DataFrame) -> DataFrame:
+    """An array of jobs, or an object with jobs; an empty id falls back to job_id, then to the row's place; a description with tags becomes text."""
+    filled = lambda c: F.nullif(c, F.lit(""))
     text = F.when(F.col("description").contains("<"), html_to_text("description")).otherwise(F.col("description"))
-    names = ("company", "title", "location", "employment_type", "published_at", "url", "is_remote")
-    return posting(rows, "local", job_id=F.coalesce("id", "job_id", F.col("n").cast("string")), description=text, apply_url=F.coalesce("apply_url", "url"), **{c: F.col(c) for c in names})
+    names = ("company", "title", "location", "employment_type", "published_at", "url", "is_remote", "apply_email")
+    return posting(rows, "local", job_id=F.coalesce(filled("id"), filled("job_id"), F.col("pos").cast("string")), description=text, apply_url=F.coalesce("apply_url", "url"), **{c: F.col(c) for c in names})
+
+
+_GREENHOUSE = "struct<id:string,title:string,absolute_url:string,updated_at:string,content:string,location:struct<name:string>,metadata:array<struct<name:string,value:string>>>"
 
 
-def greenhouse(spark: SparkSession, path: str, company: str) -> DataFrame:
+@scan.feed("jobs", _GREENHOUSE)
+def greenhouse(rows: DataFrame, company: str) -> DataFrame:
     """Nested place; the employment type is the first filled metadata item whose name says so; remote is true or unknown."""
-    job = "struct<id:string,title:string,absolute_url:string,updated_at:string,content:string,location:struct<name:string>,metadata:array<struct<name:string,value:string>>>"
-    rows = _json(spark, path, f"jobs array<{job}>").select(F.explode("jobs").alias("j")).select("j.*")
     kind = F.get(F.filter("metadata", lambda m: F.lower(m["name"]).rlike("employment|commitment|type") & (F.trim(m["value"]) != "")), F.lit(0))["value"]
     place = F.col("location.name")
     return posting(rows, "greenhouse", job_id=F.col("id"), title=F.col("title"), company=F.lit(company), location=place, url=F.col("absolute_url"), apply_url=F.col("absolute_url"), published_at=F.col("updated_at"), employment_type=kind, description=html_to_text(html_to_text("content")), is_remote=F.when(F.lower(place).contains("remote"), True))
 
 
-def lever(spark: SparkSession, path: str, company: str) -> DataFrame:
-    rows = _json(spark, path, "id string, text string, hostedUrl string, applyUrl string, createdAt string, descriptionPlain string, additionalPlain string, description string, categories struct<location:string,commitment:string>, workplaceType string")
+_LEVER = "struct<id:string,text:string,hostedUrl:string,applyUrl:string,createdAt:string,descriptionPlain:string,additionalPlain:string,description:string,categories:struct<location:string,commitment:string>,workplaceType:string>"
+
+
+@scan.feed(None, _LEVER)
+def lever(rows: DataFrame, company: str) -> DataFrame:
     plain = F.nullif(F.concat_ws("\n", F.nullif("descriptionPlain", F.lit("")), F.nullif("additionalPlain", F.lit(""))), F.lit(""))
     return posting(rows, "lever", job_id=F.col("id"), title=F.col("text"), company=F.lit(company), location=F.col("categories.location"), employment_type=F.col("categories.commitment"), url=F.col("hostedUrl"), apply_url=F.coalesce("applyUrl", "hostedUrl"), published_at=F.col("createdAt"), description=F.coalesce(plain, html_to_text("description")), is_remote=F.when((F.lower("workplaceType") == "remote") | F.lower("categories.location").contains("remote"), True))
 
 
-def ashby(spark: SparkSession, path: str, company: str) -> DataFrame:
+_ASHBY = "struct<id:string,title:string,jobUrl:string,applyUrl:string,publishedAt:string,employmentType:string,location:string,secondaryLocations:array<struct<location:string>>,isRemote:boolean,isListed:boolean,descriptionPlain:string>"
+
+
+@scan.feed("jobs", _ASHBY)
+def ashby(rows: DataFrame, company: str) -> DataFrame:
     """Unlisted jobs are left out; primary and secondary places are joined."""
-    job = "struct<id:string,title:string,jobUrl:string,applyUrl:string,publishedAt:string,employmentType:string,location:string,secondaryLocations:array<struct<location:string>>,isRemote:boolean,isListed:boolean,descriptionPlain:string>"
-    rows = _json(spark, path, f"jobs array<{job}>").select(F.explode("jobs").alias("j")).select("j.*").where("coalesce(isListed, true)")
+    rows = rows.where("coalesce(isListed, true)")
     places = F.array_join(F.filter(F.concat(F.array("location"), F.coalesce(F.transform("secondaryLocations", lambda s: s["location"]), F.array().cast("array<string>"))), lambda x: F.coalesce(x, F.lit("")) != ""), ", ")
     return posting(rows, "ashby", job_id=F.col("id"), title=F.col("title"), company=F.lit(company), location=places, employment_type=F.col("employmentType"), url=F.col("jobUrl"), apply_url=F.col("applyUrl"), published_at=F.col("publishedAt"), description=F.col("descriptionPlain"), is_remote=F.coalesce("isRemote", F.when(F.lower(places).contains("remote"), True)))
 
 
-def workable(spark: SparkSession, path: str, company: str) -> DataFrame:
-    job = "struct<shortcode:string,title:string,url:string,application_url:string,published_on:string,employment_type:string,telecommuting:boolean,description:string,locations:array<struct<city:string,region:string,country:string>>>"
-    rows = _json(spark, path, f"jobs array<{job}>").select(F.explode("jobs").alias("j")).select("j.*")
+_WORKABLE = "struct<shortcode:string,title:string,url:string,application_url:string,published_on:string,employment_type:string,telecommuting:boolean,description:string,locations:array<struct<city:string,region:string,country:string>>>"
+
+
+@scan.feed("jobs", _WORKABLE)
+def workable(rows: DataFrame, company: str) -> DataFrame:
     place = F.array_join(F.array_distinct(F.transform("locations", lambda x: F.concat_ws(", ", F.nullif(x["city"], F.lit("")), F.nullif(x["region"], F.lit("")), F.nullif(x["country"], F.lit(""))))), " | ")
     return posting(rows, "workable", job_id=F.col("shortcode"), title=F.col("title"), company=F.lit(company), location=place, employment_type=F.col("employment_type"), url=F.col("url"), apply_url=F.coalesce("application_url", "url"), published_at=F.col("published_on"), description=html_to_text("description"), is_remote=F.col("telecommuting"))
 
 
-def workable_global(spark: SparkSession, path: str) -> DataFrame:
+_WORKABLE_GLOBAL = "struct<id:string,title:string,url:string,description:string,employmentType:string,created:string,updated:string,workplace:string,company:struct<title:string>,location:struct<city:string,subregion:string,countryName:string>>"
+
+
+@scan.feed("jobs", _WORKABLE_GLOBAL)
+def workable_global(rows: DataFrame) -> DataFrame:
     """Landed pages of the board's own search; only a workplace named remote is remote."""
-    job = "struct<id:string,title:string,url:string,description:string,employmentType:string,created:string,updated:string,workplace:string,company:struct<title:string>,location:struct<city:string,subregion:string,countryName:string>>"
-    rows = _json(spark, path, f"jobs array<{job}>").select(F.explode("jobs").alias("j")).select("j.*")
     place = F.concat_ws(", ", *(F.nullif(F.col(f"location.{c}"), F.lit("")) for c in ("city", "subregion", "countryName")))
     names = ("title", "url")
     return posting(rows, "workable_global", job_id=F.coalesce("id", "url", "title"), company=F.col("company.title"), location=place, apply_url=F.col("url"), employment_type=F.col("employmentType"), published_at=F.coalesce("created", "updated"), description=html_to_text("description"), is_remote=F.when(F.lower("workplace") == "remote", True), **{c: F.col(c) for c in names})
@@ -119,10 +130,12 @@ def exclusion_entries(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, " + ", ".join(f"{c} string" for c in names))
 
 
-def himalayas(spark: SparkSession, path: str) -> DataFrame:
+_HIMALAYAS = "struct<guid:string,title:string,companyName:string,applicationLink:string,pubDate:string,employmentType:string,excerpt:string,description:string,locationRestrictions:array<string>,minSalary:string,maxSalary:string,currency:string,salaryPeriod:string>"
+
+
+@scan.feed("jobs", _HIMALAYAS)
+def himalayas(rows: DataFrame) -> DataFrame:
     """No restriction of place means remote worldwide; an excerpt that the description lacks is added; seconds become ISO text."""
-    job = "struct<guid:string,title:string,companyName:string,applicationLink:string,pubDate:string,employmentType:string,excerpt:string,description:string,locationRestrictions:array<string>,minSalary:string,maxSalary:string,currency:string,salaryPeriod:string>"
-    rows = _json(spark, path, f"jobs array<{job}>").select(F.explode("jobs").alias("j")).select("j.*")
     places = F.filter(F.coalesce("locationRestrictions", F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")
     where = F.when(F.size(places) > 0, F.array_join(places, ", ")).otherwise("Worldwide")
     text = html_to_text("description")
@@ -134,11 +147,14 @@ def himalayas(spark: SparkSession, path: str) -> DataFrame:
     return posting(rows, "himalayas", job_id=F.coalesce(F.nullif("guid", F.lit("")), link, "title"), title=F.col("title"), company=F.col("companyName"), url=link, apply_url=link, published_at=when, employment_type=F.col("employmentType"), description=body, salary=paid, location=where, is_remote=F.when(F.contains(F.lower(where), F.lit("worldwide")), True))
 
 
-def unstop(spark: SparkSession, path: str) -> DataFrame:
+_DETAIL = "struct<show_salary:string,not_disclosed:string,paid_unpaid:string,currency:string,min_salary:string,max_salary:string,pay_in:string>"
+_UNSTOP = f"struct<id:string,short_id:string,title:string,status:string,seo_url:string,public_url:string,start_date:string,end_date:string,region:string,subtype:string,type:string,details:string,approved_date:string,updated_at:string,organisation:struct<name:string>,locations:array<struct<name:string,city:string,label:string>>,required_skills:array<struct<skill_name:string,skill:string>>,workfunction:array<struct<work_function_name:string>>,jobDetail:{_DETAIL},regn_open:int,regnRequirements:struct<start_regn_dt:string,end_regn_dt:string>>"
+
+
+@scan.feed("data", _UNSTOP, needs_rows=True)
+def unstop(rows: DataFrame) -> DataFrame:
     """Only LIVE rows, or those without a status; the description is put together from typed fields, pay and dates included (fixed texts)."""
-    detail = "struct<show_salary:string,not_disclosed:string,paid_unpaid:string,currency:string,min_salary:string,max_salary:string,pay_in:string>"
-    row = f"struct<id:string,short_id:string,title:string,status:string,seo_url:string,public_url:string,start_date:string,end_date:string,region:string,subtype:string,type:string,details:string,approved_date:string,updated_at:string,organisation:struct<name:string>,locations:array<struct<name:string,city:string,label:string>>,required_skills:array<struct<skill_name:string,skill:string>>,workfunction:array<struct<work_function_name:string>>,jobDetail:{detail},regn_open:int,regnRequirements:struct<start_regn_dt:string,end_regn_dt:string>>"
-    rows = _json(spark, path, f"data array<{row}>").select(F.explode("data").alias("j")).select("j.*").where("coalesce(upper(status), '') in ('', 'LIVE')")
+    rows = rows.where("coalesce(upper(status), '') in ('', 'LIVE')")
     filled = lambda c: F.nullif(c, F.lit(""))
     region = F.initcap(F.trim(F.replace(F.coalesce("region", F.lit("")), F.lit("_"), F.lit(" "))))
     names = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.coalesce(*(filled(x[f]) for f in fields))), ", ")
@@ -151,63 +167,103 @@ def unstop(spark: SparkSession, path: str) -> DataFrame:
     return posting(rows, "unstop", job_id=F.coalesce(filled(F.col("id")), filled(F.col("short_id")), url), title=F.col("title"), company=F.col("organisation.name"), url=url, apply_url=url, location=place, employment_type=F.when(F.col("subtype") == "internships", "Internship").otherwise(F.col("type")), published_at=F.coalesce(filled(F.col("approved_date")), "updated_at"), description=text, is_remote=F.when(F.lower("region").rlike("online|remote"), True))
 
 
-def the_muse(spark: SparkSession, path: str) -> DataFrame:
-    job = "struct<id:string,name:string,contents:string,publication_date:string,type:string,company:struct<name:string>,refs:struct<landing_page:string>,locations:array<struct<name:string>>>"
-    rows = _json(spark, path, f"results array<{job}>").select(F.explode("results").alias("j")).select("j.*")
-    return posting(rows, "themuse", job_id=F.col("id"), title=F.col("name"), company=F.col("company.name"), url=F.col("refs.landing_page"), apply_url=F.col("refs.landing_page"), published_at=F.col("publication_date"), employment_type=F.col("type"), description=html_to_text("contents"), location=F.array_join(F.transform("locations", lambda x: x["name"]), " | "), is_remote=F.when(F.exists("locations", lambda x: F.lower(x["name"]).rlike("remote|flexible")), True))
+_THE_MUSE = "struct<id:string,name:string,contents:string,publication_date:string,company:struct<name:string>,refs:struct<landing_page:string>,locations:array<struct<name:string>>,levels:array<struct<name:string>>>"
+
+
+@scan.feed("results", _THE_MUSE)
+def the_muse(rows: DataFrame) -> DataFrame:
+    """Levels are the employment type; places named remote or flexible make it remote; the id falls back to the page, then the title."""
+    filled = lambda c: F.nullif(c, F.lit(""))
+    names = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<struct<name:string>>")), lambda x: x["name"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    places, page = names("locations"), F.col("refs.landing_page")
+    remote = F.when(F.exists(places, lambda x: F.lower(x).rlike("remote|flexible")), True)
+    return posting(rows, "themuse", job_id=F.coalesce(filled("id"), filled(page), "name"), title=F.col("name"), company=F.col("company.name"), url=page, apply_url=page, published_at=F.col("publication_date"), employment_type=F.array_join(names("levels"), ", "), description=html_to_text("contents"), location=F.array_join(places, ", "), is_remote=remote)
 
 
-class _Cards(HTMLParser):
-    """Search cards: an element of class base-card with a link, a title, a company, a place and a time."""
+#: Elements that have no end tag (fixed values).
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_URN = re.compile(r"urn:li:jobPosting:(\d+)")
+#: Fields of a card: the elements and the class that hold them (fixed values of the page).
+_HELD = {"title": ({"h3"}, "base-search-card__title"), "company": ({"h4"}, "base-search-card__subtitle"), "location": ({"span", "div"}, "job-search-card__location")}
+_CARD = "card_ord int, job_id string, url string, title string, company string, location string, posted string"
 
-    FIELDS = {"base-search-card__title": "title", "base-search-card__subtitle": "company", "job-search-card__location": "location"}
+
+class _CardStack(HTMLParser):
+    """Search cards of a page. Every open element stands on a stack with what it began: a card, or a field of one.
+
+    An end tag closes its innermost open element and all that were left open within; one without an open element
+    is ignored. So markup inside a field doesn't end it, and a card that was not closed ends with what surrounds it.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.cards, self.into = [], None
+        self.cards, self.stack, self.card, self.into = [], [], None, None
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        classes = (a.get("class") or "").split()
-        if "data-entity-urn" in a:
-            self.cards.append({"job_id": a["data-entity-urn"].rsplit(":", 1)[-1]})
-        if not self.cards:
-            return
-        card = self.cards[-1]
-        if tag == "a" and "href" in a and "url" not in card:
-            card["url"] = a["href"].split("?")[0]
-        if tag == "time":
-            card["posted"] = a.get("datetime") or ""
-        self.into = next((f for c, f in self.FIELDS.items() if c in classes), self.into)
+        classes, begun = (a.get("class") or "").split(), None
+        if self.card is None:
+            if m := _URN.search(a.get("data-entity-urn") or ""):
+                self.card, begun = dict.fromkeys(("url", "title", "company", "location", "posted"), "") | {"job_id": m.group(1)}, "card"
+        elif tag == "a" and "base-card__full-link" in classes and not self.card["url"]:
+            self.card["url"] = a.get("href") or ""
+        elif tag == "time":
+            self.card["posted"] = a.get("datetime") or ""
+        elif self.into is None:
+            begun = next((f for f, (tags, c) in _HELD.items() if tag in tags and c in classes), None)
+            if begun:
+                self.into, self.text = begun, []
+        if tag in _VOID:
+            self._ended(begun)
+        else:
+            self.stack.append((tag, begun))
 
     def handle_endtag(self, tag):
-        if tag in ("h3", "h4", "span"):
-            self.into = None
+        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
+        if at is not None and tag not in _VOID:
+            self._cut(at)
 
     def handle_data(self, data):
-        if self.cards and self.into and data.strip():
-            self.cards[-1][self.into] = " ".join(f"{self.cards[-1].get(self.into, '')} {data}".split())
+        if self.into:
+            self.text.append(data)
+
+    def _ended(self, begun):
+        if begun == "card":
+            self.cards.append(self.card)
+            self.card = None
+        elif begun:
+            if text := " ".join("".join(self.text).split()):
+                self.card[begun] = text
+            self.into = None
+
+    def _cut(self, at):
+        while len(self.stack) > at:
+            self._ended(self.stack.pop()[1])
+
+    def close(self):
+        super().close()
+        self._cut(0)
+
+
+@F.udtf(returnType=_CARD)
+class Cards:
+    """Table function: a row for each search card of a page."""
+
+    def eval(self, html: str):
+        p = _CardStack()
+        p.feed(html or "")
+        p.close()
+        for i, c in enumerate(p.cards):
+            yield i, c["job_id"], c["url"].split("?")[0], c["title"], c["company"], c["location"], c["posted"]
 
 
 def search_cards(pages: DataFrame, html: str = "html") -> DataFrame:
-    """A row (job_id, url, title, company, location, posted) for each search card of stored pages.
+    """A row (card_ord, job_id, url, title, company, location, posted) for each search card of stored pages, joined laterally to its page.
 
-    Other columns of ``pages`` stay, and card_ord counts the cards of a page.
+    Other columns of ``pages`` stay. Pages without cards, null ones included, give no row.
     """
-    names = ["job_id", "url", "title", "company", "location", "posted"]
-    card = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in names]))
-
-    @F.pandas_udf(card)
-    def parse(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            p = _Cards()
-            p.feed(text or "")
-            out.append([{c: x.get(c, "") for c in names} for x in p.cards])
-        return pd.Series(out)
-
     kept = [c for c in pages.columns if c != html]
-    return pages.select(*kept, F.posexplode(parse(html)).alias("card_ord", "__c")).select(*kept, "card_ord", "__c.*")
+    return pages.where(F.col(html).isNotNull()).lateralJoin(Cards(F.col(html).outer())).select(*kept, *(f.split()[0] for f in _CARD.split(", ")))
 
 
 def card_postings(pages: DataFrame, max_results: int | None = None) -> DataFrame:
@@ -217,7 +273,8 @@ def card_postings(pages: DataFrame, max_results: int | None = None) -> DataFrame
     first = first.limit(max_results) if max_results is not None else first
     url = F.when(F.col("url").startswith("/"), F.concat(F.lit("https://www.linkedin.com"), F.col("url"))).otherwise(F.col("url"))
     remote = F.when(F.contains(F.lower("location"), F.lit("remote")), True)
-    out = posting(first, "linkedin", job_id=F.col("job_id"), title=F.col("title"), company=F.col("company"), location=F.col("location"), url=url, apply_url=url, published_at=F.col("posted"), is_remote=remote)
+    place = scan.place(F.col("query_ord"), page=F.col("page_ord"), pos=F.col("card_ord"))
+    out = posting(first, "linkedin", place, job_id=F.col("job_id"), title=F.col("title"), company=F.col("company"), location=F.col("location"), url=url, apply_url=url, published_at=F.col("posted"), is_remote=remote)
     return out
 
 
@@ -236,33 +293,13 @@ def manual_problem(source: Column, url: Column, title: Column, known: dict[str,
 READERS: dict[str, Callable[..., DataFrame]] = {"local": local_file, "greenhouse": greenhouse, "lever": lever, "ashby": ashby, "workable": workable, "workable_global": workable_global, "himalayas": himalayas, "unstop": unstop, "themuse": the_muse, "cards": card_postings}
 
 
-def discover(spark: SparkSession, feeds: list[tuple[str, dict]]) -> tuple[DataFrame, DataFrame]:
-    """All feeds in order as one table, the first row of each stable_id kept; and (source, status, rows, error) of each feed.
+def scan_feeds(spark: SparkSession, feeds: list[tuple[str, dict]]) -> scan.Scan:
+    """All feeds in order with the outcomes of feeds, queries and files; see :func:`postmill.sources.scan.scan`."""
+    empty = spark.createDataFrame([], T.StructType([*POSTING.fields, T.StructField("row_ord", T._parse_datatype_string(scan.PLACE))]))
+    return scan.scan(spark, feeds, READERS, empty)
 
-    A feed that can't be read is reported and left out; it never stops the others. One with the
-    option ``enabled`` false is skipped. Counting is one job for all feeds.
-    """
-    parts, outcomes = [], []
-    for name, options in feeds:
-        own = {k: v for k, v in options.items() if k != "enabled"}
-        if not options.get("enabled", True):
-            outcomes.append((len(outcomes), name, "skipped", "source disabled"))
-            continue
-        try:
-            if name not in READERS:
-                raise ValueError(f"no reader named {name}")
-            part = READERS[name](*(() if name == "cards" else (spark,)), **own)
-            part.isEmpty()  # an unreadable file shows here
-        except Exception as e:  # noqa: BLE001  reported, as one feed's failure must not stop the others
-            outcomes.append((len(outcomes), name, "error", type(e).__name__))
-        else:
-            parts.append(part.withColumn("source_ord", F.lit(len(outcomes))))
-            outcomes.append((len(outcomes), name, "ok", ""))
-    table = spark.createDataFrame(outcomes, "feed int, source string, status string, error string")
-    if not parts:
-        empty = spark.createDataFrame([], POSTING).withColumn("stable_id", stable_id())
-        return empty, table.select("source", "status", F.lit(0).cast("long").alias("rows"), "error")
-    rows = reduce(lambda a, b: a.unionByName(b), parts).withColumn("stable_id", stable_id())
-    n = rows.groupBy("source_ord").agg(F.count("*").alias("n"))
-    counted = table.join(n, F.col("feed") == F.col("source_ord"), "left").orderBy("feed").select("source", "status", F.coalesce("n", F.lit(0)).alias("rows"), "error")
-    return first_seen(rows, ["stable_id"], ["source_ord", "row_ord"]).drop("source_ord", "row_ord"), counted
+
+def discover(spark: SparkSession, feeds: list[tuple[str, dict]]) -> tuple[DataFrame, DataFrame]:
+    """All feeds in order as one table, the first row of each stable_id kept; and (source, status, rows, error) of each feed."""
+    found = scan_feeds(spark, feeds)
+    return found.rows, found.outcomes

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from postmill.operators import identity, reports
-from postmill.sources import readers
+from postmill.sources import pages, readers
 from postmill.streaming import upserts
 
 
@@ -40,7 +40,7 @@ def test_boards(spark, tmp_path):
 
 
 def test_cards(spark):
-    page = '<li><div data-entity-urn="urn:li:jobPosting:42"><a href="https://x/42?t=1"></a><h3 class="base-search-card__title"> ML  Intern </h3><h4 class="base-search-card__subtitle"><a>Acme</a></h4><span class="job-search-card__location">Pune</span><time datetime="2026-01-01">now</time></div></li>'
+    page = '<li><div data-entity-urn="urn:li:jobPosting:42"><a class="base-card__full-link" href="https://x/42?t=1"></a><h3 class="base-search-card__title"> ML  Intern </h3><h4 class="base-search-card__subtitle"><a>Acme</a></h4><span class="job-search-card__location">Pune</span><time datetime="2026-01-01">now</time></div></li>'
     got = readers.search_cards(spark.createDataFrame([(page,), (None,)], "html string")).collect()
     assert [tuple(r) for r in got] == [(0, "42", "https://x/42", "ML Intern", "Acme", "Pune", "2026-01-01")]
     pages = spark.createDataFrame([(1, 0, page), (0, 1, page.replace("42", "43")), (0, 0, page + page.replace("42", "44"))], "query_ord int, page_ord int, html string")
@@ -90,3 +90,54 @@ def test_workable_global(spark, tmp_path):
     (tmp_path / "w.json").write_text('{"jobs": [{"id": "1", "title": "T", "url": "u", "workplace": "Remote", "company": {"title": "C"}, "location": {"city": "", "countryName": "India"}}, {"title": "V", "url": "v"}], "nextPageToken": "x"}')
     rows = readers.workable_global(spark, f"{tmp_path}/w.json").orderBy("title").collect()
     assert [(r.job_id, r.location, r.is_remote, r.company) for r in rows] == [("1", "India", True, "C"), ("v", "", None, "")]
+
+
+def test_card_depth(spark):
+    card = lambda n, title, end="</div>": f'<li><div class="base-card" data-entity-urn="urn:li:jobPosting:{n}"><a class="other" href="no"></a><a class="base-card__full-link" href="u{n}"><span>skip</span></a>{title}<h4 class="base-search-card__subtitle"><a href="/c">A &amp; B</a></h4><div class="job-search-card__location">Pune<br></div><time datetime="d{n}">x</time>{end}</li>'
+    titles = ['<h3 class="base-search-card__title"><span>New</span> Data <b>Intern</b></h3>', '<h3 class="base-search-card__title">Old<img src="i"></p> <i>one</h3>', '<h3 class="base-search-card__title">   </h3>']
+    page = card(1, titles[0]) + card(2, titles[1], "") + '<div data-entity-urn="urn:li:other:9"></div>' + card(3, titles[2]) + '<div data-entity-urn="urn:li:jobPosting:4"><h3 class="base-search-card__title">cut o'
+    got = [(r.card_ord, r.job_id, r.url, r.title, r.company, r.location, r.posted) for r in readers.search_cards(spark.createDataFrame([(page, 1), ("", 2), ("no cards", 3)], "html string, page int")).collect()]
+    assert got == [(0, "1", "u1", "New Data Intern", "A & B", "Pune", "d1"), (1, "2", "u2", "Old one", "A & B", "Pune", "d2"), (2, "3", "u3", "", "A & B", "Pune", "d3"), (3, "4", "", "cut o", "", "", "")]
+
+
+def test_files_and_places(spark, tmp_path):
+    texts = {"a.json": '[{"id": "1", "title": "first"}]', "b.json": '{"jobs": [{"id": "1", "title": "second"}, {"id": "", "job_id": "j"}, {"id": null, "title": "third"}, {"id": 7, "is_remote": "odd", "apply_email": "e"}]}' + " " * 5000, "c.json": '{"jobs": [{"id": "9"}', "d.json": "", "e.json": "{}", "f.json": "[1, 2]", "g.json": "null", "h.json": "\ufeff[]", "i.json": '{"jobs": 5}', "j.json": '[{"id": "10"}', "k.json": '"text"'}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    found = readers.scan_feeds(spark, [("local", {"path": f"{tmp_path}/*.json"}), ("local", {"path": f"{tmp_path}/c.json"}), ("local", {"path": [f"{tmp_path}/a.json", f"{tmp_path}/none.json"]}), ("lever", {"path": f"{tmp_path}/e.json", "company": "C"})])
+    rows = {r.stable_id: r for r in found.rows.collect()}
+    assert set(rows) == {"local:1", "local:j", "local:2", "local:7"}
+    assert rows["local:1"].title == "first" and rows["local:2"].title == "third" and (rows["local:7"].is_remote, rows["local:7"].apply_email) == (None, "e")
+    files = {r.file.rsplit("/", 1)[-1]: (r.status, r.rows) for r in found.files.where("feed = 0").collect()}
+    assert files == {n: ("ok", k) for n, k in (("a.json", 1), ("b.json", 4), ("e.json", 0), ("h.json", 0))} | {n: ("error", 0) for n in ("c.json", "d.json", "f.json", "g.json", "i.json", "j.json", "k.json")}
+    assert [(r.status, r.rows, r.error) for r in found.outcomes.collect()] == [("ok", 5, "7 of 11 files: malformed JSON, unreadable"), ("error", 0, "1 of 1 files: malformed JSON"), ("ok", 1, "1 of 2 files: not found"), ("error", 0, "1 of 1 files: malformed JSON")]
+
+
+def test_failed_queries(spark, tmp_path):
+    a, b = put(tmp_path, "a.json", {"data": []}), put(tmp_path, "b.json", {"jobs": []})
+    gone = f"{tmp_path}/gone.json"
+    feeds = [("unstop", {"queries": [("x", a), ("y", gone)]}), ("himalayas", {"queries": [("x", b), ("y", gone)]}), ("cards", {"pages": spark.createDataFrame([], "query_ord int, page_ord int, html string")}), ("cards", {"wrong": 1})]
+    assert [(r.source, r.status, r.rows) for r in readers.scan_feeds(spark, feeds).outcomes.collect()] == [("unstop", "error", 0), ("himalayas", "ok", 0), ("cards", "ok", 0), ("cards", "error", 0)]
+    assert readers.scan_feeds(spark, []).rows.count() == 0
+
+
+def test_page_order(spark):
+    chain = [("q", "", "t1"), ("q", "t1", "t2"), ("q", "t2", "t3"), ("q", "t3", ""), ("q", "t3", "")]  # one landed twice
+    gap = [("g", "", "a"), ("g", "b", "c"), ("g", "c", None)]
+    cycle = [("c", "x", "y"), ("c", "y", "x"), ("s", "z", "z")]
+    long = [("l", str(i) if i else None, str(i + 1)) for i in range(300)]
+    rows = spark.createDataFrame(chain + gap + cycle + long, "query string, token string, next_token string").repartition(5)
+    got = {(r["query"], r.token): (r.page_no, r.status) for r in pages.page_order(spark, rows).collect()}
+    assert {k: v for k, v in got.items() if k[0] != "l"} == {("q", ""): (0, "ok"), ("q", "t1"): (1, "ok"), ("q", "t2"): (2, "ok"), ("q", "t3"): (3, "ok"), ("g", ""): (0, "ok"), ("g", "b"): (0, "gap"), ("g", "c"): (1, "gap"), ("c", "x"): (None, "cycle"), ("c", "y"): (None, "cycle"), ("s", "z"): (None, "cycle")}
+    assert all(got["l", str(i) if i else ""] == (i, "ok") for i in range(300))
+    assert pages.page_order(spark, rows.limit(0)).count() == 0
+
+
+def test_landed_pages(spark, tmp_path):
+    job = lambda i, t: {"id": i, "title": t}
+    for name, page in {"z": {"jobs": [job("1", "first"), job("2", "x")], "nextPageToken": "p2"}, "m": {"pageToken": "p2", "jobs": [job("1", "later"), job("3", "y")], "nextPageToken": "p3"}, "b": {"pageToken": "p3", "jobs": [], "nextPageToken": "p4"}, "a": {"pageToken": "p4", "jobs": [job("4", "beyond the end")]}, "c": {"pageToken": "lost", "jobs": [job("5", "gap")]}}.items():
+        put(tmp_path, f"{name}.json", page)
+    rows, told = pages.landed_postings(spark, f"{tmp_path}/*.json")
+    assert [(r.job_id, r.title, r.row_ord.page) for r in rows.orderBy("row_ord").collect()] == [("1", "first", 0), ("2", "x", 0), ("1", "later", 1), ("3", "y", 1)]
+    assert {(r.token, r.status) for r in told.collect()} == {("", "ok"), ("p2", "ok"), ("p3", "ok"), ("p4", "ok"), ("lost", "gap")}
+    assert {r.job_id for r in pages.landed_postings(spark, f"{tmp_path}/*.json", max_pages=1)[0].collect()} == {"1", "2"}
