@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,13 +39,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where it is unset (local runs, tests) a folder of this machine is made and set.
+    Only where it is unset and the master is local (tests) a folder of this machine is made and set; RuntimeError on a cluster.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="postmill-"))
     return sc.getCheckpointDir().rstrip("/")
 
