@@ -49,7 +49,8 @@ def format_chats(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant"
     """One row per conversation of ``messages`` (conv_id, turn, role, parts): conv_id, n_turns, formatted, loss_spans, attachments, expanded_tokens.
 
     A turn stands as its role and its parts between the template's marks; loss_spans are the places
-    (start, length, in code points from 0) that are trained on: the texts of ``loss_roles``.
+    (start, length, in code points from 0) that are trained on: the texts of ``loss_roles``. A span also names its
+    turn, from 0, and its offset in that turn's piece, so that reading it costs a turn, not the whole string.
     attachments lists ordinal, turn, kind, ref and expanded tokens of each placeholder in order.
 
     Offsets are a running sum over a conversation's turns; only then are its turns gathered, as the
@@ -73,7 +74,7 @@ def format_chats(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant"
     row = F.struct(
         "n",
         "piece",
-        F.struct((F.col("at") + F.length("head")).alias("start"), F.length("body").cast("long").alias("length")).alias("span"),
+        F.struct((F.col("at") + F.length("head")).alias("start"), F.length("body").cast("long").alias("length"), (F.col("n") - 1).cast("int").alias("turn"), F.length("head").alias("offset")).alias("span"),
         F.col("role").isin(*loss_roles).alias("trained"),
         F.transform("attached", lambda a, i: F.struct((F.col("seen") + i).alias("ordinal"), F.col("turn").alias("turn"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens"))).alias("attached"),
     )
@@ -90,11 +91,15 @@ def format_chats(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant"
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """Turns and masked text of :func:`format_chats`, read from ``formatted`` and ``loss_spans`` alone: arrays turns (role, text) and loss."""
+    """Turns and masked text of :func:`format_chats`, read from ``formatted`` and ``loss_spans`` alone: arrays turns (role, text) and loss.
+
+    The string is cut at its ends of turns once; a span is then cut out of its turn's piece, in time linear in the string.
+    """
     pieces = F.split("formatted", r"<\|end\|>")
+    bound = lambda f: F.get(F.transform(F.array(pieces), f), 0)  # noqa: E731  the pieces are cut once, not once a span
     part = lambda p, i: unescape(F.regexp_extract(p, r"(?s)^<\|turn\|>(.*?)<\|body\|>(.*)$", i))
-    turns = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.struct(part(p, 1).alias("role"), part(p, 2).alias("text")))
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    turns = F.transform(bound(lambda p: F.slice(p, 1, F.size(p) - 1)), lambda p: F.struct(part(p, 1).alias("role"), part(p, 2).alias("text")))
+    loss = bound(lambda p: F.transform("loss_spans", lambda s: unescape(F.substring(F.get(p, s["turn"]), s["offset"] + 1, s["length"].cast("int")))))
     return chats.withColumn("turns", turns).withColumn("loss", loss)
 
 

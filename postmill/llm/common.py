@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ def golden(i: int) -> np.uint64:
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-_made: list[str] = []
+#: Scratch folders made so far in this context: a query that runs in another thread has its own list.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def _path(spark: SparkSession, path: str):
@@ -44,18 +46,28 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder of the shared storage, which ends with the application; :func:`discarded` knows of it."""
-    _made.append(session.scratch_folder(spark, name))
-    return _made[-1]
+    root = session.scratch_folder(spark, name)
+    if (made := _made.get()) is not None:
+        made.append(root)
+    return root
 
 
 @contextmanager
 def discarded(spark: SparkSession):
     """Delete, at the end, the scratch folders that were made within: for results that have been written elsewhere."""
-    before = len(_made)
-    yield
-    for root in _made[before:]:
-        delete(spark, root)
-    del _made[before:]
+    outer, own = _made.get(), []
+    token = _made.set(own)
+    try:
+        yield
+    except BaseException:
+        if outer is not None:
+            outer.extend(own)
+        raise
+    else:
+        for root in own:
+            delete(spark, root)
+    finally:
+        _made.reset(token)
 
 
 class Scratch:
@@ -78,6 +90,14 @@ class Scratch:
         delete(self.spark, df.scratch_path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_of_id(col: str = "doc_id"):
     """crc32 of an id written as text; null for a null id."""
     return F.crc32(F.col(col).cast("string"))

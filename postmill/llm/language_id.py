@@ -17,6 +17,8 @@ from .common import crc_of_id, pieces
 LENGTHS, BUCKETS, SMOOTH = (1, 2, 3, 4), 1 << 16, 0.5
 #: Bound of the training sample: documents of each language.
 DOCS_A_LANGUAGE = 2500
+#: Bound of the fit: values of lang that are learned.
+LANGUAGES = 200
 #: Log probabilities are whole multiples of this, so their sums are exact: a text's score is the same in any batch.
 UNIT = 2.0**-20
 #: Characters that are hashed at once.
@@ -81,10 +83,11 @@ def fit(docs: DataFrame) -> Model | None:
 
     The sample is drawn by the hash of the id, about DOCS_A_LANGUAGE documents of each language,
     from those whose crc32 mod 4 is not 2 and whose lang and text are not null. None without any.
-    The number of languages is taken to be small, as that of a corpus's lang values is.
+    Of more than LANGUAGES values of lang those with most documents are learned, ties in alphabetical order,
+    so that a column of junk costs neither memory nor a long plan.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_of_id() % 4 != 2))
-    n = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    n = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not n:
         return None
     share = F.create_map(*(F.lit(x) for k, v in n.items() for x in (k, min(1.0, DOCS_A_LANGUAGE / v))))

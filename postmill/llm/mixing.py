@@ -73,8 +73,11 @@ def source_budgets(stats: DataFrame, exponent: float, budget: float | None = Non
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """``docs`` with mix_tokens instead of other columns named mix_*: what :func:`mix` takes, so that texts are read once."""
-    return docs.select([c for c in docs.columns if not c.startswith("mix_")]).withColumn("mix_tokens", n_tokens())
+    """``docs`` with mix_tokens and mix_nth instead of other columns named mix_*: what :func:`mix` takes once it is written, so that texts are read once.
+
+    mix_nth tells rows without an id apart.
+    """
+    return docs.select([c for c in docs.columns if not c.startswith("mix_")]).withColumns({"mix_tokens": n_tokens(), "mix_nth": F.monotonically_increasing_id()})
 
 
 def mix(spark: SparkSession, docs: DataFrame, *, max_repeats: float | None = REPEATS, min_entropy: float | None = None, budget: float | None = None) -> DataFrame:
@@ -91,7 +94,7 @@ def mix(spark: SparkSession, docs: DataFrame, *, max_repeats: float | None = REP
 
     Edge cases: a null source counts as the source named by the empty string. Texts without tokens,
     null ones included, are drawn once, in epoch 1. Null ids and repeated rows are drawn like other
-    rows. An empty table gives no rows.
+    rows, each apart. An empty table gives no rows.
     """
     scratch = Scratch(spark, "mix")
     stats = scratch.keep(docs.groupBy(_source().alias("src")).agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("docs")), "sources")
@@ -101,7 +104,9 @@ def mix(spark: SparkSession, docs: DataFrame, *, max_repeats: float | None = REP
     rows = rows.join(budgets, "mix_src", "left").withColumns({"mix_all": F.coalesce("mix_all", F.lit(1)), "mix_budget": F.coalesce("mix_budget", F.lit(0)), "mix_blocks": F.coalesce("mix_blocks", F.lit(1))})
     epochs = F.when(F.col("mix_tokens") > 0, F.ceil(F.col("mix_budget") / F.col("mix_all"))).otherwise(F.lit(1))
     rows = rows.where((F.col("mix_tokens") == 0) | (F.col("mix_budget") > 0)).withColumn("mix_epoch", F.explode(F.sequence(F.lit(1).cast("long"), epochs.cast("long"))))
-    rows = rows.withColumn("mix_key", F.md5(F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mix_epoch").cast("string"))))
+    # rows without an id are told apart by their place, rows of one id by their tokens: neither makes a block of many
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("mix_nth").cast("string")))
+    rows = rows.withColumn("mix_key", F.md5(F.concat_ws("-", own, F.col("mix_epoch").cast("string"), F.col("mix_tokens").cast("string"))))
     rows = rows.withColumn("mix_block", F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") % F.col("mix_blocks"))
 
     unit = ["mix_src", "mix_epoch", "mix_block"]
@@ -109,10 +114,10 @@ def mix(spark: SparkSession, docs: DataFrame, *, max_repeats: float | None = REP
     blocks = blocks.withColumn("mix_turn", F.md5(F.concat_ws("-", "mix_src", F.col("mix_epoch").cast("string"), F.col("mix_block").cast("string"))))
     blocks = running_sum(blocks, ["mix_src", "mix_epoch"], F.substring("mix_turn", 1, 3), ["mix_turn", "mix_block"], "mix_sum", "mix_start")
     starts = scratch.keep(blocks.select(*unit, "mix_start"), "blocks")
-    within = Window.partitionBy(*unit).orderBy("mix_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*unit).orderBy("mix_key", "doc_id", "mix_nth").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(starts, unit).withColumn("mix_offset", (F.col("mix_epoch") - 1) * F.col("mix_all") + F.col("mix_start") + F.coalesce(F.sum("mix_tokens").over(within), F.lit(0)))
     drawn = placed.where((F.col("mix_tokens") == 0) | (F.col("mix_offset") + F.col("mix_tokens") <= F.col("mix_budget")) | (F.col("mix_epoch") * F.col("mix_all") <= F.col("mix_budget")))
-    return drawn.select(*docs.columns, "mix_epoch", "mix_offset")
+    return drawn.select(*docs.columns, "mix_epoch", "mix_offset").drop("mix_nth")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, *, max_repeats: float = PIPELINE_REPEATS) -> DataFrame:
@@ -120,7 +125,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, *, max_repeats: float = P
 
     Columns of ``docs`` named mix_* are kept under their names. An empty table gives none.
     """
-    own = {c: f"kept_{c}" for c in docs.columns if c.startswith("mix_")}
+    # under names that nothing else has: a prefix longer than any name
+    free = "kept" + "_" * max(map(len, docs.columns))
+    own = {c: f"{free}{i}" for i, c in enumerate(docs.columns) if c.startswith("mix_")}
     table = Scratch(spark, "mixing").keep(counted(docs.withColumnsRenamed(own)), "counted")
     return mix(spark, table, max_repeats=max_repeats).select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
@@ -135,7 +142,7 @@ c{r} AS (SELECT coalesce(min(i) FILTER (ok), {SECTIONS}) AS i FROM g{r}),
 b{r + 1} AS (SELECT (SELECT t FROM g{r} WHERE g{r}.i = greatest(c{r}.i - 1, 0)) AS lo, (SELECT t FROM g{r} WHERE g{r}.i = c{r}.i) AS hi FROM c{r})"""
         )
     return f"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0)::BIGINT AS n FROM documents),
+WITH d AS (SELECT doc_id, row_number() OVER () AS nth, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0)::BIGINT AS n FROM documents),
 s AS (SELECT source, sum(n)::BIGINT AS tokens, count(*) AS docs FROM d GROUP BY 1),
 p AS (SELECT source, tokens, docs, tokens::DOUBLE / (SELECT sum(tokens) FROM s)::DOUBLE AS p FROM s WHERE tokens > 0),
 {', '.join(rounds)},
@@ -143,7 +150,7 @@ w AS (SELECT *, pow(p, (SELECT hi FROM b{ROUNDS})) AS w FROM p),
 u AS (SELECT source, tokens, docs, round(w / (SELECT sum(w) FROM w) * ((SELECT max(tokens / w) FROM w) * (SELECT sum(w) FROM w)))::BIGINT AS budget FROM w),
 r AS (SELECT d.*, coalesce(tokens, 1) AS tokens, coalesce(budget, 0) AS budget, coalesce(ceil(docs / {BLOCK_DOCS}), 1)::BIGINT AS blocks FROM d LEFT JOIN u USING (source)),
 e AS (SELECT *, unnest(range(1, CASE WHEN n > 0 THEN ceil(budget / tokens)::BIGINT ELSE 1 END + 1)) AS epoch FROM r),
-k AS (SELECT *, md5(coalesce(doc_id::VARCHAR, '') || '-' || epoch) AS key FROM e),
+k AS (SELECT *, md5(coalesce(doc_id::VARCHAR, 'row ' || nth) || '-' || epoch || '-' || n) AS key FROM e),
 l AS (SELECT *, ('0x' || substr(key, 1, 8))::BIGINT % blocks AS block FROM k),
 m AS (SELECT *, md5(source || '-' || epoch || '-' || block) AS turn FROM l),
 o AS (SELECT *, (epoch - 1) * tokens + coalesce(sum(n) OVER (PARTITION BY source, epoch ORDER BY turn, block, key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m)

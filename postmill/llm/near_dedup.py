@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, Scratch, golden, mix64, pieces, text_bytes, word_hashes
+from .common import GOLDEN, Scratch, fresh, golden, mix64, pieces, text_bytes, word_hashes
 from .components import connected_components
 
 #: Slots of a signature, rows of a band, and bits of each slot kept for estimates.
@@ -26,8 +26,11 @@ _DENSE_FROM = 6
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
-    """Bands that leave at most ``miss`` for a pair at the threshold to share none."""
-    return min(SLOTS // rows, max(1, math.ceil(math.log(miss) / math.log(1 - similarity**rows))))
+    """Bands that leave at most ``miss`` for a pair at the threshold to share none; ValueError if a signature has fewer."""
+    bands = max(1, math.ceil(math.log(miss) / math.log(1 - similarity**rows))) if similarity < 1 else 1
+    if bands > SLOTS // rows:
+        raise ValueError(f"a similarity of {similarity} needs {bands} bands of {rows} slots; a signature of {SLOTS} has {SLOTS // rows}")
+    return bands
 
 
 def shingles(data: bytes | None, size: int) -> np.ndarray:
@@ -292,10 +295,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle_words: int
 def dedup_stage(spark: SparkSession, docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that with the smallest doc_id.
 
-    All columns of ``docs`` stay. Of rows that repeat a kept doc_id with the same text one stays, those
+    All columns of ``docs`` stay, whatever their names. An empty table gives none; empty and blank texts are copies of nothing. Of rows that repeat a kept doc_id with the same text one stays, those
     with different texts all do; rows whose doc_id is null all stay, as they belong to no group.
     """
     kept = near_duplicates(spark, docs, shingle_words=shingle_words, similarity=similarity).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.withColumn("__text", F.xxhash64("text"))
-    one = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "__text"]).select(docs.columns)
+    digest = fresh(docs, "__text")
+    named = docs.withColumn(digest, F.xxhash64("text"))
+    one = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", digest]).select(docs.columns)
     return one.unionByName(docs.where("doc_id is null"))

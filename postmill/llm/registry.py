@@ -84,7 +84,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_mixing", mixing.ORACLE)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents drawn to weights under which none is repeated more than twice."""
-    docs = mixing.counted(read_table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "mix_tokens")
+    docs = mixing.counted(read_table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "mix_tokens", "mix_nth")
     mixed = mixing.mix(spark, Scratch(spark, "op9").keep(docs, "counted"))
     return mixed.select("doc_id", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_offset").alias("offset_tokens"))
 

@@ -17,6 +17,8 @@ TARGET_BYTES, FANOUT, BASE_BYTES, ARRIVAL_DOCS = 64 << 20, 4, 1 << 16, 1000
 FILES = 4
 #: Shards whose sizes are summed in one window of a prefix sum.
 _BLOCK = 1024
+#: Arrival of documents without an id, beyond those of all ids.
+_NO_ID = 2**63 - 1
 
 #: Partition columns of the data folder: what was written at once, and its shards.
 BATCH, SHARD = "postmill_batch", "postmill_shard"
@@ -111,8 +113,8 @@ class ShardStore:
         before = self._commit_of(now) if now else None
         docs = docs.drop(BATCH, SHARD)
         schema = joined(StructType.fromJson(before["schema"]) if before else StructType([]), docs.schema)
-        batch = self._write(docs, F.concat(F.lit("a"), F.lpad(arrival.cast("string"), 12, "0")))
-        new = self._sizes(batch, schema, F.lit(0), F.substring("shard_id", 2, 20))
+        batch = self._write(docs, F.concat(F.lit("a"), numbered(arrival)))
+        new = self._sizes(batch, schema, F.lit(0), number_of("shard_id"))
         return self.commit(self._manifest(before).unionByName(new), now, schema)
 
     def compact(self, target_bytes: int = TARGET_BYTES) -> int:
@@ -129,8 +131,7 @@ class ShardStore:
         # dealt by files, not by shards: a shard is the work of several tasks; more partitions than files, so that few share one
         rows = self._read(moves, schema).join(to, [SHARD, BATCH]).drop(SHARD, BATCH).repartition(2 * n, F.col("__to.merged_id"), F.col("__to.file"))
         batch = self._write(rows.sortWithinPartitions("__to", "doc_id").withColumn("__shard", F.col("__to.merged_id")).drop("__to"), F.col("__shard"))
-        first = F.element_at(F.split("shard_id", "-"), -1)
-        new = self._sizes(batch, schema, F.element_at(F.split("shard_id", "-"), 1).substr(2, 9), first)
+        new = self._sizes(batch, schema, F.element_at(F.split("shard_id", "-"), 1).substr(2, 9), number_of("shard_id"))
         kept = plan.where("merged_id is null").drop("merged_id", "file")
         return self.commit(kept.unionByName(new), now, schema)
 
@@ -143,6 +144,16 @@ class ShardStore:
         return rows.join(listed.select(F.col("batch").alias(BATCH), F.col("shard_id").alias(SHARD)), [BATCH, SHARD], "left_semi").drop(BATCH)
 
 
+def numbered(n: Column) -> Column:
+    """A long in 20 places, its sign included, so that every long has a name of its own."""
+    return F.format_string("%020d", n.cast("long"))
+
+
+def number_of(name: str) -> Column:
+    """The long that a shard's name ends with."""
+    return F.substring(name, -20, 20).cast("long")
+
+
 def joined(old: StructType, new: StructType) -> StructType:
     """``old`` with the columns of ``new`` that it lacks; ValueError for a column of another type."""
     types = {f.name: f.dataType for f in old.fields}
@@ -177,7 +188,7 @@ def merge_plan(shards: DataFrame, target_bytes: int = TARGET_BYTES, fanout: int
     small = running_sum(small, ["tier"], F.floor(F.col("first_arrival") / _BLOCK), ["first_arrival", "shard_id"], "n_bytes", "before")
     small = small.withColumn("piece", F.floor(F.col("before") / target_bytes)).withColumn("file", F.floor(F.col("before") % target_bytes / (target_bytes / FILES)).cast("int"))
     pieces = small.groupBy("tier", "piece").agg(F.count("*").alias("runs"), F.min("first_arrival").alias("first"), F.max("level").alias("top"))
-    name = F.concat(F.lit("m"), (F.col("top") + 1).cast("string"), F.lit("-"), F.col("tier").cast("string"), F.lit("-"), F.lpad(F.col("first").cast("string"), 12, "0"))
+    name = F.concat(F.lit("m"), (F.col("top") + 1).cast("string"), F.lit("-"), F.col("tier").cast("string"), F.lit("-"), numbered(F.col("first")))
     planned = small.join(pieces, ["tier", "piece"]).withColumn("merged_id", F.when(F.col("runs") > 1, name)).withColumn("file", F.when(F.col("runs") > 1, F.col("file")))
     large = shards.where(F.col("n_bytes") >= target_bytes)
     return planned.select(*shards.columns, "merged_id", "file").unionByName(large.withColumns({"merged_id": F.lit(None).cast("string"), "file": F.lit(None).cast("int")}))
@@ -185,14 +196,14 @@ def merge_plan(shards: DataFrame, target_bytes: int = TARGET_BYTES, fanout: int
 
 def arrival_of(docs_each: int = ARRIVAL_DOCS) -> Column:
     """The queries' arrivals: documents by ranges of their ids, those without an id last."""
-    return F.coalesce(F.floor(F.col("doc_id") / docs_each), F.lit(999_999_999_999))
+    return F.coalesce(F.floor(F.col("doc_id") / docs_each), F.lit(_NO_ID))
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, *, root: str | None = None, target_bytes: int = TARGET_BYTES, arrival: Column | None = None) -> DataFrame:
     """``docs`` appended to a store, compacted, and read back from the committed version, with shard_id.
 
-    Edge cases: an empty table comes back empty, without a version; null texts have 0 bytes; null
-    ids arrive last; repeated rows stay. A column of ``docs`` named shard_id gives way to the new one,
+    Edge cases: an empty table comes back empty, without a version; null and empty texts have 0 bytes, and a text
+    longer than the target is a shard or a file of its own; ids may be any longs, null ones arrive last; repeated rows stay. A column of ``docs`` named shard_id gives way to the new one,
     and those named as the store's partition columns are left out. Without a ``root`` the store ends
     with the application.
     """
@@ -211,12 +222,12 @@ def shard_stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 ORACLE = f"""
-WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, coalesce(floor(doc_id / {ARRIVAL_DOCS})::BIGINT, 999999999999) AS arrival FROM documents),
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, coalesce(floor(doc_id / {ARRIVAL_DOCS})::BIGINT, {_NO_ID}) AS arrival FROM documents),
 a AS (SELECT arrival, sum(n_bytes) AS n_bytes FROM d GROUP BY 1),
 t AS (SELECT *, floor(ln(greatest(n_bytes, {BASE_BYTES}) / {BASE_BYTES}) / ln({FANOUT}.0) + 1e-9)::INT AS tier FROM a WHERE n_bytes < {TARGET_BYTES}),
 s AS (SELECT *, floor(coalesce(sum(n_bytes) OVER (PARTITION BY tier ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {TARGET_BYTES})::BIGINT AS piece FROM t),
 p AS (SELECT tier, piece, count(*) AS runs, min(arrival) AS first FROM s GROUP BY ALL)
 SELECT d.doc_id, d.n_bytes::BIGINT AS n_bytes,
-  CASE WHEN runs > 1 THEN 'm1-' || s.tier || '-' || lpad(first::VARCHAR, 12, '0') ELSE 'a' || lpad(d.arrival::VARCHAR, 12, '0') END AS shard_id
+  CASE WHEN runs > 1 THEN 'm1-' || s.tier || '-' || printf('%020d', first) ELSE 'a' || printf('%020d', d.arrival) END AS shard_id
 FROM d LEFT JOIN s USING (arrival) LEFT JOIN p USING (tier, piece)
 """

@@ -27,6 +27,8 @@ SURE, CLEAN_WORDS = 24.0, 12_000
 TOP = 5
 #: Clean words that join the landmarks after each of the first two fits.
 HARD = 32
+#: Bounds of a fit: words suspected, strongest first, and hardest clean words looked at for landmarks.
+SUSPECTS, HARDEST = 800, 200
 #: Bounds of the training sample: labelled documents of each label, and sentences of each label.
 DOCS_A_LABEL, SENTENCES_A_LABEL, SENTENCE_WORDS = 3000, 40_000, 40
 
@@ -276,7 +278,7 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 7) -> Model | None:
             g = 2 * (c * np.log(c / (share * both)) + (both - c) * np.log(max(both - c, 1e-9) / ((1 - share) * both)))
             if g > SURE:
                 gain[w] = g
-    suspects = sorted(gain, key=lambda w: (-gain[w], w))[:800]
+    suspects = sorted(gain, key=lambda w: (-gain[w], w))[:SUSPECTS]
     if not suspects:
         return None
 
@@ -310,7 +312,7 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 7) -> Model | None:
         if not last:
             keep = [k for k, d in zip(keep, x[: len(keep)] @ w, strict=True) if d > 0] or keep
             # clean words that the machine finds hardest become landmarks as well, unless they resemble each other
-            hard = [clean[i] for i in np.argsort(-(x[-len(clean) :] @ w), kind="stable")[:200]]
+            hard = [clean[i] for i in np.argsort(-(x[-len(clean) :] @ w), kind="stable")[:HARDEST]]
             alike, taken = kernel(hard, hard), []
             for i in range(len(hard)):
                 if len(taken) < HARD and not any(alike[i, j] > 0.9 for j in taken):

@@ -226,3 +226,42 @@ def test_pipeline_edges(spark, tmp_path):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "mix_epoch", "shard_id"]
     assert {(r.doc_id, r.mix_epoch) for r in out.collect()} == {(r[0], r[6]) for r in rows if r[0] not in (7, 200)}
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_shards_of_any_ids(spark):
+    docs = [(-1, "a"), (-10**15, "b"), (9 * 10**18, "c"), (9 * 10**15, "d"), (2**63 - 1, "e"), (-(2**63), "f"), (None, None), (0, "g"), (5, "long " * 400_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.shard_id) for r in sharding.shard_documents(spark, df, target_bytes=50, arrival=sharding.F.coalesce("doc_id", sharding.F.lit(7))).collect()}
+    assert {k: v[0] for k, v in got.items()} == dict(docs)
+    apart = sharding.shard_documents(spark, df, target_bytes=1, arrival=sharding.F.coalesce("doc_id", sharding.F.lit(7))).collect()
+    assert len({r.shard_id for r in apart}) == len(docs)
+    assert sorted(r.doc_id is None or r.doc_id for r in sharding.shard_documents(spark, df).collect()) == sorted(d[0] is None or d[0] for d in docs)
+
+
+def test_mixing_of_clashing_columns_and_no_ids(spark):
+    docs = [(None, "w " * (i % 7), "s", i, -i, str(i)) for i in range(5000)] + [(3, "w", None, 1, 2, "x")] * 3
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, mix_x long, kept_mix_x long, kept____________0 string")
+    out = mixing.mixing_stage(spark, df)
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} == set(docs)
+    rows = mixing.Scratch(spark, "t").keep(mixing.counted(df))
+    drawn = mixing.mix(spark, rows).where("source = 's'")
+    assert "mix_nth" not in drawn.columns and drawn.where("mix_tokens > 0").groupBy("mix_epoch", "mix_offset").count().where("count > 1").count() == 0
+
+
+def test_long_conversation(spark):
+    n = 4000
+    texts = ["é<|end|>" * (i % 5) + f"{i} [INST]" for i in range(n)]
+    df = spark.createDataFrame([(1, i, ("user", "assistant")[i % 2], t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    r = chat_format.read_back(chat_format.format_chats(chat_format.text_messages(df))).first()
+    assert [t.text for t in r.turns] == texts and r.loss == texts[1::2]
+    for s in r.loss_spans[:: n // 40]:  # the places over the whole string say the same
+        piece = r.formatted.split("<|end|>")[s.turn]
+        assert r.formatted[s.start : s.start + s.length] == piece[s.offset : s.offset + s.length]
+
+
+def test_chats_of_odd_rows(spark):
+    schema = "conv_id long, turn long, role string, text string, formatted string, parts int"
+    assert chat_format.format_chats(chat_format.text_messages(spark.createDataFrame([], schema))).collect() == []
+    long = "x<|turn|>" * 200_000
+    r = chat_format.read_back(chat_format.format_chats(chat_format.text_messages(spark.createDataFrame([(1, 0, "assistant", long, "clash", 1)], schema)))).first()
+    assert r.loss == [long]

@@ -1,10 +1,12 @@
+import os
 import random
 import re
+import threading
 
 import numpy as np
 import pytest
 
-from postmill.llm import near_dedup
+from postmill.llm import common, near_dedup
 from postmill.llm.components import connected_components
 from postmill.llm.common import Scratch
 from postmill.llm.near_dedup import dedup_stage, near_duplicates, superminhash
@@ -110,3 +112,22 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(200, 260)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark, spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 5 for i in [5, *range(200, 260)]}
+
+
+def test_clashing_columns_and_bounds(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g", 7, "x"), (2, "a b c d e f g", 8, "y"), (3, "other words that stand alone here", 9, "z")], "doc_id long, text string, __text int, __text_ string")
+    assert sorted(tuple(r) for r in near_dedup.dedup_stage(spark, df).collect()) == [(1, "a b c d e f g", 7, "x"), (3, "other words that stand alone here", 9, "z")]
+    with pytest.raises(ValueError, match="bands"):
+        near_dedup.bands_for(0.6)
+    assert near_dedup.bands_for(0.8) == 22 and near_dedup.bands_for(1.0) == 1
+
+
+def test_scratch_of_a_context(spark):
+    made = []
+    with common.discarded(spark):
+        made.append(common.scratch_folder(spark, "inner"))
+        thread = threading.Thread(target=lambda: made.append(common.scratch_folder(spark, "other")))
+        thread.start()
+        thread.join()
+    there = [os.path.isdir(m.removeprefix("file:")) for m in made]
+    assert there == [False, True]
