@@ -18,8 +18,9 @@ SEED_WORDS, SEEDS, SIMILARITY = 3, 2, 0.45
 LONG = 20
 #: Alignment: gain of equal words, cost of a different word and of a word too many.
 MATCH, MISMATCH, GAP = 2.0, 1.0, 1.0
-#: Bits of the filter of seeds that every task holds: a fixed 4 MB, whatever the benchmark's size.
-_FILTER = 1 << 22
+#: Places of the filter of seeds that every task holds: 16 a seed, a power of two between 4 and 16 million (2 MB sent, 16 MB held). Beyond a
+#: million seeds its chance hits grow, and with them the passages that are looked at, not the result.
+_LEAST_PLACES, _MOST_PLACES, _PLACES_A_SEED = 1 << 22, 1 << 24, 16
 
 # A-Z to a-z; what is neither letter nor digit in ASCII to a blank
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -48,31 +49,47 @@ def _of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Seeds to the places that they set in the filter: distinct, so at most 2 * _FILTER whatever the input."""
-    for batch in batches:
-        s = batch.column(0).to_numpy().view(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([s % np.uint64(_FILTER), (s >> np.uint64(32)) % np.uint64(_FILTER)])).astype(np.int32))], ["place"])
+def _places(s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each seed in a filter of ``n``."""
+    return s % np.uint64(n), (s >> np.uint64(32)) % np.uint64(n)
+
+
+def _set_places(n: int):
+    """Seeds to the places that they set in the filter, distinct in each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(_places(batch.column(0).to_numpy().view(np.uint64), n))).astype(np.int32))], ["place"])
+
+    return run
+
+
+def _filter_of(seeds: DataFrame) -> np.ndarray:
+    """The filter of a column of seeds as packed bits; the driver gets at most _MOST_PLACES numbers."""
+    n = min(_MOST_PLACES, max(_LEAST_PLACES, 1 << (_PLACES_A_SEED * max(1, seeds.count()) - 1).bit_length()))
+    bits = np.zeros(n, bool)
+    bits[seeds.mapInArrow(_set_places(n), "place int").distinct().toPandas()["place"].to_numpy()] = True
+    return np.packbits(bits)
 
 
-def _passages(bits: np.ndarray, longest: int, least: int):
+def _passages(packed: np.ndarray, longest: int, least: int):
     """(doc_id, text) to passages around seeds: doc_id, first word, a 128-bit digest, the words' hashes, the seeds found.
 
     Seeds of the filter, the odd chance hit included, that stand within ``longest`` words of each
     other form a passage, which reaches that many words further on both sides. A passage with
     fewer than ``least`` distinct seeds can make no candidate and is left out.
     """
-    filter_ = np.zeros(_FILTER, bool)
-    filter_[bits] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_ = np.unpackbits(packed).view(bool)
         for batch in pieces(batches, "text"):
             ids, start, key, passage, found = [], [], [], [], []
             for d, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 h = words(t)
                 s = seeds(h)
-                at = np.flatnonzero(filter_[s % np.uint64(_FILTER)])
-                at = at[filter_[(s[at] >> np.uint64(32)) % np.uint64(_FILTER)]]
+                first, second = _places(s, len(filter_))
+                at = np.flatnonzero(filter_[first])
+                at = at[filter_[second[at]]]
                 if not len(at):
                     continue
                 for group in np.split(at, np.flatnonzero(np.diff(at) > longest) + 1):
@@ -153,8 +170,10 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
     1. A task scans its documents once, with a fixed-size filter of all seeds, and emits only the
        passages around seeds; the documents' text is not shuffled.
     2. Equal passages are collapsed, so that what is copied with its surroundings is aligned once.
-    3. Seeds found join the items' seeds, common ones too: all passages and items that share SEEDS
-       seeds (all, if the item has fewer) are aligned, and the scores join the documents. So a
+    3. All passages and items that share SEEDS seeds (all, if the item has fewer) are aligned, and the scores join
+       the documents. They meet in rare seeds only: an item's seeds are ordered by the number of passages that hold
+       them, and its SEEDS - 1 commonest are not joined, as whoever shares SEEDS of its seeds shares
+       one of the others. So a phrase that all have costs no pairs unless a second, rarer seed is shared too, and a
        document's result depends neither on the other documents nor on their number.
 
     Edge cases: null and empty texts, and items of fewer than SEED_WORDS words, match nothing. Items
@@ -168,16 +187,21 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
     one = items.groupBy("words").agg(F.min("item_id").alias("item"), F.first("seeds").alias("seeds"), F.first("n_words").alias("n_words"))
     one = scratch.keep(one, "distinct-items")
     of_item = one.select("item", F.explode("seeds").alias("seed"))
-    bits = of_item.select("seed").mapInArrow(_set_bits, "place int").distinct().toPandas()["place"].to_numpy()  # at most _FILTER numbers
+    packed = _filter_of(of_item.select("seed").distinct())
     longest, least = one.agg(F.max("n_words"), F.min(F.size("seeds"))).first()
     if longest is None:
         longest, least = 1, 1
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    found = scratch.keep(text.mapInArrow(_passages(bits, longest, min(SEEDS, least)), "doc_id long, start long, key binary, passage binary, seeds array<long>"), "passages")
+    found = scratch.keep(text.mapInArrow(_passages(packed, longest, min(SEEDS, least)), "doc_id long, start long, key binary, passage binary, seeds array<long>"), "passages")
     passages = scratch.keep(found.groupBy("key").agg(F.first("passage").alias("passage"), F.first("seeds").alias("seeds")), "distinct-passages")
-    pairs = passages.select("key", F.explode("seeds").alias("seed")).join(of_item, "seed").groupBy("key", "item").agg(F.count("*").alias("n_seeds"))
-    pairs = pairs.join(one.select("item", "words", F.size("seeds").alias("of")), "item").where(F.col("n_seeds") >= F.least(F.lit(SEEDS), "of")).join(passages.select("key", "passage"), "key")
+    held = passages.select("key", F.explode("seeds").alias("seed"))
+    common = scratch.keep(of_item.join(held.groupBy("seed").agg(F.count("*").alias("df")), "seed", "left").fillna(0, ["df"]), "frequencies")
+    listed = common.groupBy("item").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "seed"))), lambda x: x["seed"]).alias("by_df"))  # one item's seeds
+    rare = scratch.keep(listed.select("item", F.explode(F.slice("by_df", 1, F.size("by_df") - F.least(F.lit(SEEDS), F.size("by_df")) + 1)).alias("seed")), "rare-seeds")
+    pairs = held.join(rare, "seed").select("key", "item").distinct()
+    pairs = pairs.join(one.select("item", "words", F.col("seeds").alias("own")), "item").join(passages.select("key", "passage", "seeds"), "key")
+    pairs = pairs.withColumn("n_seeds", F.size(F.array_intersect("seeds", "own")).cast("long")).where(F.col("n_seeds") >= F.least(F.lit(SEEDS), F.size("own")))
     aligned = pairs.select("key", "item", "n_seeds", "words", "passage").mapInArrow(_align(similarity), "key binary, item long, n_seeds long, score double, end long")
     copies = found.select("key", "doc_id", "start").join(aligned, "key").withColumn("end_word", F.col("start") + F.col("end"))
     best = copies.groupBy("doc_id", "item").agg(F.max(F.struct("score", "n_seeds", "end_word")).alias("b"))
