@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from postmill.config import Rules
 from postmill.functions.money import stipend, stipend_label
 from postmill.functions.temporal import window
-from postmill.functions.text import any_of, find_term, let, searchable_text
+from postmill.functions.text import any_of, find_terms, let, searchable_text
 
 #: Characters of a description that are read for the kind of work, and for places.
 KIND_CHARS, PLACE_CHARS = 1500, 600
@@ -27,8 +27,8 @@ def _said(before: str, hit: Column, after: str = "") -> Column:
     return F.concat(F.lit(f"{before} '"), hit, F.lit(f"'{after}"))
 
 
-def _find(text: Column, terms: tuple[str, ...]) -> Column:
-    return find_term(text, list(terms))
+def _find(text: Column, **lists: tuple[str, ...]) -> Column:
+    return find_terms(text, {name: list(terms) for name, terms in lists.items()})
 
 
 def kind_hits(r: Rules) -> Column:
@@ -36,10 +36,11 @@ def kind_hits(r: Rules) -> Column:
     text = lambda c: F.coalesce(c, F.lit(""))
     title, kind, body = text("title"), text("employment_type"), F.substring(text("description"), 1, KIND_CHARS)
     head, every = F.concat_ws(" ", title, kind), F.concat_ws(" ", title, kind, body)
-    return F.struct(
-        _find(head, r.full_time).alias("ft_head"), _find(body, r.full_time).alias("ft_body"), _find(title, r.internship).alias("title"), _find(head, r.internship).alias("head"),
-        _find(body, r.internship).alias("body"), _find(every, r.internship).alias("any"), _find(title, r.seniority).alias("senior"),
+    found = F.struct(
+        _find(head, ft_head=r.full_time, head=r.internship).alias("h"), _find(body, ft_body=r.full_time, body=r.internship).alias("b"),
+        _find(title, title=r.internship, senior=r.seniority).alias("t"), _find(every, any=r.internship).alias("e"),
     )
+    return let(found, lambda x: F.struct(*(x[p][n].alias(n) for p, n in (("h", "ft_head"), ("b", "ft_body"), ("t", "title"), ("h", "head"), ("b", "body"), ("e", "any"), ("t", "senior")))))
 
 
 def internship(h: Column) -> Column:
@@ -64,6 +65,13 @@ def seniority(h: Column) -> Column:
     return F.when(h["senior"].isNotNull() & h["title"].isNull(), check("seniority", False, _said("seniority keyword", h["senior"], " in title"), 0.0)).otherwise(check("seniority", True, "no seniority conflict", 1.0))
 
 
+def quoted(c: str) -> Column:
+    """A text in single quotes; in double ones if it holds a single quote and no double one, and else with its single quotes escaped."""
+    x = F.col(c)
+    single, double = F.contains(x, F.lit("'")), F.contains(x, F.lit('"'))
+    return F.when(single & ~double, F.concat(F.lit('"'), x, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def place_hits(r: Rules) -> Column:
     """The terms found for the place, in the location and in the beginning of the description."""
     place, head = F.lower(F.coalesce("location", F.lit(""))), F.substring(F.lower(F.coalesce("description", F.lit(""))), 1, PLACE_CHARS)
@@ -71,11 +79,14 @@ def place_hits(r: Rules) -> Column:
     # what is left of a location without the words for remote and everywhere
     plain = any_of(t.strip().lower() for t in (*r.everywhere, *r.remote))
     left = F.regexp_replace(place, rf"(?<![a-z0-9]){plain}(?![a-z0-9])", " ")
-    return F.struct(
-        _find(place, r.home).alias("home"), _find(place, r.abroad).alias("abroad"), _find(place, r.everywhere).alias("world"), _find(place, r.remote).alias("remote"), _find(place, r.restricted).alias("barred"),
-        _find(both, r.restricted).alias("barred_text"), _find(both, r.home).alias("home_text"), F.coalesce(_find(head, r.restricted), _find(head, r.work_rights)).alias("stated"),
-        F.coalesce(F.col("is_remote"), F.lit(False)).alias("typed"), (F.trim(place) == "").alias("blank"), left.rlike("[a-z0-9]").alias("named"), F.concat(F.lit("'"), F.col("location"), F.lit("'")).alias("spot"),
+    found = F.struct(
+        _find(place, home=r.home, abroad=r.abroad, world=r.everywhere, remote=r.remote, barred=r.restricted).alias("p"),
+        _find(both, barred_text=r.restricted, home_text=r.home).alias("b"), _find(head, barred=r.restricted, rights=r.work_rights).alias("h"),
     )
+    return let(found, lambda x: F.struct(
+        *(x["p"][n].alias(n) for n in ("home", "abroad", "world", "remote", "barred")), x["b"]["barred_text"].alias("barred_text"), x["b"]["home_text"].alias("home_text"), F.coalesce(x["h"]["barred"], x["h"]["rights"]).alias("stated"),
+        F.coalesce(F.col("is_remote"), F.lit(False)).alias("typed"), (F.trim(place) == "").alias("blank"), left.rlike("[a-z0-9]").alias("named"), quoted("location").alias("spot"),
+    ))
 
 
 def location(h: Column, r: Rules) -> Column:
