@@ -287,10 +287,10 @@ def month_window(spark, d):
 
 @query(
     "open_state",
-    f"""SELECT o_orderkey, CASE k WHEN 0 THEN 'closed' WHEN 1 THEN CASE WHEN past THEN 'closed' ELSE 'open' END WHEN 2 THEN CASE WHEN past_day THEN 'closed' ELSE 'unverified' END WHEN 4 THEN 'closed' WHEN 5 THEN CASE WHEN past THEN 'unverified' ELSE 'closed' END ELSE 'unverified' END AS state,
+    f"""SELECT o_orderkey, CASE k WHEN 0 THEN 'closed' WHEN 1 THEN CASE WHEN past THEN 'closed' ELSE 'open' END WHEN 2 THEN CASE WHEN past_day THEN 'closed' ELSE 'unverified' END WHEN 4 THEN 'closed' WHEN 5 THEN CASE WHEN begun THEN 'unverified' ELSE 'closed' END ELSE 'unverified' END AS state,
       CASE k WHEN 0 THEN 'the posting states the application is closed' WHEN 1 THEN CASE WHEN past THEN 'registration closed ' || iso ELSE '' END WHEN 2 THEN CASE WHEN past_day THEN 'registration ended ' || substr(iso, 1, 10) ELSE '' END
-      WHEN 4 THEN 'registration is not open (regn_open is false)' WHEN 5 THEN CASE WHEN past THEN '' ELSE 'registration opens later (' || iso || ')' END ELSE '' END AS reason
-      FROM (SELECT o_orderkey, o_orderkey % 6 AS k, o_orderdate < TIMESTAMP '{AS_OF}' AS past, o_orderdate::DATE < DATE '{AS_OF}' AS past_day, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso FROM orders WHERE o_orderdate <> TIMESTAMP '{AS_OF}')""",
+      WHEN 4 THEN 'registration is not open (regn_open is false)' WHEN 5 THEN CASE WHEN begun THEN '' ELSE 'registration opens later (' || iso || ')' END ELSE '' END AS reason
+      FROM (SELECT o_orderkey, o_orderkey % 6 AS k, o_orderdate < TIMESTAMP '{AS_OF}' AS past, o_orderdate <= TIMESTAMP '{AS_OF}' AS begun, o_orderdate::DATE < DATE '{AS_OF}' AS past_day, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso FROM orders)""",
 )
 def open_state(spark, d):
     # 2 and 3 hold an end date alone, which counts on the typed board only; 4 holds a flag that is there but null
@@ -304,8 +304,7 @@ def open_state(spark, d):
     )
     words = F.when(n == 0, "Applications are now closed.").otherwise("Join the team.")
     o = temporal.open_state(words, F.lit(""), raw, F.lit(AS_OF).cast("timestamp"), F.when(n == 2, "unstop").otherwise("lever"))
-    rows = _t(spark, d, "orders").where(F.col("o_orderdate") != F.lit(AS_OF).cast("timestamp_ntz"))  # at the very moment a registration is neither past nor to come
-    return rows.select("o_orderkey", o.alias("o")).select("o_orderkey", "o.state", "o.reason")
+    return _t(spark, d, "orders").select("o_orderkey", o.alias("o")).select("o_orderkey", "o.state", "o.reason")
 
 
 # ---- money ----
