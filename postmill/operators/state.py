@@ -45,7 +45,8 @@ def append_with_ids(log: DataFrame, new: DataFrame, order: list[str], id_col: st
     before it end. So no task holds more than a range, and only its count goes further.
     """
     last = log.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__last"))
-    ranged = new.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    parts = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that both readers of the ranges see the same ones
+    ranged = new.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
     within = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("__part").agg(F.count("*").alias("__c")).select("__part", F.coalesce(F.sum("__c").over(upto), F.lit(0)).alias("__before"))
