@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.config import Lifecycle
@@ -38,6 +38,19 @@ def rejections(df: DataFrame, reasons: str = "reject_reasons") -> DataFrame:
     return df.select(F.explode_outer(reasons).alias("r")).where("r is not null").groupBy(F.split("r", ": ")[0].alias("reason")).agg(F.count("*").alias("rows"))
 
 
+def rejection_matrix(df: DataFrame, by: str, reasons: str = "reject_reasons") -> DataFrame:
+    """How many rows each reason rejects in each group ``by``, with totals, in one pass of grouping sets (an extension).
+
+    level tells what a row stands for: cell, group (all reasons), reason (all groups) or all, so that a null group is not
+    taken for a total. Totals count reasons, so a row of two counts twice.
+    """
+    each = df.select(F.col(by).alias("grp"), F.explode_outer(reasons).alias("r")).where("r is not null").select("grp", F.split("r", ": ")[0].alias("reason"))
+    sets = [["grp", "reason"], ["grp"], ["reason"], []]
+    summed = each.groupingSets([[F.col(c) for c in s] for s in sets], F.col("grp"), F.col("reason")).agg(F.count("*").alias("rows"), F.grouping_id().alias("g"))
+    level = F.get(F.array(*map(F.lit, ("cell", "group", "reason", "all"))), F.col("g").cast("int"))
+    return summed.select(F.col("grp").alias(by), "reason", level.alias("level"), "rows")
+
+
 def attempts_on(attempts: DataFrame, day: str, statuses: tuple[str, ...]) -> DataFrame:
     """n: distinct postings attempted on a day."""
     return attempts.where((F.col("day") == F.lit(day)) & F.col("status").isin(*statuses)).agg(F.countDistinct("stable_id").alias("n"))
@@ -67,6 +80,13 @@ def quiet_order() -> list[Column]:
     return [F.desc("quiet_days"), F.asc(F.lower(F.coalesce("company", F.lit(""))))]
 
 
+def quiet_listed(quiet: DataFrame, top: int) -> DataFrame:
+    """The first ``top`` rows of :func:`quiet_applications` for a report, with ``place``, from 1; ties of the order go by stable_id."""
+    order = [*quiet_order(), F.asc("stable_id")]
+    first = quiet.orderBy(*order).limit(top)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
 def heatmap_lines(heat: DataFrame, top: int) -> DataFrame:
     """The first rows of a heat map as text of fixed width, and a line that counts the others."""
     n = heat.count()

@@ -493,6 +493,12 @@ def rejection_breakdown(spark, d):
     return reports.rejections(filters.filter_postings(_postings(spark, d)))
 
 
+@query("rejection_matrix", f"SELECT source, reason, CASE grouping_id(source, reason) WHEN 0 THEN 'cell' WHEN 1 THEN 'group' WHEN 2 THEN 'reason' ELSE 'all' END AS level, count(*) AS rows FROM (SELECT nullif(source, '5-LOW') AS source, split_part(unnest(reasons), ': ', 1) AS reason FROM ({_REASONS})) GROUP BY GROUPING SETS ((source, reason), (source), (reason), ())")
+def rejection_matrix(spark, d):
+    rows = _postings(spark, d).withColumn("source", F.nullif("source", F.lit("5-LOW")))
+    return reports.rejection_matrix(filters.filter_postings(rows), "source")
+
+
 @query("source_funnel", f"SELECT source, count(*) AS discovered, count(*) FILTER (len(reasons) = 0) AS eligible, count(*) FILTER (len(reasons) = 1) AS one_reason FROM ({_REASONS}) GROUP BY 1")
 def source_funnel(spark, d):
     return reports.funnel(filters.filter_postings(_postings(spark, d)), ["source"], eligible=F.col("eligible"), one_reason=F.size("reject_reasons") == 1)

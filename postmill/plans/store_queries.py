@@ -152,3 +152,15 @@ def withheld_bands(spark, d):
 def first_per_query(spark, d):
     rows = read_table(spark, d, "customer").select(F.lit("b").alias("source"), F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.col("c_nationkey").cast("string"), F.lit("x"))).otherwise("").alias("job_id"), F.col("c_custkey").alias("row_ord"))
     return identity.union_queries([("all", rows), ("again", rows)])[0].select("job_id", "row_ord")
+
+
+_QUIET = "SELECT user_id, ts, event_id, date_diff('day', ts::DATE, DATE '2024-02-10') AS quiet FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
+
+
+@query("followup_order", f"SELECT 's:' || user_id AS stable_id, quiet::BIGINT AS quiet_days, company, row_number() OVER (ORDER BY quiet DESC, lower(company), 's:' || user_id) AS place FROM (SELECT *, CASE user_id % 3 WHEN 0 THEN 'beta' WHEN 1 THEN 'Alpha' ELSE '' END AS company FROM ({_QUIET}) WHERE quiet >= 12) QUALIFY place <= 100")
+def followup_order(spark, d):
+    """The hundred applications that have been quiet longest, by place."""
+    user = F.expr("cast(substring(stable_id, 3) as bigint)") % 3
+    apps = _applications(spark, d).withColumn("updated_at", F.col("ts")).withColumn("company", F.when(user == 0, "beta").when(user == 1, "Alpha"))
+    quiet = reports.quiet_applications(apps, apps.select("stable_id").limit(0), F.lit("2024-02-10").cast("date"), 12)
+    return reports.quiet_listed(quiet, 100).select("stable_id", F.col("quiet_days").cast("long").alias("quiet_days"), F.coalesce("company", F.lit("")).alias("company"), "place")
