@@ -90,6 +90,18 @@ class Scratch:
         delete(self.spark, df.scratch_path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Within, Spark hands at most so many rows at once to Python: for eager jobs on long rows, whose batches else take hundreds of megabytes in the JVM."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, made longer until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, scratch_folder
+from .common import arrow_rows, pieces, scratch_folder
 
 #: Id that ends a document, and bytes of text that a file aims at.
 END_ID, FILE_BYTES = 2, 64 << 20
@@ -36,11 +36,13 @@ LAYOUT = {
 }
 
 #: Most words whose ids a Python worker remembers, and words sent to the tokenizer as one text.
-_KNOWN, _JOINED = 450_000, 100
+_KNOWN, _JOINED = 350_000, 100
 #: Words that are surely one pre-token, letters of Latin-1 in UTF-8, and such words with signs behind, which are one more.
 _LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
 _SIGNED = re.compile(rb"(" + _LETTERS + rb")([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+)")
 _LETTERS = re.compile(_LETTERS)
+#: Texts that a task gets at once.
+_BATCH_ROWS = 1000
 _encoders: dict[int, Encoder] = {}
 
 
@@ -225,7 +227,8 @@ def write_token_files(spark: SparkSession, docs: DataFrame, definition: str, *,
     order = [F.asc_nulls_first("doc_id"), F.asc("nth")]
     ranged = table.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(max(1, -(-n_bytes // file_bytes)), *order).sortWithinPartitions(*order)
     encoded = ranged.select("doc_id", "text").mapInArrow(_encode(definition, between, end_id), COLUMNS)
-    encoded.write.options(**LAYOUT).mode("overwrite").parquet(f"{root}/tokens")
+    with arrow_rows(spark, _BATCH_ROWS):
+        encoded.write.options(**LAYOUT).mode("overwrite").parquet(f"{root}/tokens")
     files = TokenFiles(spark, root)
     parts = files.rows.groupBy("part").agg(F.count("*").alias("n_docs"), F.max("stop").alias("n_tokens"), F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
