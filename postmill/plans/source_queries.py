@@ -188,7 +188,7 @@ def scan_queries(spark, d):
     for name, wrap, job in (("unstop", "data", F.struct(_key().alias("id"), F.col(_SEG).alias("title"))), ("himalayas", "jobs", F.struct(_key().alias("guid"), F.col(_SEG).alias("title"))), ("themuse", "results", F.struct(_key().alias("id"), F.col(_SEG).alias("name")))):
         root = f"{scratch_folder(spark, 'queries')}/{name}"
         for label, rows in (("generic", "c_nationkey < 10"), ("ml", "c_nationkey < 15"), ("again", "c_nationkey < 12"), ("rest", "c_nationkey < 20")):
-            table.where(rows).groupBy(F.floor(F.col("c_custkey") / _JOBS_A_FILE)).agg(F.to_json(F.struct(F.collect_list(job).alias(wrap))).alias("value")).select("value").write.text(f"{root}/{label}")
+            table.where(rows).groupBy(F.floor(F.col("c_custkey") / _JOBS_A_FILE).alias("file")).agg(F.to_json(F.struct(F.collect_list(job).alias(wrap))).alias("value")).write.partitionBy("file").text(f"{root}/{label}")
         feeds.append((name, {"queries": [(q, f"{root}/{q}") for q in ("generic", "ml", "again", "rest", "gone")]}))
     return readers.scan_feeds(spark, feeds).queries.select("source", "query", "status", "new_rows")
 

@@ -26,7 +26,7 @@ def parsed(text: Column, key: str | None, item: str) -> Column:
     """A JSON text as struct(items, error): the array of items that it is, or that an object holds under ``key``.
 
     An object without the key has no items. A field of another type is null; a text that is no such value, that is cut
-    off, or whose items are not objects has an error.
+    off or followed by another, or whose items are not objects has an error.
     """
     text = F.ltrim(F.regexp_replace(text, "^﻿", ""), F.lit(" \t\r\n"))
     bare = F.from_json(text, f"array<{item}>")
@@ -34,7 +34,9 @@ def parsed(text: Column, key: str | None, item: str) -> Column:
     held = outer[key or "items"]
     items = F.when(text.startswith("["), bare).when(F.lit(key is not None), held)
     whole = F.when(text.startswith("["), bare.isNotNull()).otherwise(F.lit(key is not None) & text.startswith("{") & outer.isNotNull() & (held.isNotNull() | outer[_BROKEN].isNull()))
-    good = whole & ~F.coalesce(F.exists(items, lambda x: x.isNull()), F.lit(False))
+    # in brackets, a text is an array of one if nothing follows its value, which the parser alone would pass over
+    single = F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
+    good = whole & single & ~F.coalesce(F.exists(items, lambda x: x.isNull()), F.lit(False))
     return F.struct(F.when(good, items).alias("items"), F.when(~F.coalesce(good, F.lit(False)), MALFORMED).alias("error"))
 
 
