@@ -209,7 +209,8 @@ def json_list(c: Column) -> Column:
 
 def plain_of_latex(c: Column) -> Column:
     """A text without formulas, commands and the signs of LaTeX; each leaves a blank."""
-    return F.translate(F.regexp_replace(F.regexp_replace(c, r"\$[^$]*\$", " "), r"\\[A-Za-z@]+\*?", " "), "\\{}$&~", "      ")
+    bare = F.when(F.contains(c, F.lit("$")) | F.contains(c, F.lit("\\")), F.regexp_replace(F.regexp_replace(c, r"\$[^$]*\$", " "), r"\\[A-Za-z@]+\*?", " ")).otherwise(c)
+    return F.translate(bare, "\\{}$&~", "      ")
 
 
 def content_tokens(c: Column) -> Column:
