@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from postmill.operators import reports
 from postmill.operators.identity import first_seen
 from postmill.plans.queries import query
-from postmill.session import read_table, scratch_folder
+from postmill.session import read_table, scratch_folder, spread
 from postmill.sources import pages, readers
 
 _JOBS_A_FILE = 500
@@ -164,12 +164,17 @@ def scan_files(spark, d):
 
 @query("scan_survivors", "SELECT 'local:' || (c_custkey % 40) AS stable_id, c_custkey::VARCHAR AS title FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey % 40 ORDER BY floor(log2(c_custkey + 1)), c_custkey) AS n FROM customer) WHERE n = 1")
 def scan_survivors(spark, d):
-    """Of rows with one id in files of very different sizes (each twice the one before) the first stays, whatever Spark reads first."""
+    """Of rows with one id in files of very different sizes the first stays, whatever Spark reads first.
+
+    Each level of files holds twice the rows of the one before; beyond some hundred jobs a level goes on in further files.
+    """
     place = F.col("c_custkey")
-    job = F.struct((place % 40).cast("string").alias("id"), place.cast("string").alias("title"), F.repeat(F.lit("x"), ((place * 37) % 3000).cast("int")).alias("description"))
-    jobs = read_table(spark, d, "customer").groupBy(F.floor(F.log2(place + 1)).alias("file")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", job.alias("j")))).alias("r"))
+    file = F.format_string("%04d-%010d", F.floor(F.log2(place + 1)), F.floor(place / _JOBS_A_FILE))
+    job = lambda k: F.struct((k % 40).cast("string").alias("id"), k.cast("string").alias("title"), F.repeat(F.lit("x"), ((k * 37) % 3000).cast("int")).alias("description"))
+    rows = spread(read_table(spark, d, "customer").select(place, file.alias("file")), "file")
+    jobs = rows.groupBy("file").agg(F.sort_array(F.collect_list(place)).alias("keys"))
     path = f"{scratch_folder(spark, 'feed')}/unequal"
-    jobs.select(F.format_string("%04d", F.col("file")).alias("file"), F.to_json(F.transform("r", lambda x: x["j"])).alias("value")).write.partitionBy("file").text(path)
+    jobs.select("file", F.to_json(F.transform("keys", job)).alias("value")).write.partitionBy("file").text(path)
     return readers.discover(spark, [("local", {"path": path}), ("local", {"path": path})])[0].select("stable_id", "title")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "postmill", **conf: str) -> SparkSession:
@@ -36,6 +37,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows that one task takes of a table for costly work on each of them.
+ROWS_A_TASK = 10_000
+
+
+def spread(rows: DataFrame, *by: str, least: int = ROWS_A_TASK) -> DataFrame:
+    """A stored table dealt into tasks by its number of rows, in turn or by hash of ``by``, before costly work on each row.
+
+    A compact file is one split, and so one task, however many rows it holds. Their count comes from the footers.
+    """
+    return rows.repartition(max(1, math.ceil(rows.count() / least)), *by)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` as the cluster names it.
 
