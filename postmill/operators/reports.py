@@ -90,7 +90,7 @@ def quiet_listed(quiet: DataFrame, top: int) -> DataFrame:
 def heatmap_lines(heat: DataFrame, top: int) -> DataFrame:
     """The first rows of a heat map as text of fixed width, and a line that counts the others."""
     n = heat.count()
-    line = F.concat(F.rpad("skill", 24, " "), F.lpad(F.col("jobs").cast("string"), 6, " "), F.lpad(F.format_number("weight", 2), 10, " "))
+    line = F.concat(F.rpad("skill", 24, " "), F.lpad(F.col("jobs").cast("string"), 6, " "), F.lpad(F.replace(F.format_number("weight", 2), F.lit(","), F.lit("")), 10, " "))
     shown = heat.orderBy(*heatmap_order()).limit(top).select(line.alias("line"))
     return shown if n <= top else shown.union(heat.sparkSession.range(1).select(F.lit(f"... {n - top} more").alias("line")))
 

@@ -68,7 +68,7 @@ def gap_heatmap(spark, d):
 )
 def gap_heatmap_top(spark, d):
     heat = _t(spark, d, "documents").groupBy(F.col("source").alias("skill")).agg(F.count("*").alias("jobs"), (F.count("*") * 1.0).cast("double").alias("weight"))
-    return reports.heatmap_lines(heat, 5).select(F.replace("line", F.lit(","), F.lit("")).alias("line"))
+    return reports.heatmap_lines(heat, 5)
 
 
 @query("latest_per_key", "SELECT user_id AS stable_id, max(event_id) AS id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1")

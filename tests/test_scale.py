@@ -20,3 +20,8 @@ def test_files_of_unequal_feed_are_bounded(spark, tmp_path):
     files = max(glob.glob(f"{checkpoint_root(spark).removeprefix('file:')}/feed-*/unequal"), key=lambda p: len(glob.glob(f"{p}/*/*.txt")))
     jobs = [open(f).read().count('"title"') for f in glob.glob(f"{files}/*/*.txt")]
     assert sum(jobs) == 3000 and max(jobs) <= 500
+
+
+def test_heat_map_lines_keep_their_width(spark):
+    heat = spark.createDataFrame([("a", 1234, 1234.0), ("b", 5, 2.5), ("c", 1, 0.5)], "skill string, jobs long, weight double")
+    assert [r.line for r in reports.heatmap_lines(heat, 2).collect()] == ["a".ljust(24) + "  1234" + "   1234.00", "b".ljust(24) + "     5" + "      2.50", "... 1 more"]
