@@ -4,8 +4,8 @@ import glob
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from postmill.operators import reports
-from postmill.plans import registry
 from postmill.session import checkpoint_root
 
 
@@ -15,7 +15,7 @@ def customers(spark, path, n):
 
 
 def test_files_of_unequal_feed_are_bounded(spark, tmp_path):
-    got = {r.stable_id: int(r.title) for r in registry.QUERIES["scan_survivors"](spark, customers(spark, tmp_path, 3000)).collect()}
+    got = {r.stable_id: int(r.title) for r in entry.registry.QUERIES["scan_survivors"](spark, customers(spark, tmp_path, 3000)).collect()}
     assert got == {f"local:{k % 40}": k for k in range(40, 0, -1)}
     files = max(glob.glob(f"{checkpoint_root(spark).removeprefix('file:')}/feed-*/unequal"), key=lambda p: len(glob.glob(f"{p}/*/*.txt")))
     jobs = [open(f).read().count('"title"') for f in glob.glob(f"{files}/*/*.txt")]
