@@ -12,7 +12,7 @@ from postmill.config import Lifecycle, Rubric, Rules
 from postmill.functions import money, temporal, text
 from postmill.operators import filters, identity, reports, score, select, state
 from postmill.plans.registry import ORACLE_SQL, QUERIES
-from postmill.session import read_table
+from postmill.session import read_table, spread
 from postmill.sources.readers import manual_row
 
 AS_OF = "1998-06-01"
@@ -34,6 +34,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return read_table(spark, d, name)
 
 
+def _costly(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table of typed columns for costly work on each row: its file is one split, so it is dealt by rows."""
+    return spread(_t(spark, d, name))
+
+
 def _day(c: str):
     return F.to_date(F.col(c))
 
@@ -330,13 +335,13 @@ def stipends(spark, d):
         .otherwise(F.concat(F.lit("Stipend: ₹"), n.cast("string"), F.lit(" LPA")))
     )
     s = money.stipend(words, 1200)
-    return _t(spark, d, "part").select("p_partkey", s.alias("s")).select("p_partkey", "s.state", "s.amount", "s.amount_high")
+    return _costly(spark, d, "part").select("p_partkey", s.alias("s")).select("p_partkey", "s.state", "s.amount", "s.amount_high")
 
 
 @query("stipend_labels", "SELECT p_partkey, '₹' || (CASE WHEN p_retailprice >= 1000 THEN printf('%d,%03d', floor(p_retailprice)::BIGINT // 1000, floor(p_retailprice)::BIGINT % 1000) ELSE floor(p_retailprice)::BIGINT::VARCHAR END) || '/mo ' || CASE WHEN floor(p_retailprice) >= 1200 THEN 'confirmed' ELSE 'below floor' END AS label FROM part")
 def stipend_labels(spark, d):
     words = F.concat(F.lit("Stipend: Rs. "), F.floor("p_retailprice").cast("string"), F.lit("/month"))
-    return _t(spark, d, "part").select("p_partkey", money.stipend_label(money.stipend(words, 1200)).alias("label"))
+    return _costly(spark, d, "part").select("p_partkey", money.stipend_label(money.stipend(words, 1200)).alias("label"))
 
 
 @query("salary_text", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Stipend: Unpaid' ELSE 'Stipend: ₹' || p_size || CASE WHEN p_partkey % 3 = 2 THEN ' - ₹' || (p_size + 1) ELSE '' END || ' per ' || CASE WHEN p_partkey % 2 = 0 THEN 'month' ELSE 'annum' END END AS said FROM part")

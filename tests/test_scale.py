@@ -25,3 +25,10 @@ def test_files_of_unequal_feed_are_bounded(spark, tmp_path):
 def test_heat_map_lines_keep_their_width(spark):
     heat = spark.createDataFrame([("a", 1234, 1234.0), ("b", 5, 2.5), ("c", 1, 0.5)], "skill string, jobs long, weight double")
     assert [r.line for r in reports.heatmap_lines(heat, 2).collect()] == ["a".ljust(24) + "  1234" + "   1234.00", "b".ljust(24) + "     5" + "      2.50", "... 1 more"]
+
+
+def test_costly_rows_are_dealt_by_number(spark, tmp_path):
+    customers(spark, tmp_path, 25_000)
+    spark.range(1, 25_001, numPartitions=1).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size"), F.lit(1500.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("stipends", "stipend_labels"):
+        assert entry.registry.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 3, name
