@@ -428,7 +428,7 @@ def page_text_lines(spark, d):
 @query("html_lines", "SELECT c_custkey, c_name || ' & <co>' || chr(10) || 'in ' || c_mktsegment || chr(10) || 'no. ' || c_nationkey || chr(10) || 'end' AS text FROM customer")
 def html_lines(spark, d):
     page = F.concat(F.lit("<html><style>p {}</style><h1>"), F.col("c_name"), F.lit(" &amp; &lt;co&gt;</h1><ul><li> in&nbsp; <b>"), F.col("c_mktsegment"), F.lit("</b></li>\n<li>no. "), F.col("c_nationkey").cast("string"), F.lit("</li></ul><script>var x = '<p>y</p>';</script>\n\n<br>end"))
-    return _t(spark, d, "customer").select("c_custkey", text.html_to_text(page).alias("text"))
+    return _costly(spark, d, "customer").select("c_custkey", text.html_to_text(page).alias("text"))
 
 
 @query("role_relevance", f"""SELECT doc_id, round(least(1, CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE 0 END + least(0.4, 0.1 * ({_bounded('the')}::INT + {_bounded('license')}::INT))), 4) AS relevance FROM documents""")

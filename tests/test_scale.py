@@ -30,5 +30,5 @@ def test_heat_map_lines_keep_their_width(spark):
 def test_costly_rows_are_dealt_by_number(spark, tmp_path):
     customers(spark, tmp_path, 25_000)
     spark.range(1, 25_001, numPartitions=1).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size"), F.lit(1500.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
-    for name in ("stipends", "stipend_labels"):
+    for name in ("stipends", "stipend_labels", "html_lines"):
         assert entry.registry.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 3, name
