@@ -126,7 +126,7 @@ def feed_local(spark, d):
 @query("feed_cards", "SELECT c_nationkey::VARCHAR AS job_id, 'New ' || c_mktsegment AS title, c_name AS company, CASE WHEN c_custkey % 2 = 0 THEN 'Remote' ELSE 'Pune' END AS location, 'https://www.linkedin.com/v/' || c_nationkey AS url, '2024-01-01' AS published_at, CASE WHEN c_custkey % 2 = 0 THEN true END AS is_remote FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 3, c_custkey) AS n FROM customer) WHERE n = 1")
 def feed_cards(spark, d):
     card = F.concat(F.lit('<div data-entity-urn="urn:li:jobPosting:'), F.col(_NAT).cast("string"), F.lit('"><a class="base-card__full-link" href="/v/'), F.col(_NAT).cast("string"), F.lit('?x=1"><span class="sr-only">seen by readers of screens</span></a><img src="x"><h3 class="base-search-card__title"> <span>New<br></span> '), F.col(_SEG), F.lit(' </h3><h4 class="base-search-card__subtitle">'), F.col(_NAME), F.lit('</h4><span class="job-search-card__location">'), _even("c_custkey", "Remote", "Pune"), F.lit('</span><time datetime="2024-01-01"></time></div>'))
-    pages = read_table(spark, d, "customer").select((F.col("c_custkey") % 3).alias("query_ord"), F.col("c_custkey").alias("page_ord"), card.alias("html"))
+    pages = spread(read_table(spark, d, "customer")).select((F.col("c_custkey") % 3).alias("query_ord"), F.col("c_custkey").alias("page_ord"), card.alias("html"))
     return readers.card_postings(pages).select("job_id", "title", "company", "location", "url", "published_at", "is_remote")
 
 

@@ -32,3 +32,8 @@ def test_costly_rows_are_dealt_by_number(spark, tmp_path):
     spark.range(1, 25_001, numPartitions=1).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size"), F.lit(1500.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
     for name in ("stipends", "stipend_labels", "html_lines"):
         assert entry.registry.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 3, name
+
+
+def test_cards_are_read_in_several_tasks(spark, tmp_path):
+    plan = entry.registry.QUERIES["feed_cards"](spark, customers(spark, tmp_path, 25_000))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Repartition 3") > plan.index("Cards")  # beneath the table function
