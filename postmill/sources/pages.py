@@ -15,7 +15,8 @@ def page_order(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(query, token, page_no, status) of the pages (query, token, next_token) of several searches.
 
     List ranking by pointer doubling: each page points to the one before it, and in each round to where that one
-    points, so that n pages take log2(n) rounds of one join, in whatever order they landed. A page whose chain begins with the
+    points, so that n pages take log2(n) rounds of one join, in whatever order they landed. Only pages that do not yet point to
+    their first join, which no two do on one page; both sides are shuffled, as a broadcast would pass all pages through the driver. A page whose chain begins with the
     empty token is ``ok`` and counted from 0; where a page before it has not landed it is in a ``gap``, counted
     from that; pages that name each other in a ring are a ``cycle`` without a number.
 
@@ -26,7 +27,7 @@ def page_order(spark: SparkSession, pages: DataFrame) -> DataFrame:
     own = pages.select("query", text("token"), text("next_token")).groupBy("query", "token").agg(F.max("next_token").alias("next_token"))
     before = own.where("next_token <> ''").groupBy("query", F.col("next_token").alias("token")).agg(F.min("token").alias("up"))
     # a first page points to itself at distance 0
-    now = own.select("query", "token").join(before, ["query", "token"], "left").select("query", "token", F.coalesce("up", "token").alias("up"), F.col("up").isNotNull().cast("long").alias("dist"), F.col("up").isNull().alias("settled"))
+    now = own.select("query", "token").join(before.hint("merge"), ["query", "token"], "left").select("query", "token", F.coalesce("up", "token").alias("up"), F.col("up").isNotNull().cast("long").alias("dist"), F.col("up").isNull().alias("settled"))
     rounds = None
     for i in range(64):
         path = f"{root}/{i}"
@@ -37,8 +38,9 @@ def page_order(spark: SparkSession, pages: DataFrame) -> DataFrame:
         if not open_ or i > rounds:
             break
         to = now.select("query", F.col("token").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("settled").alias("settled2"))
-        step = now.join(to, ["query", "up"], "left")
-        now = step.select("query", "token", F.coalesce("up2", "up").alias("up"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), (F.col("settled") | F.coalesce("settled2", F.lit(True))).alias("settled"))
+        step = now.where(~F.col("settled")).join(to.hint("merge"), ["query", "up"], "left")
+        step = step.select("query", "token", F.coalesce("up2", "up").alias("up"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), F.coalesce("settled2", F.lit(True)).alias("settled"))
+        now = now.where("settled").unionByName(step)
     status = F.when(~F.col("settled"), "cycle").when(F.col("up") == "", "ok").otherwise("gap")
     return now.select("query", "token", F.when(F.col("settled"), F.col("dist")).alias("page_no"), status.alias("status"))
 

@@ -2,11 +2,13 @@
 
 import glob
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from postmill.operators import reports
 from postmill.session import checkpoint_root
+from postmill.sources import pages
 
 
 def customers(spark, path, n):
@@ -37,3 +39,11 @@ def test_costly_rows_are_dealt_by_number(spark, tmp_path):
 def test_cards_are_read_in_several_tasks(spark, tmp_path):
     plan = entry.registry.QUERIES["feed_cards"](spark, customers(spark, tmp_path, 25_000))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Repartition 3") > plan.index("Cards")  # beneath the table function
+
+
+def test_page_order_broadcasts_no_pages(spark, monkeypatch):
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, path))[1])
+    rows = spark.createDataFrame([("q", str(i) if i else "", str(i + 1)) for i in range(20)], "query string, token string, next_token string")
+    assert {(r.page_no, r.status) for r in pages.page_order(spark, rows).collect()} == {(i, "ok") for i in range(20)}
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
