@@ -6,7 +6,7 @@ the number of files grows with the table, not their size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postmill.operators import reports
@@ -31,13 +31,30 @@ def _even(column: str, yes, no=None) -> Column:
     return F.when(F.col(column) % 2 == 0, yes).otherwise(no)
 
 
-def _feed(spark: SparkSession, d: str, name: str, job: Column, wrap: str | None, a_file: int = _JOBS_A_FILE, text=lambda whole, bare: whole) -> str:
-    """Files of one JSON value each: an object with the jobs under ``wrap``, or the jobs alone; ``text`` may choose between both, or spoil them."""
-    rows = read_table(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / a_file).alias("file")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", job.alias("j")))).alias("r"))
+def by_file(table: DataFrame, file: Column) -> GroupedData:
+    """A table grouped by the file that a row goes into; many tasks take some files each."""
+    return spread(table.withColumn("file", file), "file").groupBy("file")
+
+
+def put_files(files: DataFrame, path: str) -> None:
+    """A file for each row (file, value), a thousand in a folder: a folder for each would be made, moved and listed alone."""
+    files.select(F.floor(F.col("file") / 1000).alias("folder"), "value").write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+
+
+def _feed(spark: SparkSession, d: str, name: str, job: Column, wrap: str | None, a_file: int = _JOBS_A_FILE, text=lambda whole, bare: whole, named: bool = False) -> str:
+    """Files of one JSON value each: an object with the jobs under ``wrap``, or the jobs alone; ``text`` may choose between both, or spoil them.
+
+    Where files must be known by number (``named``), each has a folder of that name.
+    """
+    rows = by_file(read_table(spark, d, "customer"), F.floor(F.col("c_custkey") / a_file)).agg(F.sort_array(F.collect_list(F.struct("c_custkey", job.alias("j")))).alias("r"))
     jobs = F.transform("r", lambda x: x["j"])
     bare = F.to_json(jobs)
     path = f"{scratch_folder(spark, 'feed')}/{name}"
-    rows.select("file", text(F.to_json(F.struct(jobs.alias(wrap))) if wrap else bare, bare).alias("value")).write.partitionBy("file").text(path)
+    files = rows.select("file", text(F.to_json(F.struct(jobs.alias(wrap))) if wrap else bare, bare).alias("value"))
+    if named:
+        files.write.partitionBy("file").text(path)
+    else:
+        put_files(files, path)
     return path
 
 
@@ -157,7 +174,7 @@ def _simple(prefix: str = "", title: Column | None = None) -> Column:
 def scan_files(spark, d):
     """Files of both forms, every third cut off in its middle, and one that is missing."""
     spoilt = lambda whole, bare: F.element_at(F.transform(F.array(whole), lambda w: F.when(F.col("file") % 3 == 1, F.substring(w, F.lit(1), F.floor(F.length(w) / 2).cast("int"))).when(F.col("file") % 3 == 0, w).otherwise(bare)), 1)
-    path = _feed(spark, d, "mixed", _simple(), "jobs", 50, spoilt)
+    path = _feed(spark, d, "mixed", _simple(), "jobs", 50, spoilt, named=True)
     found = readers.scan_feeds(spark, [("local", {"path": [path, f"{path}-gone"]}), ("greenhouse", {"path": path, "company": "C"})])
     return found.files.select("source", F.regexp_extract("file", r"file=(\d+)", 1).alias("file"), "status", "rows", "error")
 
@@ -193,7 +210,7 @@ def scan_queries(spark, d):
     for name, wrap, job in (("unstop", "data", F.struct(_key().alias("id"), F.col(_SEG).alias("title"))), ("himalayas", "jobs", F.struct(_key().alias("guid"), F.col(_SEG).alias("title"))), ("themuse", "results", F.struct(_key().alias("id"), F.col(_SEG).alias("name")))):
         root = f"{scratch_folder(spark, 'queries')}/{name}"
         for label, rows in (("generic", "c_nationkey < 10"), ("ml", "c_nationkey < 15"), ("again", "c_nationkey < 12"), ("rest", "c_nationkey < 20")):
-            table.where(rows).groupBy(F.floor(F.col("c_custkey") / _JOBS_A_FILE).alias("file")).agg(F.to_json(F.struct(F.collect_list(job).alias(wrap))).alias("value")).write.partitionBy("file").text(f"{root}/{label}")
+            put_files(by_file(table.where(rows), F.floor(F.col("c_custkey") / _JOBS_A_FILE)).agg(F.to_json(F.struct(F.collect_list(job).alias(wrap))).alias("value")), f"{root}/{label}")
         feeds.append((name, {"queries": [(q, f"{root}/{q}") for q in ("generic", "ml", "again", "rest", "gone")]}))
     return readers.scan_feeds(spark, feeds).queries.select("source", "query", "status", "new_rows")
 

@@ -1,6 +1,7 @@
 """What keeps the queries' work and files in proportion: small cases that stand for larger tables."""
 
 import glob
+import os
 
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
@@ -47,3 +48,12 @@ def test_page_order_broadcasts_no_pages(spark, monkeypatch):
     rows = spark.createDataFrame([("q", str(i) if i else "", str(i + 1)) for i in range(20)], "query string, token string, next_token string")
     assert {(r.page_no, r.status) for r in pages.page_order(spark, rows).collect()} == {(i, "ok") for i in range(20)}
     assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_feed_files_share_folders(spark, tmp_path):
+    assert {r.status for r in entry.registry.QUERIES["scan_queries"](spark, customers(spark, tmp_path, 3000)).where("query <> 'gone'").collect()} == {"ok"}
+    root = checkpoint_root(spark).removeprefix("file:")
+    path = max(glob.glob(f"{root}/queries-*/unstop/rest"), key=os.path.getmtime)
+    files = glob.glob(f"{path}/*/*.txt")
+    assert len(files) == 7 and len({os.path.dirname(f) for f in files}) == 1  # keys 1 to 3000, 500 a file
+    assert all(len(open(f).read().splitlines()) == 1 for f in files)
