@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.functions.text import let
+
 #: Where a row was read: query of its source, file in the order of paths, page, position. Sorts as the scan goes.
 PLACE = "struct<query:bigint,file:string,page:bigint,pos:bigint>"
 MALFORMED, UNREADABLE, MISSING = "malformed JSON", "unreadable", "not found"
@@ -28,16 +30,24 @@ def parsed(text: Column, key: str | None, item: str) -> Column:
     An object without the key has no items. A field of another type is null; a text that is no such value, that is cut
     off or followed by another, or whose items are not objects has an error.
     """
-    text = F.ltrim(F.regexp_replace(text, "^﻿", ""), F.lit(" \t\r\n"))
-    bare = F.from_json(text, f"array<{item}>")
-    outer = F.from_json(text, f"struct<`{key or 'items'}`:array<{item}>,{_BROKEN}:string>", {"columnNameOfCorruptRecord": _BROKEN})
-    held = outer[key or "items"]
-    items = F.when(text.startswith("["), bare).when(F.lit(key is not None), held)
-    whole = F.when(text.startswith("["), bare.isNotNull()).otherwise(F.lit(key is not None) & text.startswith("{") & outer.isNotNull() & (held.isNotNull() | outer[_BROKEN].isNull()))
-    # in brackets, a text is an array of one if nothing follows its value, which the parser alone would pass over
-    single = F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
-    good = whole & single & ~F.coalesce(F.exists(items, lambda x: x.isNull()), F.lit(False))
-    return F.struct(F.when(good, items).alias("items"), F.when(~F.coalesce(good, F.lit(False)), MALFORMED).alias("error"))
+
+    def read(t: Column) -> Column:
+        """What a text is, parsed once, as an array or as an object."""
+        array = t.startswith("[")
+        bare = F.when(array, F.from_json(t, f"array<{item}>"))
+        outer = F.when(~array, F.from_json(t, f"struct<`{key or 'items'}`:array<{item}>,{_BROKEN}:string>", {"columnNameOfCorruptRecord": _BROKEN}))
+        # in brackets, a text is an array of one if nothing follows its value, which the parser alone would pass over
+        single = F.coalesce(F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1, F.lit(False))
+        return F.struct(array.alias("array"), t.startswith("{").alias("object"), bare.alias("bare"), outer.alias("outer"), single.alias("single"))
+
+    def judged(r: Column) -> Column:
+        held = r["outer"][key or "items"]
+        items = F.when(r["array"], r["bare"]).when(F.lit(key is not None), held)
+        whole = F.when(r["array"], r["bare"].isNotNull()).otherwise(F.lit(key is not None) & r["object"] & r["outer"].isNotNull() & (held.isNotNull() | r["outer"][_BROKEN].isNull()))
+        good = whole & r["single"] & ~F.coalesce(F.exists(items, lambda x: x.isNull()), F.lit(False))
+        return F.struct(F.when(good, items).alias("items"), F.when(~F.coalesce(good, F.lit(False)), MALFORMED).alias("error"))
+
+    return let(let(F.ltrim(F.regexp_replace(text, "^﻿", ""), F.lit(" \t\r\n")), read), judged)
 
 
 def _named(path: Column) -> Column:
@@ -45,16 +55,24 @@ def _named(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:///")
 
 
-def items(spark: SparkSession, path: str | list[str], key: str | None, item: str) -> DataFrame:
-    """(file, error, pos, j): a row for each item of each file, and one without an item for a file that has none or is broken."""
-    texts = spark.read.option("ignoreCorruptFiles", "true").text(path, wholetext=True).select(_named(F.col("_metadata.file_path")).alias("file"), "value")
+def items(spark: SparkSession, path: str | list[str] | DataFrame, key: str | None, item: str) -> DataFrame:
+    """(file, error, pos, j): a row for each item of each file, and one without an item for a file that has none or is broken.
+
+    ``path`` may be the files as :func:`whole_files` has them, which are then not listed again.
+    """
+    texts = (path if isinstance(path, DataFrame) else whole_files(spark, path)).select(_named(F.col("_metadata.file_path")).alias("file"), "value")
     read = texts.select("file", parsed(F.col("value"), key, item).alias("p"))
     return read.select("file", "p.error", F.posexplode_outer("p.items").alias("pos", "j"))
 
 
-def listed(spark: SparkSession, path: str) -> DataFrame:
+def whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A row for each file, its text; Spark lists the path now."""
+    return spark.read.option("ignoreCorruptFiles", "true").text(path, wholetext=True)
+
+
+def listed(spark: SparkSession, files: DataFrame) -> DataFrame:
     """(file): what there is to read, empty files included, which no reader sees; the list that Spark itself keeps of the path."""
-    return spark.createDataFrame([(f,) for f in spark.read.text(path).inputFiles()], "file string").select(_named(F.col("file")).alias("file"))
+    return spark.createDataFrame([(f,) for f in files.inputFiles()], "file string").select(_named(F.col("file")).alias("file"))
 
 
 def feed(key: str | None, item: str, *, needs_rows: bool = False):
@@ -101,7 +119,15 @@ def scan(spark: SparkSession, feeds: list[tuple[str, dict]], readers: dict[str,
     A reader without a key (of stored pages) takes its own options. The union of the feeds is one
     plan; counting files and queries are two more jobs over it, whatever the number of feeds.
     """
-    tasks, parts, counts = [], [], []
+    tasks, parts, counts, known = [], [], [], {}
+
+    def there(path: str) -> tuple[DataFrame, DataFrame]:
+        """A path's files and their names, listed once however many feeds name it."""
+        if path not in known:
+            files = whole_files(spark, path)
+            known[path] = files, listed(spark, files)
+        return known[path]
+
     for f, (name, options) in enumerate(feeds):
         own = {k: v for k, v in options.items() if k not in ("enabled", "path", "queries")}
         queries = options.get("queries") or [("", options.get("path"))]
@@ -123,17 +149,17 @@ def scan(spark: SparkSession, feeds: list[tuple[str, dict]], readers: dict[str,
                 found, gone = [], []
                 for one in [path] if isinstance(path, str) else list(path or []):
                     try:
-                        there = listed(spark, one)
+                        names = there(one)[1]
                         found.append(one)
                     except AnalysisException:
                         gone.append(one)
                     else:
-                        counts.append(there.select(F.lit(f).alias("feed"), F.lit(q).alias("query_ord"), "file", F.lit(UNREADABLE).alias("error"), F.lit(0).alias("n")))
+                        counts.append(names.select(F.lit(f).alias("feed"), F.lit(q).alias("query_ord"), "file", F.lit(UNREADABLE).alias("error"), F.lit(0).alias("n")))
                 if gone or not found:
                     counts += [spark.createDataFrame([(f, q, one, MISSING, 0) for one in gone or [""]], "feed int, query_ord int, file string, error string, n int")]
                 try:
                     if found:
-                        read = items(spark, found, reader.key, reader.item)
+                        read = items(spark, there(found[0])[0] if len(found) == 1 else found, reader.key, reader.item)
                         parts.append(_of(reader.shape(read.where("j is not null").select("file", "pos", "j.*"), **own), f, q))
                         counts.append(read.select(F.lit(f).alias("feed"), F.lit(q).alias("query_ord"), "file", F.coalesce("error", F.lit("")).alias("error"), F.col("j").isNotNull().cast("int").alias("n")))
                 except Exception as e:  # noqa: BLE001

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from postmill.operators import reports
 from postmill.session import checkpoint_root
-from postmill.sources import pages
+from postmill.sources import pages, scan
 
 
 def customers(spark, path, n):
@@ -57,3 +57,10 @@ def test_feed_files_share_folders(spark, tmp_path):
     files = glob.glob(f"{path}/*/*.txt")
     assert len(files) == 7 and len({os.path.dirname(f) for f in files}) == 1  # keys 1 to 3000, 500 a file
     assert all(len(open(f).read().splitlines()) == 1 for f in files)
+
+
+def test_a_path_is_listed_once(spark, tmp_path, monkeypatch):
+    paths, real = [], scan.whole_files
+    monkeypatch.setattr(scan, "whole_files", lambda spark, path: (paths.append(path), real(spark, path))[1])
+    assert entry.registry.QUERIES["discovered"](spark, customers(spark, tmp_path, 200)).count() == 200
+    assert len(paths) == len(set(paths)) == 2
