@@ -64,3 +64,9 @@ def test_a_path_is_listed_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(scan, "whole_files", lambda spark, path: (paths.append(path), real(spark, path))[1])
     assert entry.registry.QUERIES["discovered"](spark, customers(spark, tmp_path, 200)).count() == 200
     assert len(paths) == len(set(paths)) == 2
+
+
+def test_a_text_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"jobs": [{"id": "1"}]}')
+    plan = scan.items(spark, f"{tmp_path}/a.json", "jobs", "struct<id:string>")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 2  # as an array or as an object, once each
