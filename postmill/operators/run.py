@@ -11,6 +11,7 @@ from postmill.config import Rubric, Rules
 from postmill.functions.temporal import deadline, open_state
 from postmill.operators.filters import filter_postings
 from postmill.operators.score import match_postings, shortlist
+from postmill.session import scratch_folder
 from postmill.sources.readers import scan_feeds
 from postmill.sources.scan import Scan
 from postmill.sources.store import SnapshotStore
@@ -63,8 +64,8 @@ def finish_run(run: DataFrame, stats: dict[str, int], at: Column) -> DataFrame:
 def run(spark: SparkSession, feeds: list[tuple[str, dict]], store: SnapshotStore, known: Column, as_of: Column, *, runs: SnapshotStore | None = None, mode: str = "run", limit: int | None = None, rules: Rules | None = None, rubric: Rubric | None = None) -> Run:
     """Scan the feeds, judge all postings, bring them into the store, and pick the shortlist.
 
-    Counters are observed in the pass that writes the store's buckets, so nothing is computed twice for them; the shortlist and the
-    rows of the result are then read from the store. first_seen and the score of a known
+    Judged rows are kept in the shared folder first, as the store reads them twice: for the buckets that they fall into, and to
+    write these, in the pass of which the counters are observed. The shortlist and the rows of the result are then read from the store. first_seen and the score of a known
     posting are kept where this run has none. ``runs`` takes the run's row at its start, and again, with counters, at its end: a run that
     dies leaves a row without an end.
     """
@@ -78,6 +79,9 @@ def run(spark: SparkSession, feeds: list[tuple[str, dict]], store: SnapshotStore
         "stable_id", *KEPT, "eligible", "reject_reasons", F.col("open.state").alias("open_state"), F.col("window.label").alias("window_label"), F.col("stipend.state").alias("stipend_state"),
         "score", "band", F.col("coverage.missing").alias("gaps"), "shortlisted", as_of.cast("timestamp").alias("first_seen"), as_of.cast("timestamp").alias("updated_at"),
     )
+    kept = f"{scratch_folder(spark, 'judged')}/rows"
+    stored.write.parquet(kept)
+    stored = spark.read.schema(stored.schema).parquet(kept)
     counters = {"discovered": F.count(F.lit(1)), "eligible": F.count_if("eligible"), "shortlisted": F.count_if("shortlisted"), "strong": F.count_if(F.col("shortlisted") & (F.col("band") == "strong"))}
     told = store.upsert(stored, observe=counters, keep=("first_seen",), coalesce=("score", "band"), fill_empty=("deadline",))
     outcomes = {r["status"]: r["n"] for r in found.outcomes.groupBy("status").agg(F.count("*").alias("n")).collect()}

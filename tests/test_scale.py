@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from postmill.operators import reports
+from postmill.operators import run as runs
 from postmill.session import checkpoint_root
 from postmill.sources import pages, scan
+from postmill.sources.store import SnapshotStore
 
 
 def customers(spark, path, n):
@@ -70,3 +72,11 @@ def test_a_text_is_parsed_once(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"jobs": [{"id": "1"}]}')
     plan = scan.items(spark, f"{tmp_path}/a.json", "jobs", "struct<id:string>")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 2  # as an array or as an object, once each
+
+
+def test_run_judges_each_row_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.json").write_text('[{"id": "1", "title": "Intern", "description": "Unpaid"}]')
+    plans, upsert = [], SnapshotStore.upsert
+    monkeypatch.setattr(SnapshotStore, "upsert", lambda self, new, **rules: (plans.append(new._jdf.queryExecution().optimizedPlan().toString()), upsert(self, new, **rules))[1])
+    done = runs.run(spark, [("local", {"path": f"{tmp_path}/a.json"})], SnapshotStore(spark, f"{tmp_path}/p", "stable_id", 2), F.array(F.lit("SQL")), F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    assert done.stats["rows"] == 1 and "parquet" in plans[0] and "from_json" not in plans[0]  # the store reads judged rows, not the feed
