@@ -260,7 +260,7 @@ def deadline_status(spark, d):
         .when(n == 3, F.concat(F.lit("Applications open January 1, 1990 to "), F.date_format(day, "MMMM d yyyy")))
         .otherwise(F.concat(F.lit("Applications close on "), F.date_format(day, "MMM d, yyyy"), F.lit("!")))
     )
-    rows = _t(spark, d, "orders").select("o_orderkey", temporal.deadline(words).alias("deadline"))
+    rows = _costly(spark, d, "orders").select("o_orderkey", temporal.deadline(words).alias("deadline"))
     return rows.withColumn("status", temporal.deadline_status(F.col("deadline"), F.lit(AS_OF).cast("date")))
 
 
@@ -282,7 +282,7 @@ def staleness(spark, d):
       (CASE lo WHEN 5 THEN '5' ELSE strftime(make_date(2000, lo, 1), '%b') END) || '-' || (CASE hi WHEN 5 THEN '5' ELSE strftime(make_date(2000, hi, 1), '%b') END) || ' ' || y AS label FROM r""",
 )
 def month_window(spark, d):
-    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.month("l_shipdate").alias("a"), ((F.month("l_shipdate") + F.col("l_linenumber") - 1) % 12 + 1).alias("b"), F.year("l_shipdate").cast("string").alias("y"))
+    rows = _costly(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.month("l_shipdate").alias("a"), ((F.month("l_shipdate") + F.col("l_linenumber") - 1) % 12 + 1).alias("b"), F.year("l_shipdate").cast("string").alias("y"))
     name = lambda c: F.date_format(F.make_date(F.lit(2000), F.col(c), F.lit(1)), "MMMM")
     by_name = F.concat(F.lit("Join us "), name("a"), F.lit(" to "), name("b"), F.lit(" "), F.col("y"), F.lit(" for an internship"))
     by_number = F.concat(F.lit("Term "), F.lpad(F.col("a").cast("string"), 2, "0"), F.lit("/"), F.col("y"), F.lit(" - "), F.col("b").cast("string"), F.lit("/"), F.col("y"))
@@ -309,7 +309,7 @@ def open_state(spark, d):
     )
     words = F.when(n == 0, "Applications are now closed.").otherwise("Join the team.")
     o = temporal.open_state(words, F.lit(""), raw, F.lit(AS_OF).cast("timestamp"), F.when(n == 2, "unstop").otherwise("lever"))
-    return _t(spark, d, "orders").select("o_orderkey", o.alias("o")).select("o_orderkey", "o.state", "o.reason")
+    return _costly(spark, d, "orders").select("o_orderkey", o.alias("o")).select("o_orderkey", "o.state", "o.reason")
 
 
 # ---- money ----
@@ -453,13 +453,13 @@ PLACES = [
 def location_ladder(spark, d):
     n = F.col("o_orderkey") % 16
     pick = lambda j, kind: F.element_at(F.array(*(F.lit(p[j]).cast(kind) for p in PLACES)), (n + 1).cast("int"))
-    rows = _t(spark, d, "orders").select("o_orderkey", pick(0, "string").alias("location"), pick(1, "boolean").alias("is_remote"), pick(2, "string").alias("description"))
+    rows = _costly(spark, d, "orders").select("o_orderkey", pick(0, "string").alias("location"), pick(1, "boolean").alias("is_remote"), pick(2, "string").alias("description"))
     return filters.with_place(rows, Rules()).select("o_orderkey", "place.score", "place.eligible", "place.auto_ok")
 
 
 def _postings(spark, d) -> DataFrame:
     k = F.col("o_orderkey")
-    return _t(spark, d, "orders").select(
+    return _costly(spark, d, "orders").select(
         k.alias("id"),
         F.when(k % 2 == 0, "Data Science Intern").when(k % 3 == 0, "Senior Engineer").otherwise("Analyst").alias("title"),
         F.lit("Acme").alias("company"),
@@ -522,7 +522,7 @@ def _matches(spark, d) -> DataFrame:
     k, t = key % 3, F.floor(key / 3) % 2
     about = F.lit("We do machine learning in Python.\nResponsibilities:\n")
     body = F.when(k == 0, "Docker, SQL and Flask. January to June 2026").when(k == 1, "Be there. July to September 2026").otherwise("AWS, Azure, Linux, React, GraphQL, Kubernetes, Java, Agile. Unpaid")
-    rows = _t(spark, d, "orders").select(
+    rows = _costly(spark, d, "orders").select(
         key.alias("id"), key.cast("string").alias("stable_id"), F.when(t == 0, "ML Intern, Deep Learning").otherwise("Intern").alias("title"), F.lit("Acme").alias("company"), F.lit("Pune").alias("location"), F.lit("Internship").alias("employment_type"),
         F.concat(about, body).alias("description"), F.when(k == 1, True).alias("is_remote"), F.struct(F.lit("unverified").alias("state"), F.lit("").alias("reason")).alias("open"),
     )

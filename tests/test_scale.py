@@ -80,3 +80,9 @@ def test_run_judges_each_row_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(SnapshotStore, "upsert", lambda self, new, **rules: (plans.append(new._jdf.queryExecution().optimizedPlan().toString()), upsert(self, new, **rules))[1])
     done = runs.run(spark, [("local", {"path": f"{tmp_path}/a.json"})], SnapshotStore(spark, f"{tmp_path}/p", "stable_id", 2), F.array(F.lit("SQL")), F.lit("2026-01-01 00:00:00").cast("timestamp"))
     assert done.stats["rows"] == 1 and "parquet" in plans[0] and "from_json" not in plans[0]  # the store reads judged rows, not the feed
+
+
+def test_filters_deal_a_compact_table_by_rows(spark, tmp_path):
+    spark.range(1, 25_001, numPartitions=1).select(F.col("id").alias("o_orderkey"), F.lit("F").alias("o_orderstatus"), F.lit(1.0).alias("o_totalprice"), F.lit("1-URGENT").alias("o_orderpriority"), F.timestamp_seconds("id").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("source_funnel", "location_ladder"):
+        assert "Repartition 3" in entry.registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().logical().toString(), name
