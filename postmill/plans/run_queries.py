@@ -28,7 +28,7 @@ def _run(spark: SparkSession, d: str) -> tuple[runs.Run, DataFrame]:
         F.concat(F.lit("We do machine learning in Python.\nResponsibilities:\n"), body, late).alias("description"), F.when(k == 1, True).alias("is_remote"),
     )
     root = scratch_folder(spark, "run")
-    put_files(by_file(read_table(spark, d, "orders"), F.floor(key / 5000)).agg(F.to_json(F.collect_list(job)).alias("value")), f"{root}/feed")
+    put_files(by_file(read_table(spark, d, "orders"), "o_orderkey", 5000).agg(F.to_json(F.collect_list(job)).alias("value")), f"{root}/feed")
     known = F.array(F.lit("Docker"), F.lit("SQL"), F.lit("Machine Learning"))
     store, log = SnapshotStore(spark, f"{root}/postings", "stable_id", 16), SnapshotStore(spark, f"{root}/runs", "id", 1)
     feeds = [("local", {"path": f"{root}/feed"}), ("local", {"path": f"{root}/gone"}), ("lever", {"enabled": False, "company": "C"})]

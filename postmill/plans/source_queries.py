@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from postmill.operators import reports
 from postmill.operators.identity import first_seen
 from postmill.plans.queries import query
-from postmill.session import read_table, scratch_folder, spread
+from postmill.session import ROWS_A_TASK, read_table, scratch_folder, spread
 from postmill.sources import pages, readers
 
 _JOBS_A_FILE = 500
@@ -31,14 +31,20 @@ def _even(column: str, yes, no=None) -> Column:
     return F.when(F.col(column) % 2 == 0, yes).otherwise(no)
 
 
-def by_file(table: DataFrame, file: Column) -> GroupedData:
-    """A table grouped by the file that a row goes into; many tasks take some files each."""
-    return spread(table.withColumn("file", file), "file").groupBy("file")
+def by_file(table: DataFrame, key: str, a_file: int) -> GroupedData:
+    """A table grouped by folder and file that a row goes into by its number ``key``, ``a_file`` numbers a file.
+
+    A folder takes the rows of one task, and a task takes whole folders: then the driver moves folders, not the files of each task in each folder.
+    Twice as many ranges are asked for as there are folders, as then each folder becomes a range of its own.
+    """
+    file = F.floor(F.col(key) / a_file)
+    rows = table.withColumns({"file": file, "folder": F.floor(file / max(1, ROWS_A_TASK // a_file))})
+    return spread(rows, "folder", least=ROWS_A_TASK // 2, ranged=True).groupBy("folder", "file")
 
 
 def put_files(files: DataFrame, path: str) -> None:
-    """A file for each row (file, value), a thousand in a folder: a folder for each would be made, moved and listed alone."""
-    files.select(F.floor(F.col("file") / 1000).alias("folder"), "value").write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+    """A file for each row (folder, value), many in a folder: a folder for each would be made, moved and listed alone."""
+    files.select("folder", "value").write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
 
 
 def _feed(spark: SparkSession, d: str, name: str, job: Column, wrap: str | None, a_file: int = _JOBS_A_FILE, text=lambda whole, bare: whole, named: bool = False) -> str:
@@ -46,13 +52,13 @@ def _feed(spark: SparkSession, d: str, name: str, job: Column, wrap: str | None,
 
     Where files must be known by number (``named``), each has a folder of that name.
     """
-    rows = by_file(read_table(spark, d, "customer"), F.floor(F.col("c_custkey") / a_file)).agg(F.sort_array(F.collect_list(F.struct("c_custkey", job.alias("j")))).alias("r"))
+    rows = by_file(read_table(spark, d, "customer"), "c_custkey", a_file).agg(F.sort_array(F.collect_list(F.struct("c_custkey", job.alias("j")))).alias("r"))
     jobs = F.transform("r", lambda x: x["j"])
     bare = F.to_json(jobs)
     path = f"{scratch_folder(spark, 'feed')}/{name}"
-    files = rows.select("file", text(F.to_json(F.struct(jobs.alias(wrap))) if wrap else bare, bare).alias("value"))
+    files = rows.select("folder", "file", text(F.to_json(F.struct(jobs.alias(wrap))) if wrap else bare, bare).alias("value"))
     if named:
-        files.write.partitionBy("file").text(path)
+        files.drop("folder").write.partitionBy("file").text(path)
     else:
         put_files(files, path)
     return path
@@ -210,7 +216,7 @@ def scan_queries(spark, d):
     for name, wrap, job in (("unstop", "data", F.struct(_key().alias("id"), F.col(_SEG).alias("title"))), ("himalayas", "jobs", F.struct(_key().alias("guid"), F.col(_SEG).alias("title"))), ("themuse", "results", F.struct(_key().alias("id"), F.col(_SEG).alias("name")))):
         root = f"{scratch_folder(spark, 'queries')}/{name}"
         for label, rows in (("generic", "c_nationkey < 10"), ("ml", "c_nationkey < 15"), ("again", "c_nationkey < 12"), ("rest", "c_nationkey < 20")):
-            put_files(by_file(table.where(rows), F.floor(F.col("c_custkey") / _JOBS_A_FILE)).agg(F.to_json(F.struct(F.collect_list(job).alias(wrap))).alias("value")), f"{root}/{label}")
+            put_files(by_file(table.where(rows), "c_custkey", _JOBS_A_FILE).agg(F.to_json(F.struct(F.collect_list(job).alias(wrap))).alias("value")), f"{root}/{label}")
         feeds.append((name, {"queries": [(q, f"{root}/{q}") for q in ("generic", "ml", "again", "rest", "gone")]}))
     return readers.scan_feeds(spark, feeds).queries.select("source", "query", "status", "new_rows")
 

@@ -41,12 +41,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
 ROWS_A_TASK = 10_000
 
 
-def spread(rows: DataFrame, *by: str, least: int = ROWS_A_TASK) -> DataFrame:
-    """A stored table dealt into tasks by its number of rows, in turn or by hash of ``by``, before costly work on each row.
+def spread(rows: DataFrame, *by: str, least: int = ROWS_A_TASK, ranged: bool = False) -> DataFrame:
+    """A stored table dealt into tasks by its number of rows, in turn, by hash or (``ranged``) by ranges of ``by``, before costly work on each row.
 
     A compact file is one split, and so one task, however many rows it holds. Their count comes from the footers.
     """
-    return rows.repartition(max(1, math.ceil(rows.count() / least)), *by)
+    n = max(1, math.ceil(rows.count() / least))
+    return rows.repartitionByRange(n, *by) if ranged else rows.repartition(n, *by)
 
 
 def checkpoint_root(spark: SparkSession) -> str:

@@ -60,11 +60,19 @@ def items(spark: SparkSession, path: str | list[str] | DataFrame, key: str | Non
 
     ``path`` may be the files as :func:`whole_files` has them, which are then not listed again.
     """
-    texts = (path if isinstance(path, DataFrame) else whole_files(spark, path)).select(_named(F.col("_metadata.file_path")).alias("file"), "value")
-    read = texts.select("file", parsed(F.col("value"), key, item).alias("p"))
+    read = _parsed_files(path if isinstance(path, DataFrame) else whole_files(spark, path), key, item)
     return read.select("file", "p.error", F.posexplode_outer("p.items").alias("pos", "j"))
 
 
+def counted(files: DataFrame, key: str | None, item: str) -> DataFrame:
+    """(file, error, n): what :func:`items` would give of each file, without a row for each item; error is empty for a good file."""
+    return _parsed_files(files, key, item).select("file", F.coalesce("p.error", F.lit("")).alias("error"), F.coalesce(F.array_size("p.items"), F.lit(0)).alias("n"))
+
+
+def _parsed_files(files: DataFrame, key: str | None, item: str) -> DataFrame:
+    return files.select(_named(F.col("_metadata.file_path")).alias("file"), parsed(F.col("value"), key, item).alias("p"))
+
+
 def whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A row for each file, its text; Spark lists the path now."""
     return spark.read.option("ignoreCorruptFiles", "true").text(path, wholetext=True)
@@ -117,9 +125,10 @@ def scan(spark: SparkSession, feeds: list[tuple[str, dict]], readers: dict[str,
 
     A feed is a name and options: ``path``, or ``queries`` as a list of (label, path); ``enabled``; what its reader takes.
     A reader without a key (of stored pages) takes its own options. The union of the feeds is one
-    plan; counting files and queries are two more jobs over it, whatever the number of feeds.
+    plan; counting files and queries are two more jobs over it, whatever the number of feeds. Files that several feeds
+    read by one key and one form of items are listed and counted once for all of them.
     """
-    tasks, parts, counts, known = [], [], [], {}
+    tasks, parts, counts, known, listings, readings = [], [], [], {}, {}, {}
 
     def there(path: str) -> tuple[DataFrame, DataFrame]:
         """A path's files and their names, listed once however many feeds name it."""
@@ -149,22 +158,24 @@ def scan(spark: SparkSession, feeds: list[tuple[str, dict]], readers: dict[str,
                 found, gone = [], []
                 for one in [path] if isinstance(path, str) else list(path or []):
                     try:
-                        names = there(one)[1]
+                        there(one)
                         found.append(one)
                     except AnalysisException:
                         gone.append(one)
                     else:
-                        counts.append(names.select(F.lit(f).alias("feed"), F.lit(q).alias("query_ord"), "file", F.lit(UNREADABLE).alias("error"), F.lit(0).alias("n")))
+                        listings.setdefault(one, []).append((f, q))
                 if gone or not found:
                     counts += [spark.createDataFrame([(f, q, one, MISSING, 0) for one in gone or [""]], "feed int, query_ord int, file string, error string, n int")]
                 try:
                     if found:
-                        read = items(spark, there(found[0])[0] if len(found) == 1 else found, reader.key, reader.item)
-                        parts.append(_of(reader.shape(read.where("j is not null").select("file", "pos", "j.*"), **own), f, q))
-                        counts.append(read.select(F.lit(f).alias("feed"), F.lit(q).alias("query_ord"), "file", F.coalesce("error", F.lit("")).alias("error"), F.col("j").isNotNull().cast("int").alias("n")))
+                        files = there(found[0])[0] if len(found) == 1 else whole_files(spark, found)
+                        parts.append(_of(reader.shape(items(spark, files, reader.key, reader.item).where("j is not null").select("file", "pos", "j.*"), **own), f, q))
+                        readings.setdefault((tuple(found), reader.key, reader.item), (files, []))[1].append((f, q))
                 except Exception as e:  # noqa: BLE001
                     status, error = "error", type(e).__name__
             tasks.append((f, name, q, label, status, error))
+    counts += [_for_each(known[one][1].select("file", F.lit(UNREADABLE).alias("error"), F.lit(0).alias("n")), who) for one, who in listings.items()]
+    counts += [_for_each(counted(files, key, item), who) for (_, key, item), (files, who) in readings.items()]
     table = spark.createDataFrame(tasks, _TASK)
     per_file = spark.createDataFrame([], _FILE)
     if counts:
@@ -196,3 +207,9 @@ def scan(spark: SparkSession, feeds: list[tuple[str, dict]], readers: dict[str,
 
 def _of(part: DataFrame, feed: int, query: int) -> DataFrame:
     return part.withColumns({"feed": F.lit(feed), "query_ord": F.lit(query)})
+
+
+def _for_each(rows: DataFrame, who: list[tuple[int, int]]) -> DataFrame:
+    """The rows once for each (feed, query_ord) of ``who``, computed once."""
+    at = F.array(*(F.struct(F.lit(f).alias("feed"), F.lit(q).alias("query_ord")) for f, q in who))
+    return rows.select(F.explode(at).alias("at"), *rows.columns).select("at.*", *rows.columns)

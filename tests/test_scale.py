@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from postmill.operators import reports
 from postmill.operators import run as runs
 from postmill.session import checkpoint_root
-from postmill.sources import pages, scan
+from postmill.sources import pages, readers, scan
 from postmill.sources.store import SnapshotStore
 
 
@@ -68,6 +68,28 @@ def test_a_path_is_listed_once(spark, tmp_path, monkeypatch):
     assert len(paths) == len(set(paths)) == 2
 
 
+def test_a_folder_of_feed_files_is_written_by_one_task(spark, tmp_path):
+    assert entry.registry.QUERIES["feed_local"](spark, customers(spark, tmp_path, 25_000)).count() == 25_000
+    path = max(glob.glob(f"{checkpoint_root(spark).removeprefix('file:')}/feed-*/local"), key=os.path.getmtime)
+    folders = {d: os.listdir(f"{path}/{d}") for d in os.listdir(path) if d.startswith("folder=")}
+    tasks = {d: {f.split("-")[1] for f in files if f.startswith("part-")} for d, files in folders.items()}
+    assert sum(f.startswith("part-") for files in folders.values() for f in files) == 501  # keys 1 to 25,000, 50 a file
+    assert len(tasks) == 3 and all(len(t) == 1 for t in tasks.values()) and len(set.union(*tasks.values())) > 1, tasks
+
+
+def test_feeds_of_one_path_are_counted_in_one_pass(spark, tmp_path):
+    for name, text in {"a.json": '[{"id": "1"}, {"id": "2"}]', "b.json": '{"jobs": [{"id": "3"}, 4]}', "c.json": "", "d.json": "[]"}.items():
+        (tmp_path / name).write_text(text)
+    path = f"{tmp_path}/*.json"
+    found = readers.scan_feeds(spark, [("local", {"path": path}), ("greenhouse", {"path": path, "company": "C"}), ("local", {"queries": [("x", path), ("y", [path, f"{tmp_path}/gone"])]})])
+    assert [(r.status, r.rows, r.error) for r in found.outcomes.collect()] == [("ok", 2, told := "2 of 4 files: malformed JSON, unreadable"), ("ok", 2, told), ("ok", 4, f"x: {told}; y: 3 of 5 files: malformed JSON, not found, unreadable")]
+    files = {(r.feed, r.query, r.file.rsplit("/", 1)[-1]): (r.rows, r.error) for r in found.files.collect()}
+    each = {"a.json": (2, ""), "b.json": (0, "malformed JSON"), "c.json": (0, "unreadable"), "d.json": (0, "")}
+    assert files == {(f, q, n): v for f, q in ((0, ""), (1, ""), (2, "x"), (2, "y")) for n, v in each.items()} | {(2, "y", "gone"): (0, "not found")}
+    plan = found.outcomes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 4  # by the item of either reader, as an array or as an object
+
+
 def test_a_text_is_parsed_once(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"jobs": [{"id": "1"}]}')
     plan = scan.items(spark, f"{tmp_path}/a.json", "jobs", "struct<id:string>")._jdf.queryExecution().optimizedPlan().toString()
