@@ -105,6 +105,7 @@ class Scan:
     """What a scan of several feeds gives.
 
     rows: all postings with stable_id, the first of each by feed, query, file and position.
+    every: all that was read, with stable_id and its place, of which :func:`first_rows` gives the former.
     outcomes: (source, status, rows, error) of each feed in order; rows counts what it has read.
     files: (feed, source, query, file, status, rows, error) of each file, those that are missing or broken included.
     queries: (feed, source, query, status, rows, new_rows); new_rows counts the jobs that no query of the feed before it had.
@@ -114,6 +115,13 @@ class Scan:
     outcomes: DataFrame
     files: DataFrame
     queries: DataFrame
+    every: DataFrame
+
+
+def first_rows(every: DataFrame) -> DataFrame:
+    """The first row of each stable_id by feed, query, file and position; columns that are not needed are best dropped before."""
+    first = every.groupBy("stable_id").agg(F.min_by(F.struct(*every.columns), F.struct("feed", "query_ord", "row_ord")).alias("r")).select("r.*")
+    return first.drop("feed", "query_ord", "row_ord")
 
 
 _TASK = "feed int, source string, query_ord int, query string, status string, error string"
@@ -186,8 +194,6 @@ def scan(spark: SparkSession, feeds: list[tuple[str, dict]], readers: dict[str,
 
     all_rows = reduce(lambda a, b: a.unionByName(b), parts) if parts else empty.withColumns({"feed": F.lit(0), "query_ord": F.lit(0)})
     all_rows = all_rows.withColumn("stable_id", F.concat_ws(":", "source", "job_id"))
-    order = F.struct("feed", "query_ord", "row_ord")
-    first = all_rows.groupBy("stable_id").agg(F.min_by(F.struct(*all_rows.columns), order).alias("r")).select("r.*")
     own = F.coalesce(F.nullif("job_id", F.lit("")), F.col("stable_id"))
     new = all_rows.groupBy("feed", own.alias("k")).agg(F.min("query_ord").alias("query_ord")).groupBy("feed", "query_ord").agg(F.count("*").alias("new_rows"))
 
@@ -202,7 +208,7 @@ def scan(spark: SparkSession, feeds: list[tuple[str, dict]], readers: dict[str,
     by_feed = by_query.groupBy("feed", "source").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "error").alias("bad"), F.count_if(F.col("status") == "skipped").alias("off"), F.sum("rows").alias("rows"), errors.alias("error"))
     lost = (F.col("bad") == F.col("n")) | (F.col("feed").isin(strict) & (F.col("bad") > 0) & (F.col("rows") == 0))
     outcomes = by_feed.orderBy("feed").select("source", F.when(F.col("off") > 0, "skipped").when(lost, "error").otherwise("ok").alias("status"), "rows", "error")
-    return Scan(first.drop("feed", "query_ord", "row_ord"), outcomes, files, by_query.drop("query_ord", "error"))
+    return Scan(first_rows(all_rows), outcomes, files, by_query.drop("query_ord", "error"), all_rows)
 
 
 def _of(part: DataFrame, feed: int, query: int) -> DataFrame:

@@ -1,12 +1,15 @@
 """What keeps the queries' work and files in proportion: small cases that stand for larger tables."""
 
 import glob
+import json
 import os
 
+import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from postmill.functions.temporal import registration
 from postmill.operators import reports
 from postmill.operators import run as runs
 from postmill.session import checkpoint_root
@@ -104,6 +107,36 @@ def test_run_judges_each_row_once(spark, tmp_path, monkeypatch):
     assert done.stats["rows"] == 1 and "parquet" in plans[0] and "from_json" not in plans[0]  # the store reads judged rows, not the feed
 
 
+def test_equal_contents_are_judged_once(spark, tmp_path, monkeypatch):
+    jobs = [{"id": str(i), "title": "ML Intern", "location": "Pune", "description": ("Unpaid", "Python. January to June 2026")[i % 2]} for i in range(300)]
+    (tmp_path / "a.json").write_text(json.dumps(jobs))
+    seen, judged = [], runs.judged
+    monkeypatch.setattr(runs, "judged", lambda postings, *args: (seen.append(postings.count()), judged(postings, *args))[1])
+    done = runs.run(spark, [("local", {"path": f"{tmp_path}/a.json"})], SnapshotStore(spark, f"{tmp_path}/p", "stable_id", 2), F.array(F.lit("Python")), F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    assert seen == [2] and (done.stats["rows"], done.stats["eligible"]) == (300, 150)
+    assert {(int(r.job_id) % 2, r.eligible, r.stipend_state) for r in done.postings.collect()} == {(0, False, "unpaid"), (1, True, "unstated")}
+
+
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_judged_once_is_judged_each(spark, tmp_path, limit):
+    texts = ["Python. January to June 2026", "Unpaid. Deadline: 1990-01-01", "the end_date is unknown", ""]
+    raws = ["{}", '{"id": 1}', '{"regn_open": false}', '{"\\u0072egn_open": false}', '{"end_date": "2020-01-01"}', '{"regnRequirements": {"end_regn_dt": "2099-01-01 00:00:00"}}', "no JSON", None]
+    cases = [(s, t, x, due, remote, raw) for s in ("local", "unstop") for t in ("Intern", "Lead engineer") for x in texts for due in ("", "2020-01-01") for remote in (None, True) for raw in raws] * 2
+    rows = [(f"{c[0]}:{i}", c[0], str(i), "C", c[1], f"u{i}", "Pune", c[2], "Intern", f"d{i}", c[3], "", "", c[4], "", c[5]) for i, c in enumerate(cases)]
+    postings = spark.createDataFrame(rows, "stable_id string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in readers.POSTING))
+    known, at = F.array(F.lit("Python")), F.lit("2026-01-01 00:00:00").cast("timestamp")
+    each = runs.judged(postings, known, at).select("stable_id", *runs.KEPT, "eligible", "reject_reasons", "open.state", "window.label", "stipend.state", "score", "band", "coverage.missing", "shortlisted")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        once = runs.judged_once(postings.withColumn("raw", registration(F.col("raw"))), known, at, str(tmp_path / "kept"))
+        assert ("BroadcastHashJoin" in once._jdf.queryExecution().executedPlan().toString()) == (limit != "-1")
+        assert sorted(map(str, map(tuple, once.collect()))) == sorted(map(str, map(tuple, each.collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert spark.read.parquet(f"{tmp_path}/kept/contents").count() < len(rows) * 0.8
+
+
 def test_filters_deal_a_compact_table_by_rows(spark, tmp_path):
     spark.range(1, 25_001, numPartitions=1).select(F.col("id").alias("o_orderkey"), F.lit("F").alias("o_orderstatus"), F.lit(1.0).alias("o_totalprice"), F.lit("1-URGENT").alias("o_orderpriority"), F.timestamp_seconds("id").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
     for name in ("source_funnel", "location_ladder"):
