@@ -48,7 +48,8 @@ _LOCAL = "struct<id:string,job_id:string,company:string,title:string,location:st
 def local_file(rows: DataFrame) -> DataFrame:
     """An array of jobs, or an object with jobs; an empty id falls back to job_id, then to the row's place; a description with tags becomes text."""
     filled = lambda c: F.nullif(c, F.lit(""))
-    text = F.when(F.col("description").contains("<"), html_to_text("description")).otherwise(F.col("description"))
+    tagged = F.col("description").contains("<")
+    text = F.when(tagged, html_to_text(F.when(tagged, F.col("description")))).otherwise(F.col("description"))  # Spark calls Python for all rows
     names = ("company", "title", "location", "employment_type", "published_at", "url", "is_remote", "apply_email")
     return posting(rows, "local", job_id=F.coalesce(filled("id"), filled("job_id"), F.col("pos").cast("string")), description=text, apply_url=F.coalesce("apply_url", "url"), **{c: F.col(c) for c in names})
 

@@ -137,6 +137,13 @@ def test_judged_once_is_judged_each(spark, tmp_path, limit):
     assert spark.read.parquet(f"{tmp_path}/kept/contents").count() < len(rows) * 0.8
 
 
+def test_only_texts_with_tags_go_to_python(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": "1", "description": "<p>a &amp; b</p>"}, {"id": "2", "description": "a &amp; b"}, {"id": "3"}]')
+    got = readers.local_file(spark, f"{tmp_path}/a.json")
+    assert {(r.job_id, r.description) for r in got.collect()} == {("1", "a & b"), ("2", "a &amp; b"), ("3", "")}
+    assert "html_to_text(CASE WHEN" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_filters_deal_a_compact_table_by_rows(spark, tmp_path):
     spark.range(1, 25_001, numPartitions=1).select(F.col("id").alias("o_orderkey"), F.lit("F").alias("o_orderstatus"), F.lit(1.0).alias("o_totalprice"), F.lit("1-URGENT").alias("o_orderpriority"), F.timestamp_seconds("id").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
     for name in ("source_funnel", "location_ladder"):
