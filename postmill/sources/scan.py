@@ -200,15 +200,17 @@ def scan(spark: SparkSession, feeds: list[tuple[str, dict]], readers: dict[str,
     summed = per_file.groupBy("feed", "query_ord").agg(F.sum("rows").alias("rows"), F.count("*").alias("n_files"), F.count_if(F.coalesce("error", F.lit("")) != "").alias("n_bad"), F.array_join(F.array_sort(F.collect_set(F.nullif(F.coalesce("error", F.lit("")), F.lit("")))), ", ").alias("bad"))
     told = F.when(F.col("error") != "", F.col("error")).when(F.col("n_bad") > 0, F.concat(F.col("n_bad").cast("string"), F.lit(" of "), F.col("n_files").cast("string"), F.lit(" files: "), F.col("bad"))).otherwise("")
     failed = (F.col("status") == "error") | F.coalesce(F.col("n_bad") == F.col("n_files"), F.lit(False))
-    by_query = table.join(summed, ["feed", "query_ord"], "left").join(new, ["feed", "query_ord"], "left")
-    by_query = by_query.select("feed", "source", "query_ord", "query", F.when(F.col("status") == "skipped", "skipped").when(failed, "error").otherwise("ok").alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("new_rows", F.lit(0)).alias("new_rows"), told.alias("error"))
+    by_query = table.join(summed, ["feed", "query_ord"], "left")
+    by_query = by_query.select("feed", "source", "query_ord", "query", F.when(F.col("status") == "skipped", "skipped").when(failed, "error").otherwise("ok").alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"), told.alias("error"))
+    # only the queries' table tells what is new, so outcomes read no rows for it
+    with_new = by_query.join(new, ["feed", "query_ord"], "left").select("feed", "source", "query", "status", "rows", F.coalesce("new_rows", F.lit(0)).alias("new_rows"))
 
     strict = [f for f, (name, _) in enumerate(feeds) if getattr(readers.get(name), "needs_rows", False)]
     errors = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("error") != "", F.struct("query_ord", F.concat_ws(": ", F.nullif("query", F.lit("")), "error").alias("e"))))), lambda x: x["e"]), "; ")
     by_feed = by_query.groupBy("feed", "source").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "error").alias("bad"), F.count_if(F.col("status") == "skipped").alias("off"), F.sum("rows").alias("rows"), errors.alias("error"))
     lost = (F.col("bad") == F.col("n")) | (F.col("feed").isin(strict) & (F.col("bad") > 0) & (F.col("rows") == 0))
     outcomes = by_feed.orderBy("feed").select("source", F.when(F.col("off") > 0, "skipped").when(lost, "error").otherwise("ok").alias("status"), "rows", "error")
-    return Scan(first_rows(all_rows), outcomes, files, by_query.drop("query_ord", "error"), all_rows)
+    return Scan(first_rows(all_rows), outcomes, files, with_new, all_rows)
 
 
 def _of(part: DataFrame, feed: int, query: int) -> DataFrame:

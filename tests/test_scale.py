@@ -137,6 +137,13 @@ def test_judged_once_is_judged_each(spark, tmp_path, limit):
     assert spark.read.parquet(f"{tmp_path}/kept/contents").count() < len(rows) * 0.8
 
 
+def test_outcomes_read_no_rows_for_what_is_new(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": "1"}, {"id": "2"}]')
+    found = readers.scan_feeds(spark, [("local", {"path": f"{tmp_path}/a.json"})])
+    assert [(r.rows, r.new_rows) for r in found.queries.collect()] == [(2, 2)] and [(r.status, r.rows) for r in found.outcomes.collect()] == [("ok", 2)]
+    assert "new_rows" not in found.outcomes._jdf.queryExecution().analyzed().toString()
+
+
 def test_only_texts_with_tags_go_to_python(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"id": "1", "description": "<p>a &amp; b</p>"}, {"id": "2", "description": "a &amp; b"}, {"id": "3"}]')
     got = readers.local_file(spark, f"{tmp_path}/a.json")
