@@ -12,7 +12,7 @@ from postmill.config import Rubric, Rules
 from postmill.functions.temporal import deadline, open_state, registration
 from postmill.operators.filters import filter_postings
 from postmill.operators.score import match_postings, shortlist
-from postmill.session import scratch_folder, spread
+from postmill.session import ROWS_A_TASK, scratch_folder, spread
 from postmill.sources.readers import scan_feeds
 from postmill.sources.scan import Scan, first_rows
 from postmill.sources.store import SnapshotStore
@@ -60,6 +60,8 @@ def judged_once(postings: DataFrame, known: Column, as_of: Column, folder: str,
         "score", "band", F.col("coverage.missing").alias("gaps"), "shortlisted",
     )
     found = _kept(found, f"{folder}/judgements")
+    if found.count() > ROWS_A_TASK:  # texts that are much alike are small as a file, by which Spark would broadcast them, and large in memory
+        found = found.hint("merge")
     # the hash sorts and deals long texts cheaply; the columns themselves decide
     of = lambda cols: F.xxhash64(*cols)
     same = reduce(lambda a, b: a & b, (rows[c].eqNullSafe(found[f"__{c}"]) for c in JUDGED_BY), of(rows[c] for c in JUDGED_BY) == of(found[f"__{c}"] for c in JUDGED_BY))

@@ -117,8 +117,9 @@ def test_equal_contents_are_judged_once(spark, tmp_path, monkeypatch):
     assert {(int(r.job_id) % 2, r.eligible, r.stipend_state) for r in done.postings.collect()} == {(0, False, "unpaid"), (1, True, "unstated")}
 
 
-@pytest.mark.parametrize("limit", ["10MB", "-1"])
-def test_judged_once_is_judged_each(spark, tmp_path, limit):
+@pytest.mark.parametrize("most", [10_000, 10])
+def test_judged_once_is_judged_each(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(runs, "ROWS_A_TASK", most)
     texts = ["Python. January to June 2026", "Unpaid. Deadline: 1990-01-01", "the end_date is unknown", ""]
     raws = ["{}", '{"id": 1}', '{"regn_open": false}', '{"\\u0072egn_open": false}', '{"end_date": "2020-01-01"}', '{"regnRequirements": {"end_regn_dt": "2099-01-01 00:00:00"}}', "no JSON", None]
     cases = [(s, t, x, due, remote, raw) for s in ("local", "unstop") for t in ("Intern", "Lead engineer") for x in texts for due in ("", "2020-01-01") for remote in (None, True) for raw in raws] * 2
@@ -126,14 +127,9 @@ def test_judged_once_is_judged_each(spark, tmp_path, limit):
     postings = spark.createDataFrame(rows, "stable_id string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in readers.POSTING))
     known, at = F.array(F.lit("Python")), F.lit("2026-01-01 00:00:00").cast("timestamp")
     each = runs.judged(postings, known, at).select("stable_id", *runs.KEPT, "eligible", "reject_reasons", "open.state", "window.label", "stipend.state", "score", "band", "coverage.missing", "shortlisted")
-    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-    try:
-        once = runs.judged_once(postings.withColumn("raw", registration(F.col("raw"))), known, at, str(tmp_path / "kept"))
-        assert ("BroadcastHashJoin" in once._jdf.queryExecution().executedPlan().toString()) == (limit != "-1")
-        assert sorted(map(str, map(tuple, once.collect()))) == sorted(map(str, map(tuple, each.collect())))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    once = runs.judged_once(postings.withColumn("raw", registration(F.col("raw"))), known, at, str(tmp_path / "kept"))
+    assert ("BroadcastHashJoin" in once._jdf.queryExecution().executedPlan().toString()) == (most > 10)  # many contents are shuffled
+    assert sorted(map(str, map(tuple, once.collect()))) == sorted(map(str, map(tuple, each.collect())))
     assert spark.read.parquet(f"{tmp_path}/kept/contents").count() < len(rows) * 0.8
 
 
